@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
@@ -45,11 +44,11 @@ class Source:
         return f"(SELECT {', '.join(self.columns)} FROM {self.table})"
 
 
-def scalar_query(key: str, source: Source, keep: tuple[str, ...], columns: dict[str, tuple[Column, str]]) -> None:
-    """Register a projection: key columns plus pairs of Spark column and SQL text."""
+def scalar_query(key: str, source: Source, keep: tuple[str, ...], columns: dict[str, tuple[Callable[[], Column], str]]) -> None:
+    """Register a projection: key columns plus pairs of (function giving the Spark column, SQL text)."""
 
     def build(spark: SparkSession, folder: str) -> DataFrame:
-        computed = [column.alias(name) for name, (column, _) in columns.items()]
+        computed = [column().alias(name) for name, (column, _) in columns.items()]
         return source.frame(spark, folder).select(*keep, *computed)
 
     build.__name__ = key
@@ -73,6 +72,3 @@ def lit(text: str) -> str:
         parts.append("'" + plain.replace("'", "''") + "'")
     return parts[0] if len(parts) == 1 else "(" + " || ".join(parts) + ")"
 
-
-def exactly_one(column: Column) -> Column:
-    return F.coalesce(column, F.lit(False))

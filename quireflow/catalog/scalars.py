@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import color, ids, media, text, url
@@ -37,7 +38,7 @@ scalar_query(
     URLS,
     ("page_id",),
     {
-        name: (url.url_parts("u")[name], o.part("u", name))
+        name: (lambda name=name: url.url_parts("u")[name], o.part("u", name))
         for name in ("scheme", "netloc", "path", "query", "fragment")
     },
 )
@@ -47,7 +48,7 @@ scalar_query(
     ("page_id",),
     {
         "rebuilt": (
-            url.url_build(url.url_parts("u")),
+            lambda: url.url_build(url.url_parts("u")),
             o.assemble(*(o.part("u", n) for n in ("scheme", "netloc", "path", "query", "fragment"))),
         )
     },
@@ -56,22 +57,22 @@ scalar_query(
     "u03_remove_dot_segments",
     PATHS,
     ("page_id",),
-    {"resolved": (url.remove_dot_segments("path"), o.dots("path"))},
+    {"resolved": (lambda: url.remove_dot_segments("path"), o.dots("path"))},
 )
-scalar_query("u04_url_join", JOINS, ("page_id", "ref"), {"joined": (url.url_join("url", "ref"), o.join("url", "ref"))})
+scalar_query("u04_url_join", JOINS, ("page_id", "ref"), {"joined": (lambda: url.url_join("url", "ref"), o.join("url", "ref"))})
 scalar_query(
     "u05_url_defrag",
     URLS,
     ("page_id",),
     {
-        "bare": (url.url_defrag("u")["url"], "split_part(u, '#', 1)"),
+        "bare": (lambda: url.url_defrag("u")["url"], "split_part(u, '#', 1)"),
         "fragment": (
-            url.url_defrag("u")["fragment"],
+            lambda: url.url_defrag("u")["fragment"],
             "CASE WHEN contains(u, '#') THEN substr(u, strpos(u, '#') + 1) ELSE '' END",
         ),
     },
 )
-scalar_query("u06_canonical_url", URLS, ("page_id",), {"canonical": (url.canonical_url("u"), o.canonical("u"))})
+scalar_query("u06_canonical_url", URLS, ("page_id",), {"canonical": (lambda: url.canonical_url("u"), o.canonical("u"))})
 
 SCOPES = Source(
     "pages",
@@ -83,23 +84,23 @@ SCOPES = Source(
         ELSE concat(regexp_extract(url, '^(https?://[^/]*)', 1), '/e') END AS base""",
     ),
 )
-scalar_query("u07_in_scope", SCOPES, ("page_id",), {"scoped": (url.in_scope("u", "base"), o.in_scope("u", "base"))})
+scalar_query("u07_in_scope", SCOPES, ("page_id",), {"scoped": (lambda: url.in_scope("u", "base"), o.in_scope("u", "base"))})
 scalar_query(
     "u08_candidate_urls",
     SCOPES,
     ("page_id",),
     {
         "candidates": (
-            F.array_join(url.candidate_urls("base", "sitemap.xml"), " "),
+            lambda: F.array_join(url.candidate_urls("base", "sitemap.xml"), " "),
             f"""CASE WHEN rtrim(base, '/') || '/sitemap.xml' = {o.part('base', 'scheme')} || '://' || {o.part('base', 'netloc')} || '/sitemap.xml'
             THEN rtrim(base, '/') || '/sitemap.xml' ELSE rtrim(base, '/') || '/sitemap.xml ' ||
             {o.part('base', 'scheme')} || '://' || {o.part('base', 'netloc')} || '/sitemap.xml' END""",
         )
     },
 )
-scalar_query("u09_host", URLS, ("page_id",), {"host": (url.host("u"), "regexp_extract(u, '^[^:]*://([^/?#]*)', 1)")})
+scalar_query("u09_host", URLS, ("page_id",), {"host": (lambda: url.host("u"), "regexp_extract(u, '^[^:]*://([^/?#]*)', 1)")})
 
-scalar_query("h01_sha256_hex", URLS, ("page_id",), {"digest": (ids.sha256_hex("u"), "sha256(u)")})
+scalar_query("h01_sha256_hex", URLS, ("page_id",), {"digest": (lambda: ids.sha256_hex("u"), "sha256(u)")})
 UUID_HEX = f"sha1(unhex('{ids.URL_NAMESPACE_HEX}') || encode(url))"
 scalar_query(
     "h02_uuid5_url",
@@ -107,14 +108,14 @@ scalar_query(
     ("page_id",),
     {
         "uuid": (
-            ids.uuid5_url("url"),
+            lambda: ids.uuid5_url("url"),
             f"""(SELECT left(d, 8) || '-' || d[9:12] || '-5' || d[14:16] || '-'
             || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', d[17]), 1) || d[18:20] || '-' || d[21:32]
             FROM (SELECT {UUID_HEX} AS d))""",
         )
     },
 )
-scalar_query("h03_page_key", URLS, ("page_id",), {"page_key": (ids.page_key("u"), "left(sha256(u), 16)")})
+scalar_query("h03_page_key", URLS, ("page_id",), {"page_key": (lambda: ids.page_key("u"), "left(sha256(u), 16)")})
 NAMES = Source(
     "pages",
     (
@@ -125,20 +126,20 @@ NAMES = Source(
         ELSE regexp_extract(html, '<title>([^<]*)', 1) END AS name""",
     ),
 )
-scalar_query("h04_route_name", NAMES, ("page_id",), {"route_name": (ids.route_name("name"), o.route_name("name"))})
+scalar_query("h04_route_name", NAMES, ("page_id",), {"route_name": (lambda: ids.route_name("name"), o.route_name("name"))})
 scalar_query(
     "h05_xml_id",
     NAMES,
     ("page_id",),
     {
-        "xml_id": (ids.xml_id("name"), o.xml_id("name")),
-        "again": (ids.xml_id(ids.xml_id("name")), o.xml_id("name")),
+        "xml_id": (lambda: ids.xml_id("name"), o.xml_id("name")),
+        "again": (lambda: ids.xml_id(ids.xml_id("name")), o.xml_id("name")),
     },
 )
 scalar_query(
-    "h06_chapter_name", NAMES, ("page_id",), {"file": (ids.chapter_name("name", "url"), o.chapter_name("name", "url"))}
+    "h06_chapter_name", NAMES, ("page_id",), {"file": (lambda: ids.chapter_name("name", "url"), o.chapter_name("name", "url"))}
 )
-scalar_query("h07_workspace_name", URLS, ("page_id",), {"site": (ids.workspace_name("u"), o.site_key("u"))})
+scalar_query("h07_workspace_name", URLS, ("page_id",), {"site": (lambda: ids.workspace_name("u"), o.site_key("u"))})
 MEDIA = Source(
     "pages",
     (
@@ -174,13 +175,13 @@ scalar_query(
     ("page_id",),
     {
         "asset": (
-            ids.asset_name("u", "kind"),
+            lambda: ids.asset_name("u", "kind"),
             f"left(sha256(u), 20) || CASE WHEN {TYPE_SQL} <> '' THEN {TYPE_SQL} WHEN {PATH_EXTENSION_SQL} <> '' THEN {PATH_EXTENSION_SQL} ELSE '.bin' END",
         )
     },
 )
 HTML = Source("pages", ("page_id", "html"))
-scalar_query("h09_content_hash", HTML, ("page_id",), {"content_hash": (ids.content_hash("html"), "sha256(html)")})
+scalar_query("h09_content_hash", HTML, ("page_id",), {"content_hash": (lambda: ids.content_hash("html"), "sha256(html)")})
 
 DOCS = Source("documents", ("doc_id", "text", "source", "lang"))
 PADDED = Source("documents", ("doc_id", "concat('  ', text, '  ') AS text"))
@@ -189,31 +190,31 @@ scalar_query(
     PADDED,
     ("doc_id",),
     {
-        "stripped": (text.strip_ws("text"), f"trim(text, {o.WS})"),
-        "no_dots": (text.strip_chars("text", " ."), "trim(text, ' .')"),
+        "stripped": (lambda: text.strip_ws("text"), f"trim(text, {o.WS})"),
+        "no_dots": (lambda: text.strip_chars("text", " ."), "trim(text, ' .')"),
     },
 )
-scalar_query("t02_ascii_lower", DOCS, ("doc_id",), {"lowered": (text.ascii_lower("text"), o.lower("text"))})
+scalar_query("t02_ascii_lower", DOCS, ("doc_id",), {"lowered": (lambda: text.ascii_lower("text"), o.lower("text"))})
 scalar_query(
     "t03_starts_with_any",
     DOCS,
     ("doc_id",),
     {
         "starts": (
-            text.starts_with_any("text", ("The", "De", "En", "É")),
+            lambda: text.starts_with_any("text", ("The", "De", "En", "É")),
             "regexp_matches(text, '^(The|De|En|É)')",
         )
     },
 )
-scalar_query("t04_escape_html", HTML, ("page_id",), {"escaped": (text.escape_html("html"), o.escape("html"))})
+scalar_query("t04_escape_html", HTML, ("page_id",), {"escaped": (lambda: text.escape_html("html"), o.escape("html"))})
 scalar_query(
     "t05_base64",
     DOCS,
     ("doc_id",),
     {
-        "encoded": (text.base64_encode(F.encode("text", "UTF-8")), "to_base64(encode(text))"),
+        "encoded": (lambda: text.base64_encode(F.encode("text", "UTF-8")), "to_base64(encode(text))"),
         "decoded": (
-            F.decode(
+            lambda: F.decode(
                 text.base64_decode(
                     F.regexp_replace(
                         F.regexp_replace(text.base64_encode(F.encode("text", "UTF-8")), "=", ""), "A", "A \n-"
@@ -235,12 +236,15 @@ BODIES = Source(
         "CASE page_id % 7 WHEN 0 THEN 'Text/HTML; charset=latin1' WHEN 1 THEN 'application/xml' ELSE 'Text/html' END AS kind",
     ),
 )
-_BODY = F.concat(F.encode("page", "UTF-8"), F.unhex("tail"))
+def _body() -> Column:
+    return F.concat(F.encode("page", "UTF-8"), F.unhex("tail"))
+
+
 _UTF8_SQL = "(TRY(decode(encode(page) || unhex(tail))) IS NOT NULL)"
 _DECLARES_SQL = "regexp_matches(lower(page[1:1024]), '<meta[^>]*charset')"
-scalar_query("t06_valid_utf8", BODIES, ("page_id",), {"valid": (text.valid_utf8(_BODY), _UTF8_SQL)})
+scalar_query("t06_valid_utf8", BODIES, ("page_id",), {"valid": (lambda: text.valid_utf8(_body()), _UTF8_SQL)})
 scalar_query(
-    "t07_declares_charset", BODIES, ("page_id",), {"declared": (text.declares_charset(_BODY), _DECLARES_SQL)}
+    "t07_declares_charset", BODIES, ("page_id",), {"declared": (lambda: text.declares_charset(_body()), _DECLARES_SQL)}
 )
 scalar_query(
     "t08_decide_charset",
@@ -248,7 +252,7 @@ scalar_query(
     ("page_id",),
     {
         "charset": (
-            text.decide_charset("status", "kind", _BODY),
+            lambda: text.decide_charset("status", "kind", _body()),
             f"""CASE WHEN status BETWEEN 200 AND 299 AND status <> 204 AND kind ILIKE 'text/html%' AND kind NOT ILIKE '%charset=%'
             AND NOT {_DECLARES_SQL} AND {_UTF8_SQL} THEN 'utf-8' END""",
         )
@@ -262,12 +266,12 @@ MARKED = Source(
         ' [of `a<b>c`](http://x.example/y) <em class="q">`<i>`</em> ![im][r] ') AS marked""",
     ),
 )
-scalar_query("t09_normalize_words", MARKED, ("doc_id",), {"words": (text.normalize_words("marked"), o.words("marked"))})
+scalar_query("t09_normalize_words", MARKED, ("doc_id",), {"words": (lambda: text.normalize_words("marked"), o.words("marked"))})
 scalar_query(
     "t11_strip_markdown",
     MARKED,
     ("doc_id",),
-    {"plain": (text.strip_markdown("marked"), o.strip_markdown("marked"))},
+    {"plain": (lambda: text.strip_markdown("marked"), o.strip_markdown("marked"))},
 )
 TITLES = Source(
     "pages",
@@ -285,7 +289,7 @@ scalar_query(
     ("page_id",),
     {
         "name": (
-            text.site_name("og", "app", "title"),
+            lambda: text.site_name("og", "app", "title"),
             f"""(SELECT CASE WHEN og <> '' THEN og WHEN trim(app) <> '' THEN trim(app) WHEN s = '' THEN t
             ELSE trim(split_part(t, s, -1)) END FROM (SELECT t, regexp_extract(t, '\\s[|–—-]\\s') AS s
             FROM (SELECT trim(title, {o.WS}) AS t)))""",
@@ -296,7 +300,7 @@ scalar_query(
     "t13_truncate_tail",
     DOCS,
     ("doc_id",),
-    {"tail": (text.truncate_tail("text"), "CASE WHEN length(text) > 4000 THEN right(text, 4000) ELSE text END")},
+    {"tail": (lambda: text.truncate_tail("text"), "CASE WHEN length(text) > 4000 THEN right(text, 4000) ELSE text END")},
 )
 scalar_query(
     "t14_format_message",
@@ -304,7 +308,7 @@ scalar_query(
     ("doc_id",),
     {
         "message": (
-            text.format_message("Heading level jumps from h%d to h%d.", F.col("doc_id"), F.col("n_chars")),
+            lambda: text.format_message("Heading level jumps from h%d to h%d.", F.col("doc_id"), F.col("n_chars")),
             "'Heading level jumps from h' || doc_id || ' to h' || n_chars || '.'",
         )
     },
@@ -314,8 +318,8 @@ scalar_query(
     Source("events", ("event_id", "ts")),
     ("event_id",),
     {
-        "stamp": (text.utc_timestamp(F.col("ts")), "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"),
-        "day": (text.capture_date(F.col("ts")), "strftime(ts, '%Y-%m-%d')"),
+        "stamp": (lambda: text.utc_timestamp(F.col("ts")), "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"),
+        "day": (lambda: text.capture_date(F.col("ts")), "strftime(ts, '%Y-%m-%d')"),
     },
 )
 JSONS = Source(
@@ -327,9 +331,9 @@ scalar_query(
     JSONS,
     ("doc_id",),
     {
-        "title": (text.json_text("js", "title"), "coalesce(js ->> '$.title', '')"),
-        "number": (text.json_text("js", "n"), "''"),
-        "absent": (text.json_text("js", "zz"), "''"),
+        "title": (lambda: text.json_text("js", "title"), "coalesce(js ->> '$.title', '')"),
+        "number": (lambda: text.json_text("js", "n"), "''"),
+        "absent": (lambda: text.json_text("js", "zz"), "''"),
     },
 )
 
@@ -337,7 +341,7 @@ scalar_query(
     "c01_extension_for_media_type",
     MEDIA,
     ("page_id",),
-    {"extension": (media.extension_for_media_type("kind"), TYPE_SQL)},
+    {"extension": (lambda: media.extension_for_media_type("kind"), TYPE_SQL)},
 )
 scalar_query(
     "c02_media_type_for_file",
@@ -345,7 +349,7 @@ scalar_query(
     ("page_id",),
     {
         "media_type": (
-            media.media_type_for_file("file"),
+            lambda: media.media_type_for_file("file"),
             _map_sql(media.MEDIA_TYPE_BY_EXTENSION, f"lower({_extension_sql('file')})", "application/octet-stream"),
         )
     },
@@ -371,7 +375,7 @@ scalar_query(
     COLORS,
     ("page_id",),
     {
-        name: (color.parse_hex_color("value")[name], _channel_sql(at))
+        name: (lambda name=name: color.parse_hex_color("value")[name], _channel_sql(at))
         for name, at in (("r", 1), ("g", 3), ("b", 5))
     },
 )
@@ -381,11 +385,11 @@ scalar_query(
     ("page_id",),
     {
         "chroma": (
-            color.chroma(color.parse_hex_color("value")),
+            lambda: color.chroma(color.parse_hex_color("value")),
             f"greatest({_channel_sql(1)}, {_channel_sql(3)}, {_channel_sql(5)}) - least({_channel_sql(1)}, {_channel_sql(3)}, {_channel_sql(5)})",
         ),
         "luminance": (
-            F.round(color.luminance(color.parse_hex_color("value")), 9),
+            lambda: F.round(color.luminance(color.parse_hex_color("value")), 9),
             f"round({o.luminance(_channel_sql(1), _channel_sql(3), _channel_sql(5))}, 9)",
         ),
     },
@@ -396,7 +400,7 @@ scalar_query(
     ("page_id",),
     {
         "accepted": (
-            media.accept_icon("kind", "status"),
+            lambda: media.accept_icon("kind", "status"),
             f"(status >= 200 AND status < 300 AND {TYPE_SQL} NOT IN ('', '.ico'))",
         )
     },
@@ -407,7 +411,7 @@ scalar_query(
     ("page_id",),
     {
         "output": (
-            media.normalized_image_name("file", "format"),
+            lambda: media.normalized_image_name("file", "format"),
             f"""CASE WHEN lower({_extension_sql('file')}) = '.svg' OR regexp_matches(lower(format), '^(webp|heif|tiff|magick)')
             THEN left(split_part(file, '/', -1), length(split_part(file, '/', -1)) - length({_extension_sql('file')})) || '.png'
             ELSE split_part(file, '/', -1) END""",

@@ -57,6 +57,8 @@ def escape_html(value: Column | str) -> Column:
     return escaped
 
 
+# Character references.
+ONLY_COMMON_REFERENCES = r"^[^&]*+(?:&(?:amp|lt|gt|quot);[^&]*+)*+\z"
 ENTITY_OR_TEXT = r"&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"
 
 
@@ -69,7 +71,8 @@ def _character(code: Column) -> Column:
 def unescape_html(value: Column | str) -> Column:
     """Replace character references; the names are those of HTML 4 plus ``apos``.
 
-    Text without an ampersand is passed through before any matching.
+    Text without an ampersand, or with the four commonest references only,
+    never reaches the token fold.
     """
     value = _column(value)
     names = dict(html.entities.name2codepoint, apos=0x27)
@@ -92,7 +95,14 @@ def unescape_html(value: Column | str) -> Column:
         )
 
     parts = F.regexp_extract_all(value, F.lit(ENTITY_OR_TEXT), F.lit(0))
-    return F.when(value.contains("&"), F.array_join(F.transform(parts, decode), "")).otherwise(value)
+    common = value
+    for reference, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        common = F.replace(common, F.lit(reference), F.lit(plain))
+    return (
+        F.when(~value.contains("&"), value)
+        .when(value.rlike(ONLY_COMMON_REFERENCES), common)
+        .otherwise(F.array_join(F.transform(parts, decode), ""))
+    )
 
 
 def base64_encode(value: Column | str) -> Column:
