@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-FAMILIES = ("scalars",)
+FAMILIES = ("scalars", "trees")
 
 
 def load() -> tuple[dict, dict]:

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HEADING_PATTERN = "^h([1-6])$"
+REST = -1
 NO_ATTRS = "array<struct<name: string, value: string>>"
 
 
@@ -260,12 +261,25 @@ def subtree_flags(nodes: DataFrame, predicate: Column, kept: Column) -> DataFram
     )
 
 
-def rewrite_groups(nodes: DataFrame, key: Column, rewrite) -> DataFrame:
-    """Group rows of a page by ``key``, map each group's row array, and flatten again."""
-    columns = nodes.columns
-    rows = F.array_sort(F.collect_list(F.struct("open_seq", *(c for c in columns if c != "open_seq"))))
+def grouped_columns(nodes: DataFrame) -> list[str]:
+    """Field order of the row structs in :func:`rewrite_groups`: ``open_seq`` first, to sort by."""
+    return ["open_seq", *(name for name in nodes.columns if name != "open_seq")]
+
+
+def rewrite_groups(nodes: DataFrame, key: Column, rewrite, **prepared) -> DataFrame:
+    """Group rows of a page by ``key``, map each group's row array, and flatten again.
+
+    ``rewrite`` and the ``prepared`` columns, computed in order before it, are
+    functions of (key, rows).
+
+    Rows that need no rewrite share the key ``REST``, so a page makes one group
+    plus one per rewritten subtree.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(*grouped_columns(nodes))))
     grouped = nodes.withColumn("_key", key).groupBy("page_id", "_key").agg(rows.alias("_rows"))
-    return grouped.select(F.inline(rewrite(F.col("_key"), F.col("_rows")))).select(*columns)
+    for name, make in prepared.items():
+        grouped = grouped.withColumn(name, make(F.col("_key"), F.col("_rows")))
+    return grouped.select(F.inline(rewrite(F.col("_key"), F.col("_rows")))).select(*nodes.columns)
 
 
 def with_text(nodes: DataFrame, predicate: Column, name: str = "inner_text") -> DataFrame:
@@ -274,15 +288,13 @@ def with_text(nodes: DataFrame, predicate: Column, name: str = "inner_text") ->
     keyed = enclosing(marked, F.col("_self"), F.col("open_seq"), "_outer").withColumn(
         name, F.lit(None).cast("string")
     )
-    key = F.when(F.col("_self"), F.col("open_seq")).otherwise(F.coalesce("_outer", "open_seq"))
+    key = F.when(F.col("_self"), F.col("open_seq")).otherwise(F.coalesce("_outer", F.lit(REST)))
 
     def fill(group: Column, rows: Column) -> Column:
         texts = F.filter(rows, lambda r: r["kind"] == "text")
         joined = F.array_join(F.transform(texts, lambda r: r["text"]), "")
-        return F.transform(
-            rows,
-            lambda r: r.withField(name, F.when(r["_self"], joined)),
-        )
+        filled = F.transform(rows, lambda r: r.withField(name, F.when(r["_self"], joined)))
+        return F.when(group >= 0, filled).otherwise(rows)
 
     return rewrite_groups(keyed, key, fill).drop("_self", "_outer")
 

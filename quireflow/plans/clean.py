@@ -48,7 +48,7 @@ SOFT_FLOW = ("div", "p")
 HARD_FLOW = tuple(tag for tag in FLOW_ONLY if tag not in SOFT_FLOW)
 KEPT_WHEN_EMPTY = ("img", "math", "br", "hr")
 DROPPED_WHEN_EMPTY = ("a", "div", "span")
-ZERO_WIDTH_SPACE = "​"
+ZERO_WIDTH_SPACE = "\u200b"
 DEFAULT_ALT = "Illustration"
 TABLE_MIN_ROWS = 3
 TABLE_MIN_COLUMNS = 3
@@ -140,51 +140,56 @@ def tabular_width(rows: Column) -> Column:
     return F.when(accepted, width)
 
 
-def _table_nodes(pre: Column, rows: Column, width: Column) -> Column:
+def _table_nodes(columns: list[str], pre: Column, rows: Column, width: Column) -> Column:
     """Node structs of a table set into the interval of its ``pre`` element."""
     span = (width * 3 + 3).cast("long")
-    base = pre["open_seq"] + 2
-
-    def made(opened: Column, closed: Column, tag: Column, attrs: Column, text: Column, kind: Column) -> Column:
-        node = pre
-        for name, value in (
-            ("open_seq", opened), ("close_seq", closed), ("node_id", opened), ("tag", tag),
-            ("attrs", attrs), ("text", text), ("kind", kind),
-        ):
-            node = node.withField(name, value)
-        return node
-
     none = F.array().cast(t.NO_ATTRS)
-    no_text = F.lit(None).cast("string")
-    element, text_kind = F.lit("element"), F.lit("text")
     one = lambda name, value: F.array(F.struct(F.lit(name).alias("name"), value.alias("value")))
 
-    def row_nodes(cells: Column, i: Column) -> Column:
-        opened = base + i.cast("long") * span
+    def part(opened: Column, closed: Column, tag: Column, attrs: Column = none, text: Column | None = None) -> Column:
+        return F.struct(
+            opened.alias("open_seq"),
+            closed.alias("close_seq"),
+            F.lit("element" if text is None else "text").alias("kind"),
+            tag.alias("tag"),
+            attrs.alias("attrs"),
+            (F.lit(None).cast("string") if text is None else text).alias("text"),
+        )
+
+    def row_parts(cells: Column, i: Column) -> Column:
+        opened = i.cast("long") * span + 2
         whole = F.size(cells) == width
-        cell_texts = F.when(whole, cells).otherwise(F.array(F.array_join(cells, "  ")))
         tag = F.when(whole & (i == 0), "th").otherwise("td")
         attrs = (
             F.when(~whole, one("colspan", width.cast("string")))
             .when(i == 0, one("scope", F.lit("col")))
             .otherwise(none)
         )
-        cell_nodes = F.flatten(
-            F.transform(
-                cell_texts,
-                lambda text, j: F.array(
-                    made(opened + 1 + j * 3, opened + 3 + j * 3, tag, attrs, no_text, element),
-                    made(opened + 2 + j * 3, opened + 2 + j * 3, F.lit(""), none, text, text_kind),
-                ),
-            )
+        cell_parts = F.transform(
+            F.when(whole, cells).otherwise(F.array(F.array_join(cells, "  "))),
+            lambda text, j: F.array(
+                part(opened + 1 + j * 3, opened + 3 + j * 3, tag, attrs),
+                part(opened + 2 + j * 3, opened + 2 + j * 3, F.lit(""), none, text),
+            ),
         )
-        return F.concat(F.array(made(opened, opened + span - 1, F.lit("tr"), none, no_text, element)), cell_nodes)
+        return F.concat(F.array(part(opened, opened + span - 1, F.lit("tr"))), F.flatten(cell_parts))
 
+    length = pre["close_seq"] - pre["open_seq"]
     head = F.array(
-        made(pre["open_seq"], pre["close_seq"], F.lit("table"), none, no_text, element),
-        made(pre["open_seq"] + 1, pre["close_seq"] - 1, F.lit("tbody"), none, no_text, element),
+        part(F.lit(0).cast("long"), length, F.lit("table")), part(F.lit(1).cast("long"), length - 1, F.lit("tbody"))
     )
-    return F.concat(head, F.flatten(F.transform(rows, row_nodes)))
+
+    def node(p: Column) -> Column:
+        opened = pre["open_seq"] + p["open_seq"]
+        own = {
+            "open_seq": opened,
+            "close_seq": pre["open_seq"] + p["close_seq"],
+            "node_id": opened,
+            **{name: p[name] for name in ("kind", "tag", "attrs", "text")},
+        }
+        return F.struct(*(own.get(name, pre[name]).alias(name) for name in columns))
+
+    return F.transform(F.concat(head, F.flatten(F.transform(rows, row_parts))), node)
 
 
 def tabular_pre_to_table(nodes: DataFrame) -> DataFrame:
@@ -192,16 +197,18 @@ def tabular_pre_to_table(nodes: DataFrame) -> DataFrame:
     is_pre = F.col("tag") == "pre"
     keyed = enclosing_outermost(nodes, is_pre, "_pre")
 
-    def rewrite(key: Column, rows: Column) -> Column:
-        pre = F.get(rows, F.lit(0))
-        text = F.array_join(
-            F.transform(F.filter(rows, lambda r: r["kind"] == "text"), lambda r: r["text"]), ""
-        )
-        cells = tabular_rows(text)
-        width = tabular_width(cells)
-        return F.when((pre["tag"] == "pre") & width.isNotNull(), _table_nodes(pre, cells, width)).otherwise(rows)
-
-    return t.rewrite_groups(keyed, F.coalesce("_pre", "open_seq"), rewrite).drop("_pre")
+    columns = t.grouped_columns(keyed)
+    text = lambda rows: F.array_join(F.transform(F.filter(rows, lambda r: r["kind"] == "text"), lambda r: r["text"]), "")
+    rewritten = t.rewrite_groups(
+        keyed,
+        F.coalesce("_pre", F.lit(t.REST)),
+        lambda key, rows: F.when(
+            F.col("_width").isNotNull(), _table_nodes(columns, F.get(rows, F.lit(0)), F.col("_cells"), F.col("_width"))
+        ).otherwise(rows),
+        _cells=lambda key, rows: F.when(key >= 0, tabular_rows(text(rows))),
+        _width=lambda key, rows: tabular_width(F.col("_cells")),
+    )
+    return rewritten.drop("_pre")
 
 
 def enclosing_outermost(nodes: DataFrame, predicate: Column, name: str) -> DataFrame:
@@ -341,9 +348,9 @@ def unique_ids(nodes: DataFrame) -> DataFrame:
             return F.array_append(used, F.coalesce(fresh, base))
 
         names = F.aggregate(F.transform(rows, lambda r: r["_base"]), F.array().cast("array<string>"), step)
-        return F.when(key < 0, F.transform(rows, lambda r, i: r.withField("_name", F.get(names, i)))).otherwise(rows)
+        return F.when(key >= 0, F.transform(rows, lambda r, i: r.withField("_name", F.get(names, i)))).otherwise(rows)
 
-    resolved = t.rewrite_groups(clashing, F.when(in_fold, F.lit(-1)).otherwise(F.col("open_seq")), fold)
+    resolved = t.rewrite_groups(clashing, F.when(in_fold, F.lit(0)).otherwise(F.lit(t.REST)), fold)
     return resolved.withColumn(
         "attrs",
         F.when(F.col("_name").isNotNull(), t.set_attr("attrs", "id", F.col("_name"))).otherwise(F.col("attrs")),
@@ -412,9 +419,15 @@ def apply_links(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
     )
 
 
-def rewrite_links(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """``nodes`` carries ``site`` and the page ``url``; ``files`` is (site, url, file)."""
-    return apply_links(nodes, resolve_links(link_rows(nodes, "site", "url"), files))
+def rewrite_links(nodes: DataFrame, files: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """``nodes`` carries ``site`` and the page ``url``; ``files`` is (site, url, file).
+
+    Links may be read from ``source``, an earlier state of the same nodes: a
+    rewrite never changes an href, and reading the parsed nodes keeps the long
+    chain of rewrites from being planned twice.
+    """
+    links = link_rows(nodes if source is None else source, "site", "url")
+    return apply_links(nodes, resolve_links(links, files))
 
 
 def resolve_images(images: DataFrame, assets: DataFrame) -> DataFrame:
@@ -425,11 +438,14 @@ def resolve_images(images: DataFrame, assets: DataFrame) -> DataFrame:
     )
 
 
-def rewrite_images(nodes: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+def rewrite_images(
+    nodes: DataFrame, assets: DataFrame | None = None, source: DataFrame | None = None
+) -> DataFrame:
     """Point images at book assets, give them alternative text, and set block images as figures."""
     is_image = F.col("tag") == "img"
     if assets is not None:
-        images = nodes.filter(is_image).select("page_id", "node_id", "site", t.attr("src").alias("src"))
+        origin = nodes if source is None else source
+        images = origin.filter(is_image).select("page_id", "node_id", "site", t.attr("src").alias("src"))
         sources = resolve_images(images, assets).filter("output IS NOT NULL").select("page_id", "node_id", "new_src")
         nodes = nodes.join(sources, ["page_id", "node_id"], "left")
         nodes = nodes.withColumn(
@@ -525,7 +541,7 @@ def prune_dangling_fragments(nodes: DataFrame, files: DataFrame) -> DataFrame:
 
 def clean_pages(nodes: DataFrame, files: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """Captured nodes (with site, url, title, file) to chapter nodes, before fragment pruning."""
-    nodes = clean_structure(nodes)
-    nodes = rewrite_links(nodes, files)
-    nodes = rewrite_images(nodes, assets)
-    return promote_table_header(nodes)
+    cleaned = clean_structure(nodes)
+    cleaned = rewrite_links(cleaned, files, source=nodes)
+    cleaned = rewrite_images(cleaned, assets, source=nodes)
+    return promote_table_header(cleaned)
