@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-FAMILIES = ("scalars", "trees")
+FAMILIES = ("scalars", "trees", "rewrites")
 
 
 def load() -> tuple[dict, dict]:

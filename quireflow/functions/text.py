@@ -65,7 +65,7 @@ ENTITY_OR_TEXT = r"&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z][A-Za-z0-9]*;|[^&]+|
 def _character(code: Column) -> Column:
     wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     legal = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    return F.when(legal, wide).otherwise(F.lit(""))
+    return F.when(legal, wide).when(code.isNotNull(), F.lit(""))
 
 
 def unescape_html(value: Column | str) -> Column:
@@ -76,7 +76,7 @@ def unescape_html(value: Column | str) -> Column:
     """
     value = _column(value)
     names = dict(html.entities.name2codepoint, apos=0x27)
-    named = F.create_map(*(F.lit(item) for name, code in names.items() for item in (name, chr(code))))
+    named = F.expr("map(" + ", ".join(f"'{name}', {code}L" for name, code in names.items()) + ")")
 
     def decode(token: Column) -> Column:
         digits = F.regexp_extract(token, r"^&#0*([0-9]+)", 1)
@@ -88,7 +88,7 @@ def unescape_html(value: Column | str) -> Column:
             .when(hexadecimal != "", _character(F.conv(hexadecimal, 16, 10).cast("long")))
             .otherwise(
                 F.coalesce(
-                    F.when(token.endswith(";"), F.try_element_at(named, F.regexp_extract(token, "^&([A-Za-z0-9]+);", 1))),
+                    _character(F.try_element_at(named, F.regexp_extract(token, "^&([A-Za-z0-9]+);", 1))),
                     token,
                 )
             )
