@@ -6,6 +6,8 @@ Absent parts are empty strings, never null, and nothing is percent-decoded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,14 +67,20 @@ def url_build(parts: Column) -> Column:
     return _assemble(*(parts[name] for name in ("scheme", "netloc", "path", "query", "fragment")))
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``use`` by name.
+
+    Expressions are trees: naming a long one several times would repeat it in
+    the plan and at run time.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def remove_dot_segments(path: Column | str) -> Column:
     """Resolve ``.`` and ``..``; popping at the root does nothing.
 
     Paths without a dot segment skip the fold.
     """
-    path = _column(path)
-    absolute = path.startswith("/")
-    segments = F.split(F.when(absolute, F.substr(path, F.lit(2))).otherwise(path), "/")
 
     def step(kept: Column, segment: Column) -> Column:
         return (
@@ -81,41 +89,57 @@ def remove_dot_segments(path: Column | str) -> Column:
             .otherwise(F.array_append(kept, segment))
         )
 
-    folded = F.aggregate(segments, F.array().cast("array<string>"), step)
-    trailing = F.element_at(segments, -1).isin(".", "..")
-    folded = F.when(trailing, F.array_append(folded, F.lit(""))).otherwise(folded)
-    resolved = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(folded, "/"))
-    return F.when(path.rlike(DOT_SEGMENT), resolved).otherwise(path)
+    def resolve(path: Column) -> Column:
+        absolute = path.startswith("/")
+        segments = F.split(F.regexp_replace(path, "^/", ""), "/")
+        folded = F.aggregate(segments, F.array().cast("array<string>"), step)
+        trailing = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
+            F.array().cast("array<string>")
+        )
+        resolved = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(F.concat(folded, trailing), "/"))
+        return F.when(path.rlike(DOT_SEGMENT), resolved).otherwise(path)
+
+    return _bind(_column(path), resolve)
 
 
 def url_join(base: Column | str, reference: Column | str) -> Column:
     """Resolve a reference; one that repeats the base scheme is still resolved as relative."""
+
+    def resolve(v: Column) -> Column:
+        base, reference, b, r = v["base"], v["reference"], v["b"], v["r"]
+        after_scheme = F.when(r["scheme"] == "", reference).otherwise(
+            F.substr(reference, F.length(r["scheme"]) + F.lit(2))
+        )
+        has_authority = after_scheme.startswith("//")
+        folder = F.regexp_extract(b["path"], r"^([\s\S]*/)[^/]*\z", 1)
+        merged = (
+            F.when(has_authority | r["path"].startswith("/"), r["path"])
+            .when((b["netloc"] != "") & (b["path"] == ""), F.concat(F.lit("/"), r["path"]))
+            .otherwise(F.concat(folder, r["path"]))
+        )
+        keeps_path = ~has_authority & (r["path"] == "")
+        target = F.struct(
+            b["scheme"].alias("scheme"),
+            F.when(has_authority, r["netloc"]).otherwise(b["netloc"]).alias("netloc"),
+            F.when(keeps_path, b["path"]).otherwise(remove_dot_segments(merged)).alias("path"),
+            F.when(keeps_path & (r["query"] == ""), b["query"]).otherwise(r["query"]).alias("query"),
+            r["fragment"].alias("fragment"),
+        )
+        return (
+            F.when(base == "", reference)
+            .when(reference == "", base)
+            .when((r["scheme"] != "") & (r["scheme"] != b["scheme"]), reference)
+            .otherwise(_bind(target, url_build))
+        )
+
     base, reference = _column(base), _column(reference)
-    b, r = url_parts(base), url_parts(reference)
-    after_scheme = F.when(
-        r["scheme"] == "", reference
-    ).otherwise(F.substr(reference, F.length(r["scheme"]) + F.lit(2)))
-    has_authority = after_scheme.startswith("//")
-    folder = F.regexp_extract(b["path"], r"^([\s\S]*/)[^/]*\z", 1)
-    merged = (
-        F.when(has_authority | r["path"].startswith("/"), r["path"])
-        .when((b["netloc"] != "") & (b["path"] == ""), F.concat(F.lit("/"), r["path"]))
-        .otherwise(F.concat(folder, r["path"]))
-    )
-    keeps_path = ~has_authority & (r["path"] == "")
-    joined = _assemble(
-        b["scheme"],
-        F.when(has_authority, r["netloc"]).otherwise(b["netloc"]),
-        F.when(keeps_path, b["path"]).otherwise(remove_dot_segments(merged)),
-        F.when(keeps_path & (r["query"] == ""), b["query"]).otherwise(r["query"]),
-        r["fragment"],
-    )
-    return (
-        F.when(base == "", reference)
-        .when(reference == "", base)
-        .when((r["scheme"] != "") & (r["scheme"] != b["scheme"]), reference)
-        .otherwise(joined)
+    bound = F.struct(
+        base.alias("base"),
+        reference.alias("reference"),
+        url_parts(base).alias("b"),
+        url_parts(reference).alias("r"),
     )
+    return F.when(base.isNotNull() & reference.isNotNull(), _bind(bound, resolve))
 
 
 def url_defrag(url: Column | str) -> Column:
