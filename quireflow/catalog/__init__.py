@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-FAMILIES = ("scalars", "trees", "rewrites")
+FAMILIES = ("scalars", "trees", "rewrites", "coverage", "sites")
 
 
 def load() -> tuple[dict, dict]:

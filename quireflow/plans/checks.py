@@ -13,3 +13,27 @@ def heading_jumps(nodes: DataFrame) -> DataFrame:
     headings = nodes.filter(t.is_heading()).withColumn("level", t.heading_level())
     previous = F.lag("level").over(t.in_order())
     return headings.withColumn("previous", previous).filter(F.col("level") > F.col("previous") + 1)
+
+
+def finding(code: str, message, **columns) -> list:
+    """Columns of a findings row; the caller selects ``site`` and may give url, file or hint."""
+    from pyspark.sql import Column
+
+    message = message if isinstance(message, Column) else F.lit(message)
+    empty = F.lit(None).cast("string")
+    return [
+        F.lit(code).alias("code"),
+        F.lit("error").alias("severity"),
+        message.alias("message"),
+        F.lit("validate").alias("stage"),
+        *(columns.get(name, empty).alias(name) for name in ("url", "file", "hint")),
+    ]
+
+
+def check_page_coverage(expected: DataFrame, pages: DataFrame) -> DataFrame:
+    from ..operators.discovery import missing_pages
+
+    absent = missing_pages(expected, pages)
+    return absent.select(
+        "site", *finding("COVERAGE_MISSING_PAGE", "A discovered page was not captured.", url=F.col("url"))
+    )

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterable
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
@@ -142,7 +143,7 @@ def _piece(token: Column) -> Column:
     return F.array(F.struct(code.alias("code"), token.alias("source")))
 
 
-def page_shape(codes: Iterable[str]) -> tuple[list[int], list[int], list[int]]:
+def page_shape(codes: Iterable[str], implied_ends: bool = True) -> tuple[list[int], list[int], list[int]]:
     """Parent token, closing token and depth of every token of one page; -1 where none."""
     codes = list(codes)
     parent, closed_at, depth = [-1] * len(codes), [-1] * len(codes), [0] * len(codes)
@@ -150,7 +151,7 @@ def page_shape(codes: Iterable[str]) -> tuple[list[int], list[int], list[int]]:
     for at, code in enumerate(codes):
         kind, tag = code[:1], code[1:]
         if kind in (OPEN, VOID):
-            while stack and tag in IMPLIED_END.get(stack[-1][0], ()):
+            while implied_ends and stack and tag in IMPLIED_END.get(stack[-1][0], ()):
                 closed_at[stack.pop()[1]] = at
         elif kind == CLOSE:
             rank = END_RANK.get(tag, DEFAULT_RANK)
@@ -160,7 +161,7 @@ def page_shape(codes: Iterable[str]) -> tuple[list[int], list[int], list[int]]:
                         closed_at[opened] = at
                     del stack[level:]
                     break
-                if END_RANK.get(stack[level][0], DEFAULT_RANK) > rank:
+                if implied_ends and END_RANK.get(stack[level][0], DEFAULT_RANK) > rank:
                     break
             continue
         if stack:
@@ -179,12 +180,37 @@ _SHAPE = pa.struct([(name, pa.list_(pa.int32())) for name in _SHAPE_FIELDS])
 register_pickle_by_value(sys.modules[__name__])
 
 
-@F.arrow_udf(T.StructType([T.StructField(name, T.ArrayType(T.IntegerType())) for name in _SHAPE_FIELDS]))
-def _shapes(codes: pa.Array) -> pa.Array:
-    rows = [dict(zip(_SHAPE_FIELDS, page_shape(page or []))) for page in codes.to_pylist()]
+_SHAPE_TYPE = T.StructType([T.StructField(name, T.ArrayType(T.IntegerType())) for name in _SHAPE_FIELDS])
+
+
+def _shape_batch(codes: pa.Array, implied_ends: bool) -> pa.Array:
+    rows = [dict(zip(_SHAPE_FIELDS, page_shape(page or [], implied_ends))) for page in codes.to_pylist()]
     return pa.array(rows, type=_SHAPE)
 
 
+@F.arrow_udf(_SHAPE_TYPE)
+def _html_shapes(codes: pa.Array) -> pa.Array:
+    return _shape_batch(codes, True)
+
+
+@F.arrow_udf(_SHAPE_TYPE)
+def _xml_shapes(codes: pa.Array) -> pa.Array:
+    return _shape_batch(codes, False)
+
+
+@F.arrow_udf(T.StringType())
+def xml_error(documents: pa.Array) -> pa.Array:
+    """The parser's message for each document that is not well-formed XML, else null."""
+    messages = []
+    for document in documents.to_pylist():
+        try:
+            expat.ParserCreate().Parse(document if document is not None else b"", True)
+            messages.append(None)
+        except expat.ExpatError as error:
+            messages.append(str(error))
+    return pa.array(messages, type=pa.string())
+
+
 def parse_attributes(source: Column) -> Column:
     """Ordered array<struct<name, value>>; of a repeated name the first wins."""
     body = F.regexp_replace(F.regexp_replace(source, NAME_PATTERN, ""), r"/?>\z", "")
@@ -199,9 +225,13 @@ def parse_attributes(source: Column) -> Column:
     return F.filter(pairs, lambda pair, i: F.array_position(names, pair["name"]) == i + 1)
 
 
-def parse_html(df: DataFrame, id_column: str = "page_id", html_column: str = "html", *keep: str) -> DataFrame:
+def parse_html(
+    df: DataFrame, id_column: str = "page_id", html_column: str = "html", *keep: str, xml: bool = False
+) -> DataFrame:
     """Node table of every page. ``keep`` names page columns to carry along.
 
+    ``xml`` reads well-formed XHTML: only end tags close elements.
+
     Pages are shuffled once, as one compact row each, before they are exploded;
     the explode keeps that partitioning, so every later per-page window and
     join on the page id finds its rows in place.
@@ -212,7 +242,7 @@ def parse_html(df: DataFrame, id_column: str = "page_id", html_column: str = "ht
     )
     shaped = (
         df.select(id_column, *keep, pieces.alias("pieces"))
-        .withColumn("shape", _shapes(F.col("pieces.code")))
+        .withColumn("shape", (_xml_shapes if xml else _html_shapes)(F.col("pieces.code")))
         .repartition(id_column)
     )
     zipped = F.arrays_zip(
