@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-FAMILIES = ("scalars", "trees", "rewrites", "coverage", "sites")
+FAMILIES = ("scalars", "trees", "rewrites", "coverage", "sites", "books")
 
 
 def load() -> tuple[dict, dict]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="quireflow-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for round trips, below the shared folder where the cluster names one."""
+    shared = spark.conf.get(CHECKPOINT_SETTING, None)
+    if shared:
+        return f"{shared.rstrip('/')}/quireflow-{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"Set {CHECKPOINT_SETTING} to a folder every executor can reach.")
+    return tempfile.mkdtemp(prefix=f"quireflow-{name}-")

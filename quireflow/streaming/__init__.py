@@ -1,0 +1 @@
+"""Unbounded feeds of page captures."""
