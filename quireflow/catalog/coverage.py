@@ -14,7 +14,7 @@ from ..plans import coverage as c
 from ..session import cut_lineage
 from . import inputs as i
 from . import oracle as o
-from .registry import query, table
+from .registry import query, spread, table
 
 LINE_SHAPES = """CASE (doc_id + line_no) % 13 WHEN 0 THEN concat('- ', line) WHEN 1 THEN concat('> > ', line) WHEN 2 THEN concat('3) ', line)
  WHEN 3 THEN CASE WHEN line_no % 2 = 0 THEN '```' ELSE line END WHEN 4 THEN concat('# ', line)
@@ -34,7 +34,7 @@ PREPARED = f"WITH {i.nodes_sql(i.PLAIN_SQL, 'url')}, {LINES_SQL}, {STATE_SQL}, {
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    split = c.split_lines(table(spark, folder, "documents"), "doc_id")
+    split = c.split_lines(spread(table(spark, folder, "documents"), "doc_id"), "doc_id")
     return split.selectExpr("doc_id", "line_no", f"{LINE_SHAPES} AS line")
 
 

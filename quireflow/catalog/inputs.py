@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import markup
-from .registry import lit, table
+from .registry import lit, spread, table
 
 SITE = "regexp_extract(url, 'example.(com|net|org)', 1)"
 
@@ -37,14 +37,15 @@ PLAIN_SQL = f"(SELECT page_id, url, {SITE} AS site, html FROM pages)"
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").selectExpr("page_id", "url", f"{SITE} AS site", "html")
+    return spread(table(spark, folder, "pages"), "page_id").selectExpr("page_id", "url", f"{SITE} AS site", "html")
 
 
 def rich_pages(spark: SparkSession, folder: str) -> DataFrame:
     raw = table(spark, folder, "pages")
     following = raw.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
     return (
-        raw.join(following, "page_id", "left")
+        spread(raw, "page_id")
+        .join(following, "page_id", "left")
         .fillna("", ["next_url"])
         .selectExpr("page_id", "url", f"{SITE} AS site", f"{RICH} AS html")
     )

@@ -29,6 +29,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores, where a scan comes in fewer pieces than there are cores.
+
+    The test tables are one row group each, so their scan is one task; a large
+    table has splits enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 @dataclass(frozen=True)
 class Source:
     """Columns derived from a test table, written in SQL that both engines read alike."""
