@@ -32,7 +32,9 @@ SKIPPED_STARTS = ("#", "|", "![", "<")
 COVERAGE_THRESHOLD = 0.9
 
 ANCHOR_WORDS = 3
+SINGLE, PAIR = 0, -1
 PIECE_CHARS = 8
+PAIR_CHARS = 4
 BLOCK_CHARS = 1 << 16
 
 
@@ -102,35 +104,42 @@ def text_blocks(chapters: DataFrame, block: int, overlap: int) -> DataFrame:
 def line_anchors(lines: DataFrame) -> DataFrame:
     """(site, line, size, words, anchor, before): one anchor per distinct line.
 
-    The anchor is the run of inner words at the longest inner word, since long
-    words are rarer. ``words`` is its number of words; 0 marks a line of one or
-    two words, anchored by the leading characters of its longest word.
+    Lines of three words and more are anchored by the run of inner words at
+    their longest inner word, since long words are rarer; ``words`` is the
+    length of the run. Two words are anchored by the characters on both sides
+    of their space (``words`` = PAIR), one word by its leading characters
+    (``words`` = SINGLE).
     """
     n = F.col("_n")
     split = lines.withColumn("_words", F.split("line", " ")).withColumn("_n", F.size("_words"))
-    counted = split.withColumn("words", F.least(F.greatest(n - 2, F.lit(0)), F.lit(ANCHOR_WORDS)))
-    has_inner = F.col("words") > 0
-    usable = F.transform(
-        "_words",
-        lambda word, at: F.struct(
-            F.when(~has_inner | ((at > 0) & (at < n - 1)), F.length(word)).otherwise(-1).alias("length"),
-            (-at).alias("minus_at"),
-        ),
+    counted = split.withColumn(
+        "words",
+        F.when(n == 1, SINGLE).when(n == 2, PAIR).otherwise(F.least(n - 2, F.lit(ANCHOR_WORDS))),
     )
-    longest = counted.withColumn("_longest", -F.array_max(usable)["minus_at"])
-    placed = longest.withColumn(
-        "_from", F.when(has_inner, F.least("_longest", n - 1 - F.col("words"))).otherwise(F.col("_longest"))
+    inner = F.transform(
+        F.slice("_words", F.lit(2), F.greatest(n - 2, F.lit(0))),
+        lambda word, at: F.struct(F.length(word).alias("length"), (-at).alias("minus_at")),
     )
+    longest = counted.withColumn("_longest", 1 - F.array_max(inner)["minus_at"])
+    placed = longest.withColumn("_from", F.least("_longest", n - 1 - F.col("words")))
     run = F.array_join(F.slice("_words", F.col("_from") + 1, F.col("words")), " ")
-    piece = F.substring(F.get("_words", F.col("_from")), 1, PIECE_CHARS)
-    leading = F.length(F.array_join(F.slice("_words", F.lit(1), F.col("_from")), " "))
+    leading = F.length(F.array_join(F.slice("_words", F.lit(1), F.col("_from")), " ")) + 1
+    first, second = F.get("_words", F.lit(0)), F.get("_words", F.lit(1))
+    left, right = F.least(F.length(first), F.lit(PAIR_CHARS)), F.least(F.length(second), F.lit(PAIR_CHARS))
     return placed.select(
         "site",
         "line",
         F.length("line").alias("size"),
         "words",
-        F.when(has_inner, run).otherwise(piece).alias("anchor"),
-        (leading + F.when(F.col("_from") > 0, 1).otherwise(0)).alias("before"),
+        F.when(F.col("words") == SINGLE, F.substring("line", 1, PIECE_CHARS))
+        .when(F.col("words") == PAIR, F.concat(F.right(first, left), F.lit(" "), F.left(second, right)))
+        .otherwise(run)
+        .alias("anchor"),
+        F.when(F.col("words") == SINGLE, 0)
+        .when(F.col("words") == PAIR, F.length(first) - left)
+        .otherwise(leading)
+        .alias("before"),
+        F.when(F.col("words") == PAIR, F.struct(left.alias("left"), right.alias("right"))).alias("pair"),
     )
 
 
@@ -148,32 +157,35 @@ def block_words(blocks: DataFrame) -> DataFrame:
     )
 
 
+def _place(words: int, anchor: Column, start: Column) -> Column:
+    return F.struct(F.xxhash64(F.lit(words), anchor).alias("key"), start.cast("long").alias("start"))
+
+
+def _runs_of(count: int) -> Column:
+    parts = [F.col("word"), *(F.col(f"word{n}") for n in range(1, count))]
+    return F.when(parts[-1].isNotNull(), F.array(_place(count, F.concat_ws(" ", *parts), F.col("start"))))
+
+
+def _pairs_of(left: int, right: int) -> Column:
+    """The characters around the space after ``word``."""
+    anchor = F.concat(F.right("word", F.lit(left)), F.lit(" "), F.left("word1", F.lit(right)))
+    whole = (F.length("word") >= left) & (F.length("word1") >= right)
+    return F.when(whole, F.array(_place(PAIR, anchor, F.col("start") + F.length("word") - left)))
+
+
 def _pieces_of(size: int) -> Column:
-    """Keys and positions of all character runs of one length inside ``word``."""
-    run = lambda at: F.struct(
-        F.xxhash64(F.lit(0), F.substr("word", at + 1, F.lit(size))).alias("key"),
-        (F.col("start") + at).cast("long").alias("start"),
-    )
+    """All character runs of one length inside ``word``."""
+    run = lambda at: _place(SINGLE, F.substr("word", at + 1, F.lit(size)), F.col("start") + at)
     return F.when(F.length("word") >= size, F.transform(F.sequence(F.lit(0), F.length("word") - size), run))
 
 
-def anchor_places(blocks: DataFrame, word_counts: list[int], piece_sizes: list[int]) -> DataFrame:
+def anchor_places(
+    blocks: DataFrame, runs: list[int], pairs: list[tuple[int, int]], pieces: list[int]
+) -> DataFrame:
     """(site, block, key, start): every place where an anchor of the given kinds could stand."""
-    words = block_words(blocks)
-    kinds = []
-    for count in word_counts:
-        parts = [F.col("word"), *(F.col(f"word{n}") for n in range(1, count))]
-        whole = parts[-1].isNotNull()
-        anchor = F.concat_ws(" ", *parts)
-        kinds.append(
-            F.when(
-                whole,
-                F.array(F.struct(F.xxhash64(F.lit(count), anchor).alias("key"), F.col("start").cast("long").alias("start"))),
-            )
-        )
-    kinds.extend(_pieces_of(size) for size in piece_sizes)
+    kinds = [*map(_runs_of, runs), *(_pairs_of(*pair) for pair in pairs), *map(_pieces_of, pieces)]
     places = F.flatten(F.array_compact(F.array(*kinds)))
-    return words.select("site", "block", F.inline(places))
+    return block_words(blocks).select("site", "block", F.inline(places))
 
 
 def covered_lines(lines: DataFrame, chapters: DataFrame, block: int = BLOCK_CHARS) -> DataFrame:
@@ -181,17 +193,20 @@ def covered_lines(lines: DataFrame, chapters: DataFrame, block: int = BLOCK_CHAR
     # Both sides are used more than once below; storing them keeps the parse and
     # the normalising out of every use.
     anchored = cut_lineage(line_anchors(lines.select("site", "line").distinct()))
-    # One row: the longest line and the kinds of anchors in use (at most 3 and 8 values).
+    # One row: the longest line and the kinds of anchors in use (at most 3, 16 and 8 values).
+    words = F.col("words")
     kinds = anchored.agg(
         F.max("size").alias("longest"),
-        F.sort_array(F.collect_set(F.when(F.col("words") > 0, F.col("words")))).alias("counts"),
-        F.sort_array(F.collect_set(F.when(F.col("words") == 0, F.length("anchor")))).alias("pieces"),
+        F.collect_set(F.when(words > 0, words)).alias("runs"),
+        F.collect_set("pair").alias("pairs"),
+        F.collect_set(F.when(words == SINGLE, F.length("anchor"))).alias("pieces"),
     ).first()
     longest = kinds["longest"] or 1
     block = max(block, longest)
     blocks = cut_lineage(text_blocks(chapters, block, longest))
     shapes = anchored.select("site", _anchor_key().alias("key"), "before", "size").distinct()
-    places = anchor_places(blocks, list(kinds["counts"]), list(kinds["pieces"]))
+    pairs = sorted((pair["left"], pair["right"]) for pair in kinds["pairs"])
+    places = anchor_places(blocks, sorted(kinds["runs"]), pairs, sorted(kinds["pieces"]))
     cuts = (
         places.join(shapes, ["site", "key"])
         .select("site", "block", (F.col("start") - F.col("before")).alias("at"), "size")
