@@ -10,9 +10,10 @@ with every text:
 2. Each distinct line names one anchor: three inner words around its longest
    one (its inner words if fewer). Inner words are whole words in any occurrence.
 3. Where an anchor occurs in a block, the text around it is cut out in the
-   shape of the lines that have this anchor (characters before it, length).
+   shape of the lines that have this anchor (bytes before it, length).
    Lines that share an anchor mostly share a few shapes, so a stock phrase
-   costs its occurrences times shapes, not times lines.
+   costs its occurrences times shapes, not times lines. Positions count bytes,
+   which makes a cut cost its own length and not its distance from the start.
 4. Distinct cut-outs meet distinct lines in an equality join.
 """
 
@@ -35,7 +36,7 @@ ANCHOR_WORDS = 3
 SINGLE, PAIR = 0, -1
 PIECE_CHARS = 8
 PAIR_CHARS = 4
-BLOCK_CHARS = 1 << 16
+BLOCK_CHARS = 1 << 14
 
 
 def split_lines(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -123,20 +124,20 @@ def line_anchors(lines: DataFrame) -> DataFrame:
     longest = counted.withColumn("_longest", 1 - F.array_max(inner)["minus_at"])
     placed = longest.withColumn("_from", F.least("_longest", n - 1 - F.col("words")))
     run = F.array_join(F.slice("_words", F.col("_from") + 1, F.col("words")), " ")
-    leading = F.length(F.array_join(F.slice("_words", F.lit(1), F.col("_from")), " ")) + 1
+    leading = F.octet_length(F.array_join(F.slice("_words", F.lit(1), F.col("_from")), " ")) + 1
     first, second = F.get("_words", F.lit(0)), F.get("_words", F.lit(1))
     left, right = F.least(F.length(first), F.lit(PAIR_CHARS)), F.least(F.length(second), F.lit(PAIR_CHARS))
     return placed.select(
         "site",
         "line",
-        F.length("line").alias("size"),
+        F.octet_length("line").alias("size"),
         "words",
         F.when(F.col("words") == SINGLE, F.substring("line", 1, PIECE_CHARS))
         .when(F.col("words") == PAIR, F.concat(F.right(first, left), F.lit(" "), F.left(second, right)))
         .otherwise(run)
         .alias("anchor"),
         F.when(F.col("words") == SINGLE, 0)
-        .when(F.col("words") == PAIR, F.length(first) - left)
+        .when(F.col("words") == PAIR, F.octet_length(first) - F.octet_length(F.right(first, left)))
         .otherwise(leading)
         .alias("before"),
         F.when(F.col("words") == PAIR, F.struct(left.alias("left"), right.alias("right"))).alias("pair"),
@@ -151,7 +152,7 @@ def block_words(blocks: DataFrame) -> DataFrame:
     """(site, block, start, word, next words): the words of each block with their positions."""
     in_block = W.partitionBy("site", "block").orderBy("i")
     words = blocks.select("site", "block", F.posexplode(F.split("text", " ")).alias("i", "word"))
-    start = F.coalesce(F.sum(F.length("word") + 1).over(in_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = F.coalesce(F.sum(F.octet_length("word") + 1).over(in_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return words.withColumn("start", start).select(
         "*", *(F.lead("word", n).over(in_block).alias(f"word{n}") for n in range(1, ANCHOR_WORDS))
     )
@@ -170,12 +171,12 @@ def _pairs_of(left: int, right: int) -> Column:
     """The characters around the space after ``word``."""
     anchor = F.concat(F.right("word", F.lit(left)), F.lit(" "), F.left("word1", F.lit(right)))
     whole = (F.length("word") >= left) & (F.length("word1") >= right)
-    return F.when(whole, F.array(_place(PAIR, anchor, F.col("start") + F.length("word") - left)))
+    return F.when(whole, F.array(_place(PAIR, anchor, F.col("start") + F.octet_length("word") - F.octet_length(F.right("word", F.lit(left))))))
 
 
 def _pieces_of(size: int) -> Column:
     """All character runs of one length inside ``word``."""
-    run = lambda at: _place(SINGLE, F.substr("word", at + 1, F.lit(size)), F.col("start") + at)
+    run = lambda at: _place(SINGLE, F.substr("word", at + 1, F.lit(size)), F.col("start") + F.octet_length(F.left("word", at)))
     return F.when(F.length("word") >= size, F.transform(F.sequence(F.lit(0), F.length("word") - size), run))
 
 
@@ -215,10 +216,11 @@ def covered_lines(lines: DataFrame, chapters: DataFrame, block: int = BLOCK_CHAR
     )
     found = (
         cuts.join(blocks, ["site", "block"])
-        .select("site", F.substr("text", (F.col("at") + 1).cast("int"), "size").alias("line"))
+        .select("site", F.substring(F.col("text").cast("binary"), (F.col("at") + 1).cast("int"), F.col("size")).alias("bytes"))
         .distinct()
     )
-    return anchored.select("site", "line").join(found, ["site", "line"], "left_semi")
+    wanted = anchored.select("site", "line", F.col("line").cast("binary").alias("bytes"))
+    return wanted.join(found, ["site", "bytes"], "left_semi").drop("bytes")
 
 
 def missing_lines(lines: DataFrame, chapters: DataFrame, block: int = BLOCK_CHARS) -> DataFrame:
