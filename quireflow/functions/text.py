@@ -15,6 +15,7 @@ FOLDED_CHARACTERS = "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0\u202f"
 FOLDED_TO = "''\"\"--  "
 ELLIPSIS = "\u2026"
 DROPPED_CHARACTERS = "*_`\\"
+UNEVEN_SPACE = "[\\t\\n\\x0b\\x0c\\r]|  "
 SPACE_RUN = "[ \\t\\n\\x0b\\x0c\\r]+"
 BULLET_PATTERN = "^(?:>[ \\t\\n\\x0b\\x0c\\r]*)*(?:[*+\\-]|[0-9]+[.)])[ \\t\\n\\x0b\\x0c\\r]+|^(?:>[ \\t\\n\\x0b\\x0c\\r]*)+"
 LINK_PATTERN = r"!?\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])"
@@ -150,11 +151,13 @@ def decide_charset(status: Column | str, content_type: Column | str, body: Colum
 def normalize_words(value: Column | str) -> Column:
     """Fold typographic characters, drop Markdown marks, collapse white space, lower A to Z.
 
-    One ``translate`` does the single-character folds and drops together.
+    One ``translate`` does the single-character folds and drops together, and
+    evenly spaced text skips the replacement.
     """
     dots = F.replace(_column(value), F.lit(ELLIPSIS), F.lit("..."))
     folded = F.translate(dots, FOLDED_CHARACTERS + DROPPED_CHARACTERS, FOLDED_TO)
-    return ascii_lower(F.trim(F.regexp_replace(folded, SPACE_RUN, " ")))
+    single = F.when(folded.rlike(UNEVEN_SPACE), F.regexp_replace(folded, SPACE_RUN, " ")).otherwise(folded)
+    return ascii_lower(F.trim(single))
 
 
 def strip_bullet(line: Column | str) -> Column:
@@ -163,11 +166,13 @@ def strip_bullet(line: Column | str) -> Column:
 
 def strip_markdown(line: Column | str) -> Column:
     """Remove tags outside code spans; replace links and images by their label everywhere."""
-    spans = F.split(_column(line), "`")
+    line = _column(line)
+    spans = F.split(line, "`")
     cleaned = F.transform(
         spans, lambda part, i: F.when(i % 2 == 1, part).otherwise(F.regexp_replace(part, TAG_PATTERN, ""))
     )
-    return F.regexp_replace(F.array_join(cleaned, "`"), LINK_PATTERN, "$1")
+    untagged = F.when(line.contains("<"), F.array_join(cleaned, "`")).otherwise(line)
+    return F.when(line.contains("["), F.regexp_replace(untagged, LINK_PATTERN, "$1")).otherwise(untagged)
 
 
 def site_name(og_site_name: Column | str, application_name: Column | str, title: Column | str) -> Column:
