@@ -6,16 +6,17 @@
 2. Documents with equal sets form a class; only its least document goes on, so a
    group of thousands of exact copies is one row from here.
 3. The minima are cut into bands; classes that agree on a band share a bucket.
-   In each bucket every member is paired with the least member (a star), never
-   with all. Pairs pass a size test and a signature test (six standard
-   deviations below the threshold), then the exact test on full sets.
-4. Links are joined to components by large-star and small-star.
+   In a bucket each member is paired with the least member and with the one whose
+   signature agrees best, never with all. Signatures are compared inside blocks of
+   bounded size; pairs whose agreement is 4.5 standard deviations below the
+   threshold, or whose set sizes rule a link out, are dropped there.
+4. The pairs are confirmed on full sets, and links are joined to components by
+   large-star and small-star.
 5. A bucket whose members are now in one component has nothing to add. In the
-   others, members of different components are compared by their signatures, in
-   blocks of bounded size: first each member is tried with its best partner in
-   every other component of the block, then, where components still differ, with
-   every partner whose signatures pass. So a link between two classes that share
-   a bucket is never lost to the star.
+   others each member is tried with its best partner outside its component, while
+   that adds links; at last, where components still differ, with every partner
+   outside it whose signature passes (each pair in the first band it shares). So
+   a link between two classes that share a bucket is not lost to the star.
 
 Two sets of similarity s share no bucket with probability (1 - s**ROWS)**BANDS:
 5e-6 at 0.75.
@@ -120,38 +121,9 @@ def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, signature binary")
 
 
-def _agree(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Share of equal minima of each pair of signatures."""
-    width = len(_MULTIPLIERS)
-    a = np.frombuffer(b"".join(left.to_pylist()), np.uint32).reshape(-1, width)
-    b = np.frombuffer(b"".join(right.to_pylist()), np.uint32).reshape(-1, width)
-    return (a == b).mean(axis=1)
-
-
 def least_agreement(percent: int) -> float:
     s = percent / 100
-    return s - 6 * (s * (1 - s) / len(_MULTIPLIERS)) ** 0.5
-
-
-def _similar_signatures(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) that pass the size test and the signature test."""
-    least = least_agreement(percent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keep = _agree(batch.column(2), batch.column(3)) >= least
-                yield batch.select(["u", "v"]).filter(pa.array(keep))
-
-    side = classes.select("cid", "signature", "n_shingles")
-    left = side.toDF("u", "su", "nu")
-    right = side.toDF("v", "sv", "nv")
-    return (
-        pairs.join(left, "u").join(right, "v")
-        .filter(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
-        .select("u", "v", "su", "sv")
-        .mapInArrow(run, "u long, v long")
-    )
+    return s - 4.5 * (s * (1 - s) / len(_MULTIPLIERS)) ** 0.5
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -180,58 +152,73 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, cid, n_shingles): each class once for each band."""
+    """(bucket, band, cid): each class once for each band."""
     width = 4 * ROWS
-    return classes.select(
-        "cid", "n_shingles", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(signature, b * {width} + 1, {width})))")).alias("bucket")
-    )
+    bands = F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(signature, b * {width} + 1, {width})))"))
+    return classes.select("cid", bands.alias("band", "bucket"))
 
 
-def _across(mixed: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (u, v) of a bucket from different components whose signatures pass, found in blocks.
+def _partners(members: DataFrame, percent: int, mode: str) -> DataFrame:
+    """Pairs (u, v) of a bucket whose signatures pass, found in blocks.
 
-    With `best`, each member gives one partner for each other component of the block.
+    members: (bucket, band, cid, component, n_shingles, signature). Modes:
+    `first` pairs each member with the least of the block and with its best;
+    `best` with its best outside its component; `all` with all outside it.
     """
     least = least_agreement(percent)
-    width = len(_MULTIPLIERS)
 
     def run(table: pa.Table) -> pa.Table:
-        cid, comp, size, half = (table[c].to_numpy() for c in ("cid", "component", "n_shingles", "half"))
-        minima = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, width)
-        us, vs = [], []
-        kinds, member = np.unique(comp, return_inverse=True)
-        big = np.argmax(np.bincount(member))
+        table = table.sort_by("cid")
+        cid, component, size, half = (table[c].to_numpy() for c in ("cid", "component", "n_shingles", "half"))
+        band = table["band"][0].as_py()
+        minima = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
         two_sided = bool(half.max())
-        for i in np.flatnonzero(member != big) if len(kinds) > 1 else ():
-            other = comp != comp[i]
+        largest = 0
+        if mode != "first":
+            kinds, index, counts = np.unique(component, return_inverse=True, return_counts=True)
+            largest = kinds[counts.argmax()]
+        us: list[int] = []
+        vs: list[int] = []
+        for i in range(len(cid)):
+            if mode == "first":
+                other = cid != cid[i]
+            elif component[i] == largest:
+                continue
+            else:
+                other = component != component[i]
+                if mode == "all":
+                    other &= (component == largest) | (cid > cid[i])
             if two_sided:
                 other &= half != half[i]
-            # each pair once: with the largest component, or with a later row
-            other &= (member == big) | (np.arange(len(cid)) > i)
             other &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
             rows = np.flatnonzero(other)
             if not len(rows):
                 continue
-            share = (minima[rows] == minima[i]).mean(axis=1)
-            rows, share = rows[share >= least], share[share >= least]
-            if best:
-                order = np.lexsort((-share, comp[rows]))
-                rows = rows[order][~W.equal_runs(comp[rows][order])]
-            us += [cid[i]] * len(rows)
+            equal = minima[rows] == minima[i]
+            share = equal.mean(axis=1)
+            good = share >= least
+            if mode == "all":
+                in_band = equal.reshape(-1, BANDS, ROWS).all(axis=2)
+                good &= in_band.argmax(axis=1) == band
+            rows, share = rows[good], share[good]
+            if mode != "all" and len(rows):
+                chosen = {int(rows[share.argmax()])} | ({int(rows[0])} if mode == "first" else set())
+                rows = np.array(sorted(chosen))
+            us += [int(cid[i])] * len(rows)
             vs += cid[rows].tolist()
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+        low, high = np.minimum(us, vs), np.maximum(us, vs)
+        return pa.table({"u": pa.array(low, pa.int64()), "v": pa.array(high, pa.int64())})
 
-    total = mixed.groupBy("bucket").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
+    total = members.groupBy("bucket").agg(F.count("*").alias("members"))
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     dealt = (
-        mixed.join(total, "bucket")
-        .withColumn("blocks", blocks).withColumn("own", own)
+        members.join(total, "bucket")
+        .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
             F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("half"),
-            "cid", "component", "n_shingles", "signature",
+            "band", "cid", "component", "n_shingles", "signature",
         )
     )
     return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "u long, v long").distinct()
@@ -245,34 +232,34 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     classes = (
         some.filter("doc_id is not null")
         .join(best.filter("cid is not null"), ["set_hash", "n_shingles"]).filter("doc_id = cid")
-        .select("cid", "n_shingles", "signature").dropDuplicates(["cid", "n_shingles", "signature"])
+        .groupBy("cid", "n_shingles", "set_hash").agg(F.first("signature").alias("signature"))
+        .select("cid", "n_shingles", "signature")
     )
     members = buckets(classes)
-    shared = members.groupBy("bucket").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least < most")
-    crowd = cut_lineage(
-        members.join(shared, "bucket").select("bucket", "cid", "n_shingles", "least")
-    )
-    stars = crowd.filter("cid <> least").select(F.col("least").alias("u"), F.col("cid").alias("v")).distinct()
-    active = cut_lineage(
-        classes.join(crowd.select("cid").distinct(), "cid", "left_semi")
-    )
-    sets = cut_lineage(full_sets(docs, active.select("cid").distinct(), n))
-    links = cut_lineage(_confirmed(_similar_signatures(stars, active, percent), sets, percent))
-    joined = cut_lineage(components(links))
-    for once in (True, False):
-        placed = crowd.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select(
-            "bucket", "cid", "n_shingles", F.coalesce("component", "cid").alias("component")
-        )
+    shared = members.groupBy("bucket").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).filter("a < b").select("bucket")
+    crowd = members.join(shared, "bucket").withColumn("component", F.col("cid")).join(classes, "cid")
+    pairs = cut_lineage(_partners(crowd, percent, "first"))
+    active = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct())
+    sets = cut_lineage(full_sets(docs, active, n))
+    links = cut_lineage(_confirmed(pairs, sets, percent))
+    joined = components(links)
+    # Whoever has a partner that passes is in a pair by now; the others take no further part.
+    near = classes.join(active, "cid", "left_semi")
+    places = cut_lineage(buckets(near).select("cid", "band", "bucket"))
+    mode = "best"
+    while True:
+        placed = places.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         several = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
-        mixed = placed.join(several, "bucket").join(active.select("cid", "n_shingles", "signature"), ["cid", "n_shingles"])
-        more = _confirmed(_across(mixed, percent, once), sets, percent)
-        more = cut_lineage(more)
-        if more.isEmpty():
-            if once:
-                continue
+        mixed = placed.join(several, "bucket").join(near, "cid")
+        more = cut_lineage(_confirmed(_partners(mixed, percent, mode), sets, percent))
+        added = not more.isEmpty()
+        if added:
+            links = links.unionByName(more)
+            joined = components(links)
+        if mode == "all":
             break
-        links = links.unionByName(more)
-        joined = cut_lineage(components(links))
+        if not added:
+            mode = "all"
     placed = joined.select(F.col("node").alias("cid"), "component")
     rows = (
         signed.join(best, ["set_hash", "n_shingles"], "left")
