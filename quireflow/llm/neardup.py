@@ -45,8 +45,9 @@ WORDS = 5
 PERCENT = 75
 BANDS = 32
 ROWS = 4
-#: Members of a bucket compared with each other in one task, at most.
+#: Members of a bucket compared with each other in one task, at most, and members compared at once.
 BLOCK = 2_048
+_SLAB = 32
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -73,10 +74,10 @@ def shingle_sets(chunk: W.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _minima(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """High halves of the least product with each multiplier, a row for each non-empty text."""
+    """Sixteen bits of the least product with each multiplier, a row for each non-empty text."""
     sizes = np.diff(bounds)
     starts = bounds[:-1][sizes > 0]
-    out = np.empty((len(starts), len(_MULTIPLIERS)), np.uint32)
+    out = np.empty((len(starts), len(_MULTIPLIERS)), np.uint16)
     # Runs of texts whose values stay in the processor's cache.
     cuts = [0]
     for i, at in enumerate(starts):
@@ -89,12 +90,12 @@ def _minima(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         end = starts[high] if high < len(starts) else len(values)
         part, at = values[starts[low] : end], starts[low:high] - starts[low]
         for k, a in enumerate(_MULTIPLIERS):
-            out[low:high, k] = np.minimum.reduceat(part * a, at) >> np.uint64(32)
+            out[low:high, k] = W.mix(np.minimum.reduceat(part * a, at)) >> np.uint64(48)
     return out
 
 
-def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, signature) of each row of documents."""
+def signatures(docs: DataFrame, n: int = WORDS, signed: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, set_hash, signature) of each row of documents; unsigned, the last is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +103,7 @@ def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
                 values, bounds = shingle_sets(chunk, n)
                 sizes = np.diff(bounds)
                 full = sizes > 0
-                minima = _minima(values, bounds)
+                minima = _minima(values, bounds) if signed else None
                 sums = [np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)]
                 if len(values):
                     for total, salt in zip(sums, (0x51ED270B, 0xA3C59AC3), strict=True):
@@ -113,7 +114,7 @@ def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
                         W.ids(batch, chunk).cast(pa.int64()),
                         pa.array(sizes),
                         pa.array([a.tobytes() + b.tobytes() for a, b in zip(*sums, strict=True)], pa.binary()),
-                        pa.array([minima[r].tobytes() if f else None for r, f in zip(rows, full, strict=True)], pa.binary()),
+                        pa.array([minima[r].tobytes() if signed and f else None for r, f in zip(rows, full, strict=True)], pa.binary()),
                     ],
                     ["doc_id", "n_shingles", "set_hash", "signature"],
                 )
@@ -153,7 +154,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def buckets(classes: DataFrame) -> DataFrame:
     """(bucket, band, cid): each class once for each band."""
-    width = 4 * ROWS
+    width = 2 * ROWS
     bands = F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(signature, b * {width} + 1, {width})))"))
     return classes.select("cid", bands.alias("band", "bucket"))
 
@@ -171,43 +172,38 @@ def _partners(members: DataFrame, percent: int, mode: str) -> DataFrame:
         table = table.sort_by("cid")
         cid, component, size, half = (table[c].to_numpy() for c in ("cid", "component", "n_shingles", "half"))
         band = table["band"][0].as_py()
-        minima = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
+        minima = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
         two_sided = bool(half.max())
-        largest = 0
+        seek = np.arange(len(cid))
         if mode != "first":
-            kinds, index, counts = np.unique(component, return_inverse=True, return_counts=True)
+            kinds, counts = np.unique(component, return_counts=True)
             largest = kinds[counts.argmax()]
-        us: list[int] = []
-        vs: list[int] = []
-        for i in range(len(cid)):
-            if mode == "first":
-                other = cid != cid[i]
-            elif component[i] == largest:
-                continue
-            else:
-                other = component != component[i]
-                if mode == "all":
-                    other &= (component == largest) | (cid > cid[i])
+            seek = np.flatnonzero(component != largest)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(seek), _SLAB):
+            i = seek[at : at + _SLAB, None]
+            fits = 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
+            fits &= cid != cid[i] if mode == "first" else component != component[i]
+            if mode == "all":
+                fits &= (component == largest) | (cid > cid[i])
             if two_sided:
-                other &= half != half[i]
-            other &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
-            rows = np.flatnonzero(other)
-            if not len(rows):
-                continue
-            equal = minima[rows] == minima[i]
-            share = equal.mean(axis=1)
-            good = share >= least
+                fits &= half != half[i]
+            equal = minima[i] == minima
+            share = equal.mean(axis=2)
+            fits &= share >= least
             if mode == "all":
-                in_band = equal.reshape(-1, BANDS, ROWS).all(axis=2)
-                good &= in_band.argmax(axis=1) == band
-            rows, share = rows[good], share[good]
-            if mode != "all" and len(rows):
-                chosen = {int(rows[share.argmax()])} | ({int(rows[0])} if mode == "first" else set())
-                rows = np.array(sorted(chosen))
-            us += [int(cid[i])] * len(rows)
-            vs += cid[rows].tolist()
-        low, high = np.minimum(us, vs), np.maximum(us, vs)
-        return pa.table({"u": pa.array(low, pa.int64()), "v": pa.array(high, pa.int64())})
+                fits &= equal.reshape(len(i), len(cid), BANDS, ROWS).all(axis=3).argmax(axis=2) == band
+                left, right = np.nonzero(fits)
+                found.append((i[left, 0], right, share[left, right]))
+                continue
+            some = np.flatnonzero(fits.any(axis=1))
+            share = np.where(fits, share, -1)
+            found.append((i[some, 0], share[some].argmax(axis=1), share[some].max(axis=1)))
+            if mode == "first":
+                least_one = fits[some].argmax(axis=1)
+                found.append((i[some, 0], least_one, share[some, least_one]))
+        left, right, share = (np.concatenate([f[k] for f in found] or [np.zeros(0)]) for k in range(3))
+        return pa.table({"u": pa.array(cid[left.astype(int)]), "v": pa.array(cid[right.astype(int)]), "share": pa.array(share, pa.float64())})
 
     total = members.groupBy("bucket").agg(F.count("*").alias("members"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
@@ -221,31 +217,33 @@ def _partners(members: DataFrame, percent: int, mode: str) -> DataFrame:
             "band", "cid", "component", "n_shingles", "signature",
         )
     )
-    return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "u long, v long").distinct()
+    pairs = dealt.groupBy("bucket", "low", "high").applyInArrow(run, "u long, v long, share double")
+    if mode != "all":
+        # of all its buckets' pairs, a member keeps the best and, at first, the least
+        own = pairs.groupBy("u").agg(F.max_by("v", F.struct("share", -F.col("v"))).alias("best"), F.min("v").alias("least"))
+        pairs = own.select("u", F.explode(F.array("best", "least") if mode == "first" else F.array("best")).alias("v"))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of documents."""
-    signed = cut_lineage(signatures(docs, n))
-    some = signed.filter("n_shingles > 0")
-    best = some.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("cid"))
-    classes = (
-        some.filter("doc_id is not null")
-        .join(best.filter("cid is not null"), ["set_hash", "n_shingles"]).filter("doc_id = cid")
-        .groupBy("cid", "n_shingles", "set_hash").agg(F.first("signature").alias("signature"))
-        .select("cid", "n_shingles", "signature")
+    some = signatures(docs, n).filter("n_shingles > 0 and doc_id is not null")
+    classes = cut_lineage(
+        some.groupBy("set_hash", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("least"))
+        .select("set_hash", "n_shingles", F.col("least.doc_id").alias("cid"), "least.signature")
     )
-    members = buckets(classes)
-    shared = members.groupBy("bucket").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).filter("a < b").select("bucket")
-    crowd = members.join(shared, "bucket").withColumn("component", F.col("cid")).join(classes, "cid")
+    own = classes.select("cid", "n_shingles", "signature")
+    members = buckets(own).repartition("bucket")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("rows")).filter("rows > 1").select("bucket")
+    crowd = members.join(shared, "bucket").withColumn("component", F.col("cid")).join(own, "cid")
     pairs = cut_lineage(_partners(crowd, percent, "first"))
     active = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct())
     sets = cut_lineage(full_sets(docs, active, n))
     links = cut_lineage(_confirmed(pairs, sets, percent))
     joined = components(links)
     # Whoever has a partner that passes is in a pair by now; the others take no further part.
-    near = classes.join(active, "cid", "left_semi")
-    places = cut_lineage(buckets(near).select("cid", "band", "bucket"))
+    near = cut_lineage(own.join(active, "cid", "left_semi"))
+    places = buckets(near)
     mode = "best"
     while True:
         placed = places.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -262,7 +260,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
             mode = "all"
     placed = joined.select(F.col("node").alias("cid"), "component")
     rows = (
-        signed.join(best, ["set_hash", "n_shingles"], "left")
+        signatures(docs, n, signed=False).join(classes.select("set_hash", "n_shingles", "cid"), ["set_hash", "n_shingles"], "left")
         .withColumn("cid", F.when(F.col("n_shingles") > 0, F.col("cid")).otherwise(F.col("doc_id")))
         .join(placed, "cid", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "cid").alias("component_id"))
