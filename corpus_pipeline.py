@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import decontaminate, neardup, quality, substrings
+from quireflow.llm import bpe, decontaminate, neardup, quality, substrings
+from quireflow.llm.vocab import rank_file
 from quireflow.session import scratch_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -47,11 +48,21 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and the digests of ids and decoded bytes."""
+    import public_tokenizers
+
+    pieces = rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe.encode(docs, pieces, public_tokenizers.PATTERN, ("doc_id", "lang", "source", "n_chars"), with_ids=True)
+    return encoded.select("row.*", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+
+
 STAGES = [
     ("quality", quality_rules),
     ("near_dedup", near_dedup),
     ("substring_dedup", substring_dedup),
     ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
 ]
 
 #: Suffix fingerprints and byte merges have no SQL form; a brute-force version checks the rows.

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licences, neardup, quality, substrings
+from . import bpe, chat, decontaminate, languages, licences, neardup, quality, substrings, tokencounts, wrappers
+from .vocab import rank_file, word_start_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +56,16 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+@_query("op1_byte_bpe")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encode(_table(spark, folder, "documents"), pieces, public_tokenizers.PATTERN).select(
+        "row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
+    )
+
+
 @_query("op2_decontamination", _DECONTAMINATION_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -68,6 +79,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query("op4_html_extraction")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract(_table(spark, folder, "pages"))
+
+
 _CHAT_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -126,6 +142,23 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(_table(spark, folder, "documents"))
 
 
+@_query("op8_language_id")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held = languages.held_out(F.col("doc_id"))
+    model = languages.fit(docs.filter(F.col("lang").isNotNull() & ~held))
+    known = languages.identify(docs, model)
+    return known.select("doc_id", F.coalesce(languages.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@_query("op9_token_counts")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = word_start_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencounts.token_counts(_table(spark, folder, "documents"), pieces)
+
+
 _NEARDUP_SQL = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, {_BLACK_WORDS.format(_LOWER)} AS w FROM documents),
 s AS (
