@@ -9,7 +9,10 @@
    In a bucket each member is paired with the least member and with the one whose
    signature agrees best, never with all. Signatures are compared inside blocks of
    bounded size; pairs whose agreement is 4.5 standard deviations below the
-   threshold, or whose set sizes rule a link out, are dropped there.
+   threshold are dropped there, and pairs that cannot be links: by their sizes, or
+   by the parity sketches of their sets. A sketch holds, for each of its bits,
+   whether an odd number of shingles falls on it, so two sketches differ in at
+   most as many bits as the sets differ in shingles: that test loses nothing.
 4. The pairs are confirmed on full sets, and links are joined to components by
    large-star and small-star.
 5. A bucket whose members are now in one component has nothing to add. In the
@@ -48,6 +51,8 @@ ROWS = 4
 #: Members of a bucket compared with each other in one task, at most, and members compared at once.
 BLOCK = 2_048
 _SLAB = 32
+#: Bits of a parity sketch.
+PARITY = 1_024
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -94,8 +99,24 @@ def _minima(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parities(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The parity sketch of each set, as 64-bit words."""
+    texts = len(bounds) - 1
+    out = np.zeros((texts, PARITY // 64), np.uint64)
+    bit = (W.mix(values) % np.uint64(PARITY)).astype(np.int64)
+    for low in range(0, texts, 512):
+        high = min(low + 512, texts)
+        own = np.repeat(np.arange(high - low), np.diff(bounds[low : high + 1])) * PARITY + bit[bounds[low] : bounds[high]]
+        odd = (np.bincount(own, minlength=(high - low) * PARITY) & 1).astype(np.uint8)
+        out[low:high] = np.packbits(odd.reshape(high - low, PARITY), axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
 def signatures(docs: DataFrame, n: int = WORDS, signed: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, signature) of each row of documents; unsigned, the last is null."""
+    """(doc_id, n_shingles, set_hash, signature) of each row of documents; unsigned, the last is null.
+
+    A signature is the minima, then the parity sketch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,6 +125,7 @@ def signatures(docs: DataFrame, n: int = WORDS, signed: bool = True) -> DataFram
                 sizes = np.diff(bounds)
                 full = sizes > 0
                 minima = _minima(values, bounds) if signed else None
+                parity = _parities(values, bounds) if signed else None
                 sums = [np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)]
                 if len(values):
                     for total, salt in zip(sums, (0x51ED270B, 0xA3C59AC3), strict=True):
@@ -114,7 +136,7 @@ def signatures(docs: DataFrame, n: int = WORDS, signed: bool = True) -> DataFram
                         W.ids(batch, chunk).cast(pa.int64()),
                         pa.array(sizes),
                         pa.array([a.tobytes() + b.tobytes() for a, b in zip(*sums, strict=True)], pa.binary()),
-                        pa.array([minima[r].tobytes() if signed and f else None for r, f in zip(rows, full, strict=True)], pa.binary()),
+                        pa.array([minima[r].tobytes() + parity[i].tobytes() if signed and f else None for i, (r, f) in enumerate(zip(rows, full, strict=True))], pa.binary()),
                     ],
                     ["doc_id", "n_shingles", "set_hash", "signature"],
                 )
@@ -172,7 +194,9 @@ def _partners(members: DataFrame, percent: int, mode: str) -> DataFrame:
         table = table.sort_by("cid")
         cid, component, size, half = (table[c].to_numpy() for c in ("cid", "component", "n_shingles", "half"))
         band = table["band"][0].as_py()
-        minima = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+        raw = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(cid), -1)
+        minima = np.ascontiguousarray(raw[:, : 2 * BANDS * ROWS]).view(np.uint16)
+        parity = np.ascontiguousarray(raw[:, 2 * BANDS * ROWS :]).view(np.uint64)
         two_sided = bool(half.max())
         seek = np.arange(len(cid))
         if mode != "first":
@@ -188,6 +212,9 @@ def _partners(members: DataFrame, percent: int, mode: str) -> DataFrame:
                 fits &= (component == largest) | (cid > cid[i])
             if two_sided:
                 fits &= half != half[i]
+            differ = np.bitwise_count(parity[i] ^ parity).sum(axis=2, dtype=np.int64)
+            both = size + size[i]
+            fits &= 100 * (both - differ) >= percent * (both + differ)
             equal = minima[i] == minima
             share = equal.mean(axis=2)
             fits &= share >= least
