@@ -16,10 +16,10 @@
 4. The pairs are confirmed on full sets, and links are joined to components by
    large-star and small-star.
 5. A bucket whose members are now in one component has nothing to add. In the
-   others each member is tried with its best partner outside its component, while
-   that adds links; at last, where components still differ, with every partner
-   outside it whose signature passes (each pair in the first band it shares). So
-   a link between two classes that share a bucket is not lost to the star.
+   others each member is tried with its best partner outside its component; then,
+   where components still differ, with every partner outside it whose signature
+   passes (each pair in the first band it shares). So a link between two classes
+   that share a bucket is not lost to the star.
 
 Two sets of similarity s share no bucket with probability (1 - s**ROWS)**BANDS:
 5e-6 at 0.75.
@@ -271,20 +271,14 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     # Whoever has a partner that passes is in a pair by now; the others take no further part.
     near = cut_lineage(own.join(active, "cid", "left_semi"))
     places = buckets(near)
-    mode = "best"
-    while True:
+    for mode in ("best", "all"):
         placed = places.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         several = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
         mixed = placed.join(several, "bucket").join(near, "cid")
         more = cut_lineage(_confirmed(_partners(mixed, percent, mode), sets, percent))
-        added = not more.isEmpty()
-        if added:
+        if not more.isEmpty():
             links = links.unionByName(more)
             joined = components(links)
-        if mode == "all":
-            break
-        if not added:
-            mode = "all"
     placed = joined.select(F.col("node").alias("cid"), "component")
     rows = (
         signatures(docs, n, signed=False).join(classes.select("set_hash", "n_shingles", "cid"), ["set_hash", "n_shingles"], "left")
