@@ -101,7 +101,8 @@ def a04(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "v11_check_text_coverage",
     f"""{PREPARED} SELECT 'corpus' AS site, 'COVERAGE_TEXT_BELOW_THRESHOLD' AS code, 'error' AS severity, 'validate' AS stage,
-    'Text coverage is ' || printf('%.1f', (1.0 - missing / checked) * 100) || '%; expected at least 90%.' AS message FROM {COVERAGE_SQL} WHERE 1.0 - missing / checked < 0.9""",
+    'Text coverage is ' || printf('%.1f', (1.0 - missing / checked) * 100) || '%; expected at least 90%.' AS message,
+    CAST(NULL AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS hint FROM {COVERAGE_SQL} WHERE 1.0 - missing / checked < 0.9""",
 )
 def v11(spark: SparkSession, folder: str) -> DataFrame:
     found = source(spark, folder)

@@ -88,7 +88,7 @@ def f08(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "f10_fetchable_images",
     f"""{RICH} SELECT page_id, pos, {attr_sql('src')} AS src FROM nodes WHERE tag = 'img' AND coalesce({attr_sql('src')}, '') <> ''
-    AND NOT regexp_matches({attr_sql('src')}, '^(data:|assets/)')""",
+    AND NOT regexp_matches({attr_sql('src')}, '^data:')""",
 )
 def f10(spark: SparkSession, folder: str) -> DataFrame:
     found = capture.fetchable_images(i.rich_nodes(spark, folder, "url"))

@@ -279,7 +279,7 @@ TITLES = Source(
         "page_id",
         "CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '//([^/]*)', 1) ELSE '' END AS og",
         "CASE page_id % 3 WHEN 0 THEN ' App ' ELSE '  ' END AS app",
-        """CASE page_id % 5 WHEN 0 THEN concat(substr(regexp_extract(html, '<title>([^<]*)', 1), 1, 20), ' | A - B | ', page_id, ' ')
+        """CASE page_id % 5 WHEN 0 THEN concat(regexp_extract(html, '<title>([^<]*)', 1), ' | A - B | ', page_id, ' ')
         WHEN 1 THEN concat('x - y – z - ', page_id) WHEN 2 THEN 'a-b' ELSE regexp_extract(html, '<title>([^<]*)', 1) END AS title""",
     ),
 )

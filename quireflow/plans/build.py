@@ -14,25 +14,30 @@ from . import capture, clean
 from .book import chapter_document
 
 
-def build_chapters(pages: DataFrame, files: DataFrame, assets: DataFrame | None = None, language: str = "en") -> DataFrame:
+def build_chapters(pages: DataFrame, files: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """(site, file, page_id, html): ``pages(page_id, site, url, title, html)`` to finished documents.
 
+    One document for each canonical address of a site, from the page with the
+    least id, in the language the page states. A page whose content root is empty
+    keeps an empty document; a page without a root has none.
+
     Node tables are stored three times: after the parse, since links, images and
     structure all start from it; after the structural rewrites; and before
     fragment pruning, which needs every chapter's ids. Each page is parsed once.
     """
     canonical = canonical_url("url")
-    nodes = cut_lineage(
-        capture.capture_content(parse_html(pages, "page_id", "html", "site", "url", "title"))
-    )
+    slim = pages.select("page_id", "site", "url", "title").withColumn("canonical", canonical)
+    first = slim.groupBy("site", "canonical").agg(F.min("page_id").alias("page_id"))
+    chosen = pages.join(first.select("page_id"), "page_id", "left_semi")
+    parsed = cut_lineage(parse_html(chosen, "page_id", "html", "site", "url", "title"))
+    nodes = cut_lineage(capture.capture_content(parsed))
     structured = cut_lineage(clean.clean_structure(nodes))
     linked = clean.rewrite_links(structured, files, source=nodes)
     illustrated = clean.promote_table_header(clean.rewrite_images(linked, assets, source=nodes))
     named = cut_lineage(illustrated.withColumn("file", chapter_name(path(canonical), canonical)))
     content = t.serialize(clean.prune_dangling_fragments(named, files), "page_id")
-    facts = pages.select(
-        "page_id", "site", "url", "title", chapter_name(path(canonical), canonical).alias("file")
-    )
-    joined = facts.join(content, "page_id")
-    document = chapter_document(F.col("title"), F.col("url"), F.lit(language), F.col("html"))
+    facts = slim.select("page_id", "site", "url", "title", chapter_name(path(F.col("canonical")), F.col("canonical")).alias("file"))
+    known = capture.page_titles(parsed).select("page_id", "language").join(capture.rooted_pages(parsed), "page_id")
+    joined = facts.join(known, "page_id").join(content, "page_id", "left").fillna("", ["html"])
+    document = chapter_document(F.col("title"), F.col("url"), F.col("language"), F.col("html"))
     return joined.select("site", "file", "page_id", document.alias("html"))

@@ -168,6 +168,12 @@ def content_root(nodes: DataFrame, *selectors: Column) -> DataFrame:
     ).drop("_in_main", "_root")
 
 
+def rooted_pages(nodes: DataFrame, *selectors: Column) -> DataFrame:
+    """(page_id) of pages that have a content root, empty or not."""
+    marked = nodes.withColumn("_in_main", t.inside(F.col("tag") == "main"))
+    return marked.filter(content_rank(*selectors).isNotNull()).select("page_id").distinct()
+
+
 def nav_rank(*selectors: Column) -> Column:
     labelled = F.coalesce(F.lower(t.attr("aria-label")).contains("doc"), F.lit(False))
     ranked = [
@@ -250,12 +256,16 @@ def inline_svg_to_image(nodes: DataFrame) -> DataFrame:
     )
 
 
-def fetchable_images(nodes: DataFrame) -> DataFrame:
-    """(page_id, node_id, url, src): images with a source to download."""
+def fetchable_images(nodes: DataFrame, generated: DataFrame | None = None) -> DataFrame:
+    """(page_id, node_id, url, src): images with a source to download.
+
+    ``generated(page_id, node_id)`` names images made here, from drawings; they have nothing to download.
+    """
+    if generated is not None:
+        nodes = nodes.join(generated.select("page_id", "node_id"), ["page_id", "node_id"], "left_anti")
     source = t.attr("src")
     return nodes.filter(
         (F.col("tag") == "img") & (F.coalesce(source, F.lit("")) != "") & ~source.startswith("data:")
-        & ~source.startswith("assets/")
     ).select("page_id", "node_id", "url", source.alias("src"))
 
 
@@ -369,7 +379,7 @@ def pick_icon(nodes: DataFrame, url: str = "url") -> DataFrame:
     """(page_id, node_id, icon): touch icons first, then the largest."""
     rel = F.split(F.lower(F.coalesce(t.attr("rel"), F.lit(""))), r"\s+")
     touch = F.array_contains(rel, "apple-touch-icon")
-    size = F.coalesce(F.regexp_extract(F.coalesce(t.attr("sizes"), F.lit("0")), r"^\s*(\d{1,6})", 1).try_cast("int"), F.lit(0))
+    size = F.coalesce(F.regexp_extract(F.coalesce(t.attr("sizes"), F.lit("0")), r"^\s*(\d+)", 1).try_cast("long"), F.lit(0))
     best = F.row_number().over(
         W.partitionBy("page_id").orderBy(F.col("_touch").desc(), F.col("_size").desc(), "open_seq")
     )
@@ -386,6 +396,6 @@ def pick_icon(nodes: DataFrame, url: str = "url") -> DataFrame:
 def capture_content(nodes: DataFrame, *selectors: Column) -> DataFrame:
     """Whole-page nodes to content nodes, in capture order."""
     nodes = label_tab_panels(nodes)
-    nodes = drop_hidden(content_root(nodes, *selectors))
+    nodes = inline_svg_to_image(drop_hidden(content_root(nodes, *selectors)))
     nodes = drop_attrs(drop_boilerplate(nodes))
     return iframe_to_link(nodes)

@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import starts_with_any, truncate_tail
+from ..functions.text import starts_with_any
 from ..functions.url import remove_dot_segments
 from ..operators import tree as t
 from ..operators.discovery import missing_pages
 from ..schema import FINDING
+from ..session import cut_lineage
 
 # Link kinds that are not checked, name rules, nesting sets.
 UNCHECKED_LINKS = ("http://", "https://", "mailto:", "tel:", "#")
@@ -275,13 +276,15 @@ def stage_counts(pages: DataFrame, chapters: DataFrame, assets: DataFrame) -> Da
 
 
 def run_stage(spark: SparkSession, stage: str, site: str, work: Callable[[], DataFrame]) -> DataFrame:
-    """Run one stage; an exception becomes a failed stage's finding instead of ending the job."""
+    """Run one stage; an exception becomes a failed stage's finding instead of ending the job.
+
+    The stage's rows are stored here, so what fails only when the job runs is caught too.
+    """
     try:
-        return work()
+        return cut_lineage(work())
     except Exception as error:  # noqa: BLE001 - the point is to report any failure
         row = [(site, "COMMAND_FAILED", "error", str(error), stage, None, None, None)]
-        failed = spark.createDataFrame(row, FINDING)
-        return failed.withColumn("message", truncate_tail("message"))
+        return spark.createDataFrame(row, FINDING)
 
 
 def content_findings(nodes: DataFrame, files: DataFrame) -> DataFrame:

@@ -387,7 +387,9 @@ def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
     """
     targets = link_targets(links)
     known = files.select("site", F.col("url").alias("target"), F.col("file").alias("target_file"))
-    joined = targets.join(known, ["site", "target"], "left")
+    # Links without a target (mail, own fragments, unwrapped ones) would all meet at a null key.
+    aimed = targets.filter(F.col("target").isNotNull()).join(known, ["site", "target"], "left")
+    joined = aimed.unionByName(targets.filter(F.col("target").isNull()).withColumn("target_file", F.lit(None).cast("string")))
     safe_anchor = F.when(F.col("anchor") == "", "").otherwise(F.concat(F.lit("#"), xml_id("anchor")))
     href = F.col("href")
     return joined.withColumn(
@@ -523,9 +525,11 @@ def prune_fragments(links: DataFrame, ids: DataFrame, files: DataFrame) -> DataF
     ).withColumn("fragment", F.when(has_fragment, url_defrag(href)["fragment"]))
     book = files.select("site", F.col("file").alias("target_file"), F.lit(True).alias("in_book")).distinct()
     targets = ids.select("site", F.col("file").alias("target_file"), F.col("id").alias("fragment"), F.lit(True).alias("defined"))
-    joined = keyed.join(book, ["site", "target_file"], "left").join(
+    aimed = keyed.filter(F.col("target_file").isNotNull()).join(book, ["site", "target_file"], "left").join(
         targets, ["site", "target_file", "fragment"], "left"
     )
+    unaimed = keyed.filter(F.col("target_file").isNull())
+    joined = aimed.unionByName(unaimed.withColumns({"in_book": F.lit(None).cast("boolean"), "defined": F.lit(None).cast("boolean")}))
     dangling = F.coalesce(F.col("in_book"), F.lit(False)) & F.col("defined").isNull()
     return joined.withColumn(
         "new_href",

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_words, starts_with_any, strip_bullet, strip_markdown, strip_ws
 from ..operators.windows import fence_state
 from ..session import cut_lineage
+from .checks import finding
 
 # Which source lines count, and the share of them that must be found.
 MIN_LINE_BYTES = 40
@@ -228,12 +229,19 @@ def missing_lines(lines: DataFrame, chapters: DataFrame, block: int = BLOCK_CHAR
     return lines.join(covered_lines(lines, chapters, block), ["site", "line"], "left_anti")
 
 
-def coverage_ratio(lines: DataFrame, missing: DataFrame) -> DataFrame:
-    """(site, checked, missing, coverage); repeated lines count each time."""
+def coverage_ratio(lines: DataFrame, missing: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """(site, checked, missing, coverage); repeated lines count each time.
+
+    Of ``sites(site)``, those without a line are covered in full.
+    """
     checked = lines.groupBy("site").agg(F.count("*").alias("checked"))
     absent = missing.groupBy("site").agg(F.count("*").alias("missing"))
+    if sites is not None:
+        checked = sites.select("site").distinct().join(checked, "site", "left").fillna(0, ["checked"])
     joined = checked.join(absent, "site", "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
-    return joined.withColumn("coverage", 1.0 - F.col("missing") / F.col("checked"))
+    return joined.withColumn(
+        "coverage", F.when(F.col("checked") > 0, 1.0 - F.col("missing") / F.col("checked")).otherwise(1.0)
+    )
 
 
 def check_text_coverage(coverage: DataFrame) -> DataFrame:
@@ -244,9 +252,5 @@ def check_text_coverage(coverage: DataFrame) -> DataFrame:
         F.lit("%; expected at least 90%."),
     )
     return coverage.filter(F.col("coverage") < COVERAGE_THRESHOLD).select(
-        "site",
-        F.lit("COVERAGE_TEXT_BELOW_THRESHOLD").alias("code"),
-        F.lit("error").alias("severity"),
-        message.alias("message"),
-        F.lit("validate").alias("stage"),
+        "site", *finding("COVERAGE_TEXT_BELOW_THRESHOLD", message)
     )

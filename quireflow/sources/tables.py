@@ -23,27 +23,31 @@ def _or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.array().cast("array<string>"))
 
 
-def read_pages(spark: SparkSession, path: str, file_format: str = "json") -> DataFrame:
-    """Page records with ``page_key``, the order in which stored pages are listed."""
-    pages = spark.read.schema(PAGE).format(file_format).load(path)
+def read_pages(spark: SparkSession, path: str, file_format: str = "json", multi_line: bool = False) -> DataFrame:
+    """Page records with ``page_key``, the order in which stored pages are listed.
+
+    ``multi_line`` is for JSON files of one record each, printed over several lines.
+    """
+    pages = spark.read.schema(PAGE).format(file_format).option("multiLine", multi_line).load(path)
     checked = _required(pages, "url", "discovered_from")
     return checked.withColumns(
         {"assets": _or_empty("assets"), "warnings": _or_empty("warnings"), "page_key": page_key("url")}
     )
 
 
-def read_sites(spark: SparkSession, path: str, file_format: str = "json") -> DataFrame:
-    """Site records; a record of another format version is an error that names both versions."""
-    sites = _required(spark.read.schema(SITE).format(file_format).load(path), "sitemap_urls", "nav", "pages")
+def read_sites(spark: SparkSession, path: str, file_format: str = "json", multi_line: bool = False) -> DataFrame:
+    """Site records; a record of another format version is an error that names both versions.
+
+    The version is tested in a filter, which no choice of columns prunes.
+    """
+    stored = spark.read.schema(SITE).format(file_format).option("multiLine", multi_line).load(path)
+    sites = _required(stored, "sitemap_urls", "nav", "pages")
     message = F.concat(
         F.lit("Unsupported record version "),
         F.coalesce(F.col("ir_version").cast("string"), F.lit("none")),
         F.lit(f"; expected {IR_VERSION}."),
     )
-    version = F.when(F.col("ir_version").eqNullSafe(F.lit(IR_VERSION)), F.col("ir_version")).otherwise(
-        F.raise_error(message)
-    )
-    return sites.withColumn("ir_version", version)
+    return sites.filter(F.col("ir_version").eqNullSafe(F.lit(IR_VERSION)) | F.raise_error(message).cast("boolean"))
 
 
 def site_nav(sites: DataFrame) -> DataFrame:
