@@ -17,7 +17,7 @@ from . import oracle as o
 from .inputs import attr_sql, below
 from .registry import ORACLES, QUERIES, query, table
 from .rewrites import HEADINGS_SQL, LINKS_SQL, POLICY_SQL, RICH_URL, pos
-from .sites import CAP, DISCOVERED, LANG, NAV_SQL, bases, cap, derived, reading_list
+from .sites import CAP, DISCOVERED, LANG, NAV_SQL, STORED, bases, cap, derived, reading_list
 
 FILE_SQL = o.chapter_name(o.part("url", "path"), "url")
 
@@ -114,7 +114,7 @@ PAGES_SQL = f"""book_pages AS MATERIALIZED (SELECT site, url, title, CASE WHEN p
   chapters AS MATERIALIZED (SELECT p.site, row_number() OVER (PARTITION BY p.site ORDER BY n.nav_pos NULLS LAST, left(sha256(p.url), 16), p.url) AS ord, p.url, p.title, p.page_id,
     {o.chapter_name(o.part('p.url', 'path'), 'p.url')} AS file, CASE WHEN p.language = '' THEN 'en-' || p.site ELSE p.language END AS lang
     FROM book_pages p LEFT JOIN ordered_nav n ON n.site = p.site AND n.url = p.url)"""
-BOOK = f"{CAP}, {DISCOVERED}, {NAV_SQL}, {PAGES_SQL}"
+BOOK = f"{STORED}, {DISCOVERED}, {NAV_SQL}, {PAGES_SQL}"
 SITE_COLUMNS = (
     "site",
     "url AS base_url",
@@ -134,7 +134,7 @@ def sites(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def book_pages(spark: SparkSession, folder: str) -> DataFrame:
-    captured = derived(spark, folder, "captured")
+    captured = derived(spark, folder, "stored")
     language = F.when(F.col("page_id") % 4 == 0, "").otherwise(F.regexp_extract("html", '<html lang="([^"]*)', 1))
     return captured.withColumns({"language": language, "route": path("url")})
 
@@ -144,7 +144,7 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def math(spark: SparkSession, folder: str) -> DataFrame:
-    return derived(spark, folder, "captured").filter("page_id % 9 = 1").select("site", "url")
+    return derived(spark, folder, "stored").filter("page_id % 9 = 1").select("site", "url")
 
 
 def chapters(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,16 +168,18 @@ def m03(spark: SparkSession, folder: str) -> DataFrame:
     return chapters(spark, folder)
 
 
+BODY = "concat('<p>', replace(replace(replace(html, '&', ' '), '<', ' '), '>', ' '), '</p>')"
 DOCUMENT_SQL = f"""'<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<!DOCTYPE html>' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="' || {o.escape('lang')} || '" lang="' || {o.escape('lang')} || '">' || chr(10)
-  || '<head>' || chr(10) || '  <meta charset="utf-8"/>' || chr(10) || '  <meta name="viewport" content="width=device-width, initial-scale=1"/>' || chr(10) || '  <title>' || {o.escape('title')} || '</title>' || chr(10)
-  || '  <link rel="stylesheet" type="text/css" href="../styles/book.css"/>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || '  <main>' || chr(10) || '    <h1>' || {o.escape('title')} || '</h1>' || chr(10)
-  || '    <p class="source">Source: <a href="' || {o.escape('url')} || '">' || {o.escape('url')} || '</a></p>' || chr(10) || '    ' || '<p>body</p>' || chr(10) || '  </main>' || chr(10) || '</body>' || chr(10) || '</html>' || chr(10)"""
+  || '<head><meta charset="utf-8"/><title>' || {o.escape('title')} || '</title><link rel="stylesheet" type="text/css" href="../styles/book.css"/></head>' || chr(10)
+  || '<body><article>' || chr(10) || '<h1>' || {o.escape('title')} || '</h1>' || chr(10) || {BODY} || chr(10)
+  || '<footer class="origin"><a href="' || {o.escape('url')} || '">' || {o.escape('url')} || '</a></footer>' || chr(10) || '</article></body>' || chr(10) || '</html>' || chr(10)"""
 
 
-@query("m04_chapter_document", f"{BOOK} SELECT site, ord, {DOCUMENT_SQL} AS document FROM chapters")
+@query("m04_chapter_document", f"{BOOK} SELECT site, ord, {DOCUMENT_SQL} AS document FROM chapters JOIN (SELECT site, url, html FROM captured) USING (site, url)")
 def m04(spark: SparkSession, folder: str) -> DataFrame:
-    made = book.chapter_document(F.col("title"), F.col("url"), F.col("lang"), F.lit("<p>body</p>"))
-    return chapters(spark, folder).select("site", "ord", made.alias("document"))
+    texts = derived(spark, folder, "stored").selectExpr("site", "url", f"{BODY} AS body")
+    made = book.chapter_document(F.col("title"), F.col("url"), F.col("lang"), F.col("body"))
+    return chapters(spark, folder).join(texts, ["site", "url"]).select("site", "ord", made.alias("document"))
 
 
 @query(
@@ -320,7 +322,7 @@ def j14(spark: SparkSession, folder: str) -> DataFrame:
 @query("j15_nav_not_in_spine", f"{BOOK} SELECT site, file FROM chapters WHERE page_id % 5 = 0")
 def j15(spark: SparkSession, folder: str) -> DataFrame:
     toc = chapters(spark, folder)
-    kept = derived(spark, folder, "captured").filter("page_id % 5 <> 0").select("site", chapter_name(path("url"), "url").alias("file"))
+    kept = derived(spark, folder, "stored").filter("page_id % 5 <> 0").select("site", chapter_name(path("url"), "url").alias("file"))
     return checks.nav_not_in_spine(toc, kept)
 
 
@@ -497,7 +499,7 @@ def page_records(spark: SparkSession, folder: str) -> DataFrame:
 RECORDS_SQL = f"""records AS (SELECT url, {o.part('url', 'path')} AS route, title, CASE WHEN page_id % 4 = 0 THEN 'en' ELSE {LANG} END AS language, sha256(html) AS content_hash, left(sha256(url), 16) AS page_key, 0 AS assets FROM captured)"""
 
 
-@query("s01_read_pages", f"{CAP}, {RECORDS_SQL} SELECT * FROM records")
+@query("s01_read_pages", f"{STORED}, {RECORDS_SQL} SELECT * FROM records")
 def s01(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_folder(spark, "pages")
     sinks.write_pages(page_records(spark, folder), f"{target}/pages")
@@ -505,7 +507,7 @@ def s01(spark: SparkSession, folder: str) -> DataFrame:
     return stored.select("url", "route", "title", "language", "content_hash", "page_key", F.size("assets").cast("long").alias("assets"))
 
 
-@query("k01_write_pages", f"{CAP}, {RECORDS_SQL} SELECT url, CASE WHEN left(content_hash, 1) < '8' THEN 'new ' || title ELSE title END AS title, content_hash FROM records")
+@query("k01_write_pages", f"{STORED}, {RECORDS_SQL} SELECT url, CASE WHEN left(content_hash, 1) < '8' THEN 'new ' || title ELSE title END AS title, content_hash FROM records")
 def k01(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_folder(spark, "pages")
     old = page_records(spark, folder)
@@ -514,7 +516,7 @@ def k01(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read_pages(spark, f"{target}/pages").select("url", "title", "content_hash")
 
 
-@query("k07_inspect", f"{CAP}, {RECORDS_SQL} SELECT url FROM records")
+@query("k07_inspect", f"{STORED}, {RECORDS_SQL} SELECT url FROM records")
 def k07(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_folder(spark, "pages")
     sinks.write_pages(page_records(spark, folder), f"{target}/pages")

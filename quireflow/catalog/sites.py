@@ -14,7 +14,8 @@ from .registry import query, table
 
 TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
 LANG = "regexp_extract(html, '<html lang=\"([^\"]*)', 1)"
-# Tables derived from the captured pages, in SQL both engines read alike.
+# Tables derived from the pages, in SQL both engines read alike. `captured` lacks some pages, so that comparing it with
+# the listed ones finds something; `stored` has all.
 DERIVED = {
     "sitemap": ("site, page_id AS pos, CASE WHEN page_id % 5 = 0 THEN concat('https://moved.example/', page_id) ELSE url END AS url", "page_id % 2 = 0"),
     "nav": (
@@ -23,6 +24,7 @@ DERIVED = {
     ),
     "landed": ("site, concat('https://moved.example/', page_id) AS url, url AS landed", "page_id % 3 <> 1"),
     "captured": ("site, url, title, page_id, html", "page_id % 7 <> 0"),
+    "stored": ("site, url, title, page_id, html", "true"),
 }
 
 
@@ -34,7 +36,7 @@ def cap(spark: SparkSession, folder: str) -> DataFrame:
 def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
     columns, condition = DERIVED[name]
     picked = cap(spark, folder).filter(condition).selectExpr(*_split(columns))
-    return first_wins(picked, ["site", "url"], "page_id") if name == "captured" else picked
+    return first_wins(picked, ["site", "url"], "page_id") if name in ("captured", "stored") else picked
 
 
 def _split(columns: str) -> list[str]:
@@ -55,6 +57,8 @@ CAP = f"""WITH cap AS MATERIALIZED (SELECT page_id, {i.SITE} AS site, {o.canonic
  bases AS (SELECT site, min(url) AS url FROM cap GROUP BY site),
  captured AS MATERIALIZED (SELECT {DERIVED['captured'][0]} FROM cap WHERE {DERIVED['captured'][1]} QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY page_id) = 1),
  """ + ", ".join(f"{name} AS (SELECT {DERIVED[name][0]} FROM cap WHERE {DERIVED[name][1]})" for name in ("sitemap", "nav", "landed"))
+# The same tables where all pages are there: for books and records.
+STORED = CAP.replace(DERIVED["captured"][1], DERIVED["stored"][1])
 DISCOVERED = """discovered AS MATERIALIZED (SELECT site, url, rank, pos FROM (SELECT site, url, 0 AS rank, 0 AS pos FROM bases UNION ALL SELECT site, url, 1, pos FROM nav UNION ALL SELECT site, url, 2, pos FROM sitemap)
   QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY rank, pos) = 1)"""
 
@@ -137,21 +141,21 @@ NAV_SQL = f"""listed AS (SELECT site, url, title, 0 AS rank, 0 AS part, pos FROM
     JOIN captured c ON c.site = f.site AND c.url = f.url)"""
 
 
-def reading_list(spark: SparkSession, folder: str) -> DataFrame:
+def reading_list(spark: SparkSession, folder: str, pages: str = "stored") -> DataFrame:
     return d.captured_nav(
         derived(spark, folder, "nav"),
         _discovered(spark, folder),
         derived(spark, folder, "landed"),
-        derived(spark, folder, "captured"),
+        derived(spark, folder, pages),
     )
 
 
 @query("j02_captured_nav", f"{CAP}, {DISCOVERED}, {NAV_SQL} SELECT site, url, title, rank, part, pos FROM reading")
 def j02(spark: SparkSession, folder: str) -> DataFrame:
-    return reading_list(spark, folder)
+    return reading_list(spark, folder, "captured")
 
 
-@query("o02_nav_order", f"{CAP}, {DISCOVERED}, {NAV_SQL} SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY rank, part, pos, url) AS place FROM reading")
+@query("o02_nav_order", f"{STORED}, {DISCOVERED}, {NAV_SQL} SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY rank, part, pos, url) AS place FROM reading")
 def o02(spark: SparkSession, folder: str) -> DataFrame:
     from ..plans.book import nav_order
 
@@ -194,9 +198,9 @@ def a14(spark: SparkSession, folder: str) -> DataFrame:
     return d.provenance_histogram(_provenance(spark, folder))
 
 
-@query("a11_site_urls", f"{CAP} SELECT DISTINCT site, url FROM captured")
+@query("a11_site_urls", f"{STORED} SELECT DISTINCT site, url FROM captured")
 def a11(spark: SparkSession, folder: str) -> DataFrame:
-    return d.site_urls(derived(spark, folder, "captured"))
+    return d.site_urls(derived(spark, folder, "stored"))
 
 
 @query(

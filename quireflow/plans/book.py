@@ -50,6 +50,7 @@ ACCESSIBILITY = (
         "The publication has a table of contents, source links, reflowable text, and alternative text for images.",
     ),
 )
+LANDMARK_KINDS = ("cover", "toc", "bodymatter")
 STYLES = (
     "body { line-height: 1.5; margin: 5%; }\nimg { max-width: 100%; height: auto; }\n"
     "pre { white-space: pre-wrap; overflow-wrap: anywhere; }\ntable { border-collapse: collapse; }\n"
@@ -96,16 +97,16 @@ def chapters(pages: DataFrame, nav: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def chapter_document(title: Column, url: Column, lang: Column, content: Column) -> Column:
-    """The chapter file as XHTML text."""
+    """The chapter file as XHTML text: title, content, and where it was captured."""
     lang, title, url = escape_html(lang), escape_html(title), escape_html(url)
-    part = F.lit
+    head = F.concat(
+        F.lit('<head><meta charset="utf-8"/><title>'), title,
+        F.lit('</title><link rel="stylesheet" type="text/css" href="../styles/book.css"/></head>\n'),
+    )
+    origin = F.concat(F.lit('<footer class="origin"><a href="'), url, F.lit('">'), url, F.lit("</a></footer>\n"))
     return F.concat(
-        part(XHTML_HEAD + ' xml:lang="'), lang, part('" lang="'), lang,
-        part('">\n<head>\n  <meta charset="utf-8"/>\n  <meta name="viewport" content="width=device-width, initial-scale=1"/>\n  <title>'),
-        title,
-        part('</title>\n  <link rel="stylesheet" type="text/css" href="../styles/book.css"/>\n</head>\n<body>\n  <main>\n    <h1>'),
-        title, part('</h1>\n    <p class="source">Source: <a href="'), url, part('">'), url, part("</a></p>\n    "),
-        content, part("\n  </main>\n</body>\n</html>\n"),
+        F.lit(XHTML_HEAD + ' xml:lang="'), lang, F.lit('" lang="'), lang, F.lit('">\n'), head,
+        F.lit("<body><article>\n<h1>"), title, F.lit("</h1>\n"), content, F.lit("\n"), origin, F.lit("</article></body>\n</html>\n"),
     )
 
 
@@ -124,7 +125,7 @@ def toc(chapters: DataFrame) -> DataFrame:
 def landmarks(chapters: DataFrame) -> DataFrame:
     """(site, kind, href, label): cover, contents and first chapter."""
     first = chapters.filter("ord = 1").select(
-        "site", F.lit("bodymatter").alias("kind"), F.concat(F.lit("text/"), "file").alias("href"), F.lit("Start").alias("label")
+        "site", F.lit("bodymatter").alias("kind"), F.concat(F.lit("text/"), "file").alias("href"), F.lit("First chapter").alias("label")
     )
     fixed = chapters.filter("ord = 1").select(
         "site",
@@ -132,7 +133,7 @@ def landmarks(chapters: DataFrame) -> DataFrame:
             F.array(
                 *(
                     F.struct(F.lit(kind).alias("kind"), F.lit(href).alias("href"), F.lit(label).alias("label"))
-                    for kind, href, label in (("cover", "cover.xhtml", "Cover"), ("toc", "nav.xhtml", "Contents"))
+                    for kind, href, label in (("cover", "cover.xhtml", "Front cover"), ("toc", "nav.xhtml", "All chapters"))
                 )
             )
         ),
@@ -259,8 +260,10 @@ def book_files(
         F.lit(XHTML_HEAD + ' xmlns:epub="http://www.idpf.org/2007/ops" xml:lang="'), lang, F.lit('" lang="'), lang, F.lit('">\n')
     )
     linked = '</title><link rel="stylesheet" type="text/css" href="styles/book.css"/></head>\n'
-    start_href = tables["landmarks"].filter("kind = 'bodymatter'").select("site", escape_html("href").alias("start"))
-    with_start = meta.join(start_href, "site")
+    landmark = F.concat(
+        F.lit('<li><a epub:type="'), F.col("kind"), F.lit('" href="'), escape_html("href"), F.lit('">'), escape_html("label"), F.lit("</a></li>\n")
+    )
+    landmark_place = F.array_position(F.array(*map(F.lit, LANDMARK_KINDS)), F.col("kind"))
     ncx_head = F.concat(
         F.lit('<?xml version="1.0" encoding="utf-8"?>\n<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1" xml:lang="'),
         lang, F.lit('">\n<head><meta name="dtb:uid" content="'), F.col("identifier"), F.lit('"/></head><docTitle><text>'), title,
@@ -300,10 +303,9 @@ def book_files(
             F.concat(opened, F.lit("<head><title>Contents" + linked + '<body><nav epub:type="toc" id="toc"><h1>Contents</h1><ol>')),
         ),
         text_parts(tables["toc"], "EPUB/nav.xhtml", F.col("ord"), F.concat("nav_item", F.lit("\n"))),
-        text_parts(
-            with_start, "EPUB/nav.xhtml", end,
-            F.concat(F.lit('</ol></nav>\n<nav epub:type="landmarks" hidden="hidden"><ol>\n<li><a epub:type="cover" href="cover.xhtml">Cover</a></li>\n<li><a epub:type="toc" href="nav.xhtml">Contents</a></li>\n<li><a epub:type="bodymatter" href="'), F.col("start"), F.lit('">Start</a></li>\n</ol></nav></body>\n</html>\n')),
-        ),
+        text_parts(meta, "EPUB/nav.xhtml", end, F.lit('</ol></nav>\n<nav epub:type="landmarks" hidden="hidden"><ol>\n')),
+        text_parts(tables["landmarks"], "EPUB/nav.xhtml", end + landmark_place, landmark),
+        text_parts(meta, "EPUB/nav.xhtml", end * 2, F.lit("</ol></nav></body>\n</html>\n")),
         text_parts(meta, "EPUB/toc.ncx", F.lit(0), ncx_head),
         text_parts(tables["toc"], "EPUB/toc.ncx", F.col("ord"), F.concat("ncx_point", F.lit("\n"))),
         text_parts(meta, "EPUB/toc.ncx", end, F.lit("</navMap>\n</ncx>\n")),

@@ -7,9 +7,11 @@ image rows and come back by (page_id, node_id).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.ids import xml_id
 from ..functions.media import base_name
@@ -318,11 +320,33 @@ def math_alttext(nodes: DataFrame) -> DataFrame:
     ).drop("_math")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def numbered_names(pages: pd.Series) -> pd.Series:
+    """First unused of base, base-2, base-3 for the bases of a page in order; null where the input is.
+
+    A number once taken stays taken, so each base goes on from its last number.
+    """
+
+    def names(bases):
+        used, last, out = set(), {}, []
+        for base in bases:
+            name, number = base, last.get(base, 1)
+            while name in used:
+                number += 1
+                name = f"{base}-{number}"
+            last[base] = number
+            used.add(name)
+            out.append(name)
+        return out
+
+    return pages.map(names, na_action="ignore")
+
+
 def unique_ids(nodes: DataFrame) -> DataFrame:
     """XML-safe ids, made unique per page in document order as base, base-2, base-3, first unused.
 
     Numbering within a base is a window. Only pages where a numbered name meets
-    another name run the in-order fold over their id rows.
+    another name send the ids of their rows, in order, through ``numbered_names``.
     """
     raw = t.attr("id")
     based = nodes.withColumn("_base", F.when(raw != "", xml_id(raw)))
@@ -338,19 +362,13 @@ def unique_ids(nodes: DataFrame) -> DataFrame:
     clashing = named.withColumn("_uses", uses).withColumn("_clash", F.max(F.col("_uses") > 1).over(t.page()))
     in_fold = F.col("_clash") & F.col("_base").isNotNull()
 
-    def fold(key: Column, rows: Column) -> Column:
-        def step(used: Column, base: Column) -> Column:
-            free = F.filter(
-                F.sequence(F.lit(2), F.size(used) + 2),
-                lambda k: ~F.array_contains(used, F.concat(base, F.lit("-"), k.cast("string"))),
-            )
-            fresh = F.when(F.array_contains(used, base), F.concat(base, F.lit("-"), F.get(free, F.lit(0)).cast("string")))
-            return F.array_append(used, F.coalesce(fresh, base))
+    def names(key: Column, rows: Column) -> Column:
+        return numbered_names(F.when(key >= 0, F.transform(rows, lambda r: r["_base"])))
 
-        names = F.aggregate(F.transform(rows, lambda r: r["_base"]), F.array().cast("array<string>"), step)
-        return F.when(key >= 0, F.transform(rows, lambda r, i: r.withField("_name", F.get(names, i)))).otherwise(rows)
+    def fill(key: Column, rows: Column) -> Column:
+        return F.when(key >= 0, F.zip_with(rows, F.col("_names"), lambda r, name: r.withField("_name", name))).otherwise(rows)
 
-    resolved = t.rewrite_groups(clashing, F.when(in_fold, F.lit(0)).otherwise(F.lit(t.REST)), fold)
+    resolved = t.rewrite_groups(clashing, F.when(in_fold, F.lit(0)).otherwise(F.lit(t.REST)), fill, _names=names)
     return resolved.withColumn(
         "attrs",
         F.when(F.col("_name").isNotNull(), t.set_attr("attrs", "id", F.col("_name"))).otherwise(F.col("attrs")),
