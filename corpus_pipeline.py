@@ -31,8 +31,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words or without an id are in no group and stay.
     """
-    judged = neardup.near_duplicates(docs).filter("kept or component_id is null").select("doc_id").distinct()
-    return docs.join(judged.filter("doc_id is not null"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    kept = neardup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id")
+    # repeated rows go before the union, where the join has put equal ids together
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    unnamed = docs.filter("doc_id is null").dropDuplicates(["text"])
+    return named.unionByName(unnamed).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,10 +14,13 @@ from ..session import cut_lineage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Larger neighbours of each node are linked to its least neighbour or to itself."""
+    """Larger neighbours of each node are linked to its least neighbour or to itself.
+
+    One row for each link, so repeats can wait for the small star that follows.
+    """
     both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

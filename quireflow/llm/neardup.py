@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import words as W
+from .asciiwords import bounded
 from .components import components
 
 WORDS = 5
@@ -150,7 +151,10 @@ def least_agreement(percent: int) -> float:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cid, shingles): the sorted set fingerprints of the wanted documents, for exact tests."""
+    """(cid, shingles): the sorted set fingerprints of the wanted documents, for exact tests.
+
+    While the wanted ids are few enough to be broadcast, the texts are not shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +164,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 sets = pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([W.ids(batch, chunk).cast(pa.int64()), sets], ["cid", "shingles"])
 
-    chosen = docs.select("doc_id", "text").join(wanted.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi")
+    names = wanted.select(F.col("cid").alias("doc_id"))
+    chosen = docs.select("doc_id", "text").join(bounded(names, wanted.count()), "doc_id", "left_semi")
     return chosen.mapInArrow(run, "cid long, shingles array<long>")
 
 
@@ -174,17 +179,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, band, cid): each class once for each band."""
+def buckets(classes: DataFrame, *keep: str) -> DataFrame:
+    """(cid, kept columns, band, bucket): each class once for each band."""
     width = 2 * ROWS
     bands = F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(signature, b * {width} + 1, {width})))"))
-    return classes.select("cid", bands.alias("band", "bucket"))
+    return classes.select("cid", *keep, bands.alias("band", "bucket"))
 
 
 def _partners(members: DataFrame, percent: int, mode: str) -> DataFrame:
     """Pairs (u, v) of a bucket whose signatures pass, found in blocks.
 
-    members: (bucket, band, cid, component, n_shingles, signature). Modes:
+    members: (bucket, band, cid, component, n_shingles, signature, members), the
+    last being the number of rows of the bucket. Modes:
     `first` pairs each member with the least of the block and with its best;
     `best` with its best outside its component; `all` with all outside it.
     """
@@ -232,11 +238,9 @@ def _partners(members: DataFrame, percent: int, mode: str) -> DataFrame:
         left, right, share = (np.concatenate([f[k] for f in found] or [np.zeros(0)]) for k in range(3))
         return pa.table({"u": pa.array(cid[left.astype(int)]), "v": pa.array(cid[right.astype(int)]), "share": pa.array(share, pa.float64())})
 
-    total = members.groupBy("bucket").agg(F.count("*").alias("members"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     dealt = (
-        members.join(total, "bucket")
-        .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", own)
+        members.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
@@ -261,24 +265,25 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     )
     own = classes.select("cid", "n_shingles", "signature")
     members = buckets(own).repartition("bucket")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("rows")).filter("rows > 1").select("bucket")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     crowd = members.join(shared, "bucket").withColumn("component", F.col("cid")).join(own, "cid")
     pairs = cut_lineage(_partners(crowd, percent, "first"))
     active = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct())
     sets = cut_lineage(full_sets(docs, active, n))
-    links = cut_lineage(_confirmed(pairs, sets, percent))
-    joined = components(links)
+    joined = components(_confirmed(pairs, sets, percent))
     # Whoever has a partner that passes is in a pair by now; the others take no further part.
     near = cut_lineage(own.join(active, "cid", "left_semi"))
-    places = buckets(near)
     for mode in ("best", "all"):
-        placed = places.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        several = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
+        named = near.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        placed = buckets(named, "component")
+        counted = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members"))
+        several = counted.filter("a < b").select("bucket", "members")
         mixed = placed.join(several, "bucket").join(near, "cid")
         more = cut_lineage(_confirmed(_partners(mixed, percent, mode), sets, percent))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            joined = components(links)
+            # the components found so far are stars; new links join their hubs
+            stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            joined = components(stars.unionByName(more))
     placed = joined.select(F.col("node").alias("cid"), "component")
     rows = (
         signatures(docs, n, signed=False).join(classes.select("set_hash", "n_shingles", "cid"), ["set_hash", "n_shingles"], "left")
