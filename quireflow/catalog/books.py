@@ -386,7 +386,8 @@ def v09(spark: SparkSession, folder: str) -> DataFrame:
 
 
 PACKAGE_SQL = f"""broken AS (SELECT site, file, unnest(list_filter([CASE WHEN tag = 'script' THEN 'PACKAGE_SCRIPT' END, CASE WHEN len(list_filter(attrs, lambda a: starts_with(a.name, 'on'))) > 0 THEN 'PACKAGE_HANDLER' END,
-  CASE WHEN tag = 'a' AND starts_with({attr_sql('href')}, 'data:') THEN 'PACKAGE_DATA_LINK' END], lambda x: x IS NOT NULL)) AS rule FROM filed)"""
+  CASE WHEN tag = 'a' AND starts_with({attr_sql('href')}, 'data:') THEN 'PACKAGE_DATA_LINK' END], lambda x: x IS NOT NULL)) AS rule FROM filed
+  UNION ALL SELECT site, file, 'PACKAGE_REPEATED_ID' FROM (SELECT site, file, page_id, {attr_sql('id')} AS id FROM filed) WHERE id IS NOT NULL GROUP BY site, file, page_id, id HAVING count(*) > 1)"""
 
 
 @query("v12_check_package", f"{FILED}, {PACKAGE_SQL} SELECT site, rule AS code, 'error' AS severity, 'Content breaks rule ' || rule AS message, 'validate' AS stage, CAST(NULL AS VARCHAR) AS url, file, CAST(NULL AS VARCHAR) AS hint FROM broken")
@@ -564,16 +565,19 @@ def s03(spark: SparkSession, folder: str) -> DataFrame:
     return tables.sitemap_locations(documents, "page_id")
 
 
-XHTML = """concat('<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="en"><body><p><p>', page_id, '</p></p><br/>', CASE WHEN page_id % 4 = 0 THEN '<b>' ELSE '' END, '<a href="x"/></body></html>') AS html"""
+XHTML = """concat('<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="en"><body><p><p>', page_id, '</p></p><br/>', CASE WHEN page_id % 4 = 0 THEN '<b>' ELSE '' END, '<script src="a.js"/><i><![CDATA[<b>', page_id, '</b> & ]]></i><a href="x"/></body></html>') AS html"""
 
 
-@query("s08_parse_xhtml", "SELECT page_id, page_id % 4 <> 0 AS sound, CASE WHEN page_id % 4 <> 0 THEN 4 ELSE 0 END AS depth FROM pages")
+@query("s08_parse_xhtml", "SELECT page_id, page_id % 4 <> 0 AS sound, CASE WHEN page_id % 4 <> 0 THEN 4 ELSE 0 END AS depth, CASE WHEN page_id % 4 <> 0 THEN '<b>' || page_id || '</b> & ' END AS literal FROM pages")
 def s08(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "pages").selectExpr("page_id", XHTML).withColumn(
         "error", markup.xml_error(F.encode("html", "UTF-8"))
     )
     nodes = markup.parse_html(documents.filter("error IS NULL"), "page_id", "html", xml=True)
-    deepest = nodes.filter("kind = 'element'").groupBy("page_id").agg(F.max("depth").cast("long").alias("depth"))
+    literal = F.max(F.when((F.col("kind") == "text") & F.col("text").contains("<"), F.col("text")))
+    deepest = nodes.groupBy("page_id").agg(
+        F.max(F.when(F.col("kind") == "element", F.col("depth"))).cast("long").alias("depth"), literal.alias("literal")
+    )
     return (
         documents.select("page_id", F.col("error").isNull().alias("sound"))
         .join(deepest, "page_id", "left")

@@ -11,7 +11,8 @@ from ..functions.url import path
 from ..operators import tree as t
 from ..operators.windows import fence_state, top_n
 from ..plans import coverage as c
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_folder
+from ..sources.sinks import write_coverage
 from . import inputs as i
 from . import oracle as o
 from .registry import query, spread, table
@@ -111,12 +112,16 @@ def v11(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "k04_write_coverage",
-    f"{PREPARED} SELECT 'corpus' AS site, '{{\"site\":\"corpus\",\"checked\":' || checked || ',\"missing\":' || missing || '}}' AS document FROM {COVERAGE_SQL}",
+    f"""{PREPARED} SELECT '{{"site":"corpus","checked":' || checked || ',"missing":' || missing || ',"coverage":' || round(1.0 - missing / checked, 9) || '}}' AS document FROM {COVERAGE_SQL}
+    UNION ALL SELECT '{{"site":"corpus","line":' || to_json(line) || '}}' FROM missing""",
 )
 def k04(spark: SparkSession, folder: str) -> DataFrame:
     found = source(spark, folder)
-    ratio = c.coverage_ratio(found, c.missing_lines(found, chapters(spark, folder)))
-    return ratio.select("site", F.to_json(F.struct("site", "checked", "missing")).alias("document"))
+    missing = cut_lineage(c.missing_lines(found, chapters(spark, folder)))
+    ratio = c.coverage_ratio(found, missing).withColumn("coverage", F.round("coverage", 9))
+    path = scratch_folder(spark, "coverage")
+    write_coverage(ratio, missing, path)
+    return spark.read.text(path).withColumnRenamed("value", "document")
 
 
 @query(

@@ -81,10 +81,9 @@ def unescape(x: str) -> str:
     return x
 
 
-def nodes_sql(source: str, *keep: str) -> str:
-    """CTE list ending in ``nodes``: a token walk with an explicit stack, one token of every page per step."""
-    kept = "".join(f", s.{name}" for name in keep)
-    return f"""RECURSIVE src AS MATERIALIZED (SELECT * FROM {source}),
+def tokens_sql(source: str) -> str:
+    """CTE list ending in ``tok``: every token with its position and kind, without element structure."""
+    return f"""src AS MATERIALIZED (SELECT * FROM {source}),
  raw_tokens AS (SELECT page_id, unnest(t) AS tok, generate_subscripts(t, 1) AS i
    FROM (SELECT page_id, regexp_extract_all(html, {TOKENS}, 0) AS t FROM src)),
  pieces AS (
@@ -98,7 +97,13 @@ def nodes_sql(source: str, *keep: str) -> str:
      WHEN regexp_matches(tok, '^</[A-Za-z]') THEN 'close'
      WHEN regexp_matches(tok, '^<[A-Za-z]') THEN CASE WHEN lower(regexp_extract(tok, {NAME}, 1)) IN ({_VOID}) OR ends_with(tok, '/>') THEN 'void' ELSE 'open' END
      ELSE 'text' END AS code,
-   lower(regexp_extract(tok, {NAME}, 1)) AS tag FROM pieces),
+   lower(regexp_extract(tok, {NAME}, 1)) AS tag FROM pieces)"""
+
+
+def nodes_sql(source: str, *keep: str) -> str:
+    """CTE list ending in ``nodes``: a token walk with an explicit stack, one token of every page per step."""
+    kept = "".join(f", s.{name}" for name in keep)
+    return f"""RECURSIVE {tokens_sql(source)},
  walk AS (
    SELECT page_id, CAST(-1 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS tags, CAST([] AS BIGINT[]) AS spots,
      CAST([] AS BIGINT[]) AS popped, CAST(-1 AS BIGINT) AS parent, CAST(0 AS BIGINT) AS depth FROM src

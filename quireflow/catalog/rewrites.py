@@ -244,7 +244,8 @@ def w02(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "w03_heading_jumps",
-    f"""{RICH}, {HEADINGS_SQL} SELECT b.page_id, b.pos, a.level AS previous, b.level AS level FROM headings a JOIN headings b
+    f"""WITH {i.tokens_sql(i.RICH_SQL)}, nodes AS (SELECT page_id, pos, tag FROM tok WHERE code = 'open'), {HEADINGS_SQL}
+    SELECT b.page_id, b.pos, a.level AS previous, b.level AS level FROM headings a JOIN headings b
     ON b.page_id = a.page_id AND b.i = a.i + 1 WHERE b.level > a.level + 1""",
 )
 def w03(spark: SparkSession, folder: str) -> DataFrame:

@@ -52,6 +52,11 @@ def enforce_page_cap(urls: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> Dat
     return counts.filter(F.col("discovered") > max_pages).withColumn("message", message)
 
 
+def within_page_cap(pages: DataFrame, over: DataFrame) -> DataFrame:
+    """Rows of the sites that the cap does not stop; ``over`` is one row per stopped site."""
+    return pages.join(over.select("site"), "site", "left_anti")
+
+
 def resolve_alias(urls: DataFrame, landed: DataFrame) -> DataFrame:
     """Replace each URL by the one it landed on; others stay. Keeps the alias as ``alias``."""
     targets = landed.select("site", "url", "landed")

@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.ids import chapter_name
 from ..functions.url import canonical_url, path
 from ..operators import tree as t
+from ..operators.discovery import enforce_page_cap, within_page_cap
 from ..session import cut_lineage
 from ..sources.markup import parse_html
 from . import capture, clean
 from .book import chapter_document
 
 
-def build_chapters(pages: DataFrame, files: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+def build_chapters(
+    pages: DataFrame, files: DataFrame, assets: DataFrame | None = None, max_pages: int | None = None
+) -> DataFrame:
     """(site, file, page_id, html): ``pages(page_id, site, url, title, html)`` to finished documents.
 
     One document for each canonical address of a site, from the page with the
     least id, in the language the page states. A page whose content root is empty
-    keeps an empty document; a page without a root has none.
+    keeps an empty document; a page without a root has none. With ``max_pages``, a
+    site of more canonical addresses is not built at all (``enforce_page_cap`` and
+    ``check_page_cap`` say which).
 
     Node tables are stored three times: after the parse, since links, images and
     structure all start from it; after the structural rewrites; and before
@@ -27,6 +32,9 @@ def build_chapters(pages: DataFrame, files: DataFrame, assets: DataFrame | None
     """
     canonical = canonical_url("url")
     slim = pages.select("page_id", "site", "url", "title").withColumn("canonical", canonical)
+    if max_pages is not None:
+        over = enforce_page_cap(slim.select("site", F.col("canonical").alias("url")), max_pages)
+        slim, pages = within_page_cap(slim, over), within_page_cap(pages, over)
     first = slim.groupBy("site", "canonical").agg(F.min("page_id").alias("page_id"))
     chosen = pages.join(first.select("page_id"), "page_id", "left_semi")
     parsed = cut_lineage(parse_html(chosen, "page_id", "html", "site", "url", "title"))

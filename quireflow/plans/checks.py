@@ -180,7 +180,7 @@ def duplicate_ids(nodes: DataFrame) -> DataFrame:
 
 
 def check_package(nodes: DataFrame) -> DataFrame:
-    """Surviving script, event handlers, script or data links, and repeated ids."""
+    """Surviving script, event handlers, script or data links, and one finding per repeated id."""
     href = F.lower(F.coalesce(t.attr("href"), F.lit("")))
     rules = {
         "PACKAGE_SCRIPT": F.col("tag") == "script",
@@ -191,6 +191,9 @@ def check_package(nodes: DataFrame) -> DataFrame:
     broken = F.array_compact(F.array(*(F.when(rule, F.lit(code)) for code, rule in rules.items())))
     rows = nodes.select("site", "file", F.explode(broken).alias("rule"))
     message = F.concat(F.lit("Content breaks rule "), "rule")
+    ids = nodes.select("site", "file", "page_id", t.attr("id").alias("id")).filter("id IS NOT NULL")
+    repeated = ids.groupBy("site", "file", "page_id", "id").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = rows.unionByName(repeated.select("site", "file", F.lit("PACKAGE_REPEATED_ID").alias("rule")))
     kept = rows.select("site", *finding("", message, file=F.col("file")), "rule")
     return kept.withColumn("code", F.col("rule")).drop("rule")
 
@@ -244,6 +247,11 @@ def check_nesting(nodes: DataFrame) -> DataFrame:
     return _in_file(bad, "CONTENT_NESTING", F.concat(F.lit("Block element in phrasing content: "), "tag"))
 
 
+def check_page_cap(over: DataFrame) -> DataFrame:
+    """Sites over the page cap, whose capture stops: ``over(site, message)`` of the cap."""
+    return over.select("site", *finding("COMMAND_FAILED", F.col("message"))).withColumn("stage", F.lit("scrape"))
+
+
 def union_findings(*findings: DataFrame) -> DataFrame:
     """All findings with ``check_ord``, the order in which the checks are listed."""
     first, *rest = (part.withColumn("check_ord", F.lit(n)) for n, part in enumerate(findings))

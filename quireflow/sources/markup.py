@@ -42,6 +42,15 @@ TOKEN_PATTERN = (
     r"""|</?[a-z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>"""
     r"|[^<]+|<"
 )
+# XML has no raw text elements, but sections of character data.
+XML_TOKEN_PATTERN = (
+    r"<!--[\s\S]*?(?:-->|\z)"
+    r"|<!\[CDATA\[[\s\S]*?(?:\]\]>|\z)"
+    r"|<[!?][^>]*>"
+    r"""|</?[A-Za-z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>"""
+    r"|[^<]+|<"
+)
+CDATA_START = "<![CDATA["
 NAME_PATTERN = r"^</?([A-Za-z][^\s/>]*)"
 RAW_PATTERN = r"(?i)^<(?:script|style)[\s/>]"
 ATTRIBUTE_PATTERN = r"""([^\s"'<>/=]+)(\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?"""
@@ -83,8 +92,8 @@ DEFAULT_RANK = 100
 OPEN, CLOSE, VOID, TEXT, COMMENT, OTHER = "<", "/", "-", "t", "c", "o"
 
 
-def _raw_list(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(TOKEN_PATTERN), F.lit(0))
+def _raw_list(html: Column, pattern: str = TOKEN_PATTERN) -> Column:
+    return F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
 
 
 def token_kind(token: Column) -> Column:
@@ -130,9 +139,20 @@ def _split_raw(token: Column) -> Column:
     return F.filter(pieces, lambda p: (p["code"] != "r") | (p["source"] != ""))
 
 
-def _piece(token: Column) -> Column:
+def _xml_piece(token: Column) -> Column:
+    """A section of character data is text as it stands; an empty one is no text."""
+    inner = F.regexp_replace(token, r"^<!\[CDATA\[|\]\]>\z", "")
+    section = F.struct(F.lit("r").alias("code"), inner.alias("source"))
+    return F.when(token.startswith(CDATA_START), F.filter(F.array(section), lambda p: p["source"] != "")).otherwise(
+        _piece(token, xml=True)
+    )
+
+
+def _piece(token: Column, xml: bool = False) -> Column:
     tag = token_tag(token)
-    empty = tag.isin(*VOID_TAGS) | F.endswith(token, F.lit("/>"))
+    empty = F.endswith(token, F.lit("/>"))
+    if not xml:
+        empty = empty | tag.isin(*VOID_TAGS)
     code = (
         F.when(token.startswith("<!--"), COMMENT)
         .when(token.rlike("^<[!?]"), OTHER)
@@ -230,16 +250,22 @@ def parse_html(
 ) -> DataFrame:
     """Node table of every page. ``keep`` names page columns to carry along.
 
-    ``xml`` reads well-formed XHTML: only end tags close elements.
+    ``xml`` reads well-formed XHTML: only end tags close elements, only ``/>``
+    marks empty ones, scripts hold markup like others, and CDATA is text.
 
     Pages are shuffled once, as one compact row each, before they are exploded;
     the explode keeps that partitioning, so every later per-page window and
     join on the page id finds its rows in place.
     """
-    raw = _raw_list(F.col(html_column))
-    pieces = F.flatten(
-        F.transform(raw, lambda t: F.when(t.rlike(RAW_PATTERN), _split_raw(t)).otherwise(_piece(t)))
-    )
+    if xml:
+        pieces = F.flatten(F.transform(_raw_list(F.col(html_column), XML_TOKEN_PATTERN), _xml_piece))
+    else:
+        pieces = F.flatten(
+            F.transform(
+                _raw_list(F.col(html_column)),
+                lambda t: F.when(t.rlike(RAW_PATTERN), _split_raw(t)).otherwise(_piece(t)),
+            )
+        )
     shaped = (
         df.select(id_column, *keep, pieces.alias("pieces"))
         .withColumn("shape", (_xml_shapes if xml else _html_shapes)(F.col("pieces.code")))

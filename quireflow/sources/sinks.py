@@ -43,8 +43,14 @@ def write_report(stages: DataFrame, path: str, command: str = "run") -> None:
     report_documents(stages, command).select("document").write.mode("overwrite").text(path)
 
 
-def write_coverage(coverage: DataFrame, path: str) -> None:
-    coverage.select(F.to_json(F.struct("site", "checked", "missing", "coverage"))).write.mode("overwrite").text(path)
+def coverage_documents(coverage: DataFrame, missing: DataFrame) -> DataFrame:
+    """(document): the figures of each site, and a row of its own for each line that was not found."""
+    figures = coverage.select(F.to_json(F.struct("site", "checked", "missing", "coverage")).alias("document"))
+    return figures.unionByName(missing.select(F.to_json(F.struct("site", "line")).alias("document")))
+
+
+def write_coverage(coverage: DataFrame, missing: DataFrame, path: str) -> None:
+    coverage_documents(coverage, missing).write.mode("overwrite").text(path)
 
 
 def inspect(spark: SparkSession, subject: str, path: str) -> DataFrame:

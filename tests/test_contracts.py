@@ -5,9 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quireflow.operators import discovery
 from quireflow.plans import build, capture, checks, coverage
 from quireflow.sources.markup import parse_html
-from quireflow.sources.tables import read_pages, read_sites, site_nav
+from quireflow.sources.sinks import write_coverage
+from quireflow.sources.tables import first_source_text, read_pages, read_sites, site_nav
 
 
 def test_another_record_version_is_an_error_through_any_columns(spark, tmp_path):
@@ -61,3 +63,50 @@ def test_whole_build(spark):
     got = {r.page_id: r.html for r in build.build_chapters(pages, files).collect()}
     assert set(got) == set(expected.values()) - {4}
     assert 'lang="ja"' in got[1] and "<img" in got[1] and "<svg" not in got[1]
+
+
+def test_xhtml_scripts_are_elements_and_character_data_is_text(spark):
+    html = '<html><head><script src="a.js"/><title>T</title></head><body><p>x<![CDATA[a > b & <i>]]></p><![CDATA[]]><br></br><link>l</link></body></html>'
+    page = spark.createDataFrame([(1, html)], "page_id long, html string")
+    nodes = parse_html(page, xml=True).orderBy("open_seq").collect()
+    assert [(n.tag, n.depth) for n in nodes if n.kind == "element"] == [
+        ("html", 1), ("head", 2), ("script", 3), ("title", 3), ("body", 2), ("p", 3), ("br", 3), ("link", 3)
+    ]
+    assert [n.text for n in nodes if n.kind == "text"] == ["T", "x", "a > b & <i>", "l"]
+
+
+def test_package_check_names_repeated_ids_once_each(spark):
+    page = spark.createDataFrame([(1, "s", "f", '<p id="a"></p><p id="a"></p><p id="a"></p><p id="b"></p><script>x</script>')], "page_id long, site string, file string, html string")
+    found = checks.check_package(parse_html(page, "page_id", "html", "site", "file"))
+    assert sorted(r.code for r in found.collect()) == ["PACKAGE_REPEATED_ID", "PACKAGE_SCRIPT"]
+
+
+def test_the_page_cap_stops_a_site_and_is_a_finding(spark):
+    rows = [(n, site, f"http://{site}/{n}?q={k}", f"T{n}") for site, pages in (("a", 3), ("b", 2)) for n in range(pages) for k in (1, 2)]
+    pages = spark.createDataFrame([(n, *row[1:]) for n, row in enumerate(rows)], "page_id long, site string, url string, title string")
+    pages = pages.withColumn("html", F.lit("<html><body><article><p>x</p></article></body></html>"))
+    from quireflow.functions.url import canonical_url
+
+    over = discovery.enforce_page_cap(pages.select("site", canonical_url("url").alias("url")), 2)
+    [row] = checks.union_findings(checks.check_page_cap(over)).collect()
+    assert (row.site, row.stage, row.code) == ("a", "scrape", "COMMAND_FAILED") and "Discovered 3 pages" in row.message
+    files = pages.select("site", canonical_url("url").alias("url"), F.lit("f").alias("file")).distinct()
+    built = build.build_chapters(pages, files, max_pages=2)
+    assert [r.site for r in built.select("site").collect()] == ["b", "b"]
+
+
+def test_the_first_usable_source_text_wins(spark):
+    rows = [("a", 0, 404, "none"), ("a", 1, 200, " \n"), ("a", 2, 200, "full"), ("a", 3, 200, "later"), ("b", 0, 200, "own"), ("c", 0, 500, "x")]
+    found = first_source_text(spark.createDataFrame(rows, "site string, rank int, status int, body string"))
+    assert {(r.site, r.text) for r in found.collect()} == {("a", "full"), ("b", "own")}
+
+
+def test_the_coverage_report_lists_missing_lines(spark, tmp_path):
+    lines = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y")], "site string, line string")
+    missing = lines.filter("line = 'y'")
+    path = str(tmp_path / "coverage")
+    write_coverage(coverage.coverage_ratio(lines, missing), missing, path)
+    stored = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    assert len(stored) == 3 and stored.count({"site": "a", "line": "y"}) == 2
+    [figures] = [r for r in stored if "checked" in r]
+    assert (figures["checked"], figures["missing"]) == (3, 2) and abs(figures["coverage"] - 1 / 3) < 1e-9
