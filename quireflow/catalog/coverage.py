@@ -135,12 +135,14 @@ def o06(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "a07_tabular_shape",
     """SELECT doc_id, arg_min(w, -n * 1000000 + w) AS width FROM (SELECT doc_id, w, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM
-      (SELECT doc_id, len(string_split(unnest(string_split(text, chr(10))), ' ')) AS w FROM documents) GROUP BY doc_id, w) GROUP BY doc_id
+      (SELECT doc_id, len(string_split(unnest(string_split(text, chr(10))), ' ')[1 : 2 + doc_id % 4]) AS w FROM documents) GROUP BY doc_id, w) GROUP BY doc_id
       HAVING max(n) / max(total) >= 0.75 AND max(total) >= 3 AND arg_min(w, -n * 1000000 + w) >= 3""",
 )
 def a07(spark: SparkSession, folder: str) -> DataFrame:
     from ..plans.clean import tabular_width
 
-    cells = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))
+    # at most two to five cells a line, by document, so that prose has tables of each width
+    most = (2 + F.col("doc_id") % 4).cast("int")
+    cells = F.transform(F.split("text", "\n"), lambda line: F.slice(F.split(line, " "), F.lit(1), most))
     shaped = table(spark, folder, "documents").select("doc_id", tabular_width(cells).cast("long").alias("width"))
     return shaped.filter("width IS NOT NULL")

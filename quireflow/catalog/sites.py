@@ -205,10 +205,10 @@ def a11(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "a13_enforce_page_cap",
-    f"""{CAP}, {DISCOVERED} SELECT site, count(DISTINCT url) AS discovered, 'Discovered ' || count(DISTINCT url) || ' pages, above --max-pages 50.' AS message FROM discovered GROUP BY site HAVING count(DISTINCT url) > 50""",
+    f"""{CAP}, {DISCOVERED} SELECT site, count(DISTINCT url) AS discovered, 'Discovered ' || count(DISTINCT url) || ' pages, above --max-pages 5.' AS message FROM discovered GROUP BY site HAVING count(DISTINCT url) > 5""",
 )
 def a13(spark: SparkSession, folder: str) -> DataFrame:
-    return d.enforce_page_cap(_discovered(spark, folder), 50)
+    return d.enforce_page_cap(_discovered(spark, folder), 5)
 
 
 EXPECTED = "expected AS MATERIALIZED (SELECT site, url FROM sitemap UNION SELECT site, url FROM nav)"

@@ -175,17 +175,22 @@ def _pairs_of(left: int, right: int) -> Column:
     return F.when(whole, F.array(_place(PAIR, anchor, F.col("start") + F.octet_length("word") - F.octet_length(F.right("word", F.lit(left))))))
 
 
-def _pieces_of(size: int) -> Column:
-    """All character runs of one length inside ``word``."""
+def _pieces_of(size: int, least: int) -> Column:
+    """All character runs of one length inside a ``word`` of ``least`` bytes or more."""
     run = lambda at: _place(SINGLE, F.substr("word", at + 1, F.lit(size)), F.col("start") + F.octet_length(F.left("word", at)))
-    return F.when(F.length("word") >= size, F.transform(F.sequence(F.lit(0), F.length("word") - size), run))
+    long = (F.length("word") >= size) & (F.octet_length("word") >= least)
+    return F.when(long, F.transform(F.sequence(F.lit(0), F.length("word") - size), run))
 
 
 def anchor_places(
-    blocks: DataFrame, runs: list[int], pairs: list[tuple[int, int]], pieces: list[int]
+    blocks: DataFrame, runs: list[int], pairs: list[tuple[int, int]], pieces: list[int], least: int = 1
 ) -> DataFrame:
-    """(site, block, key, start): every place where an anchor of the given kinds could stand."""
-    kinds = [*map(_runs_of, runs), *(_pairs_of(*pair) for pair in pairs), *map(_pieces_of, pieces)]
+    """(site, block, key, start): every place where an anchor of the given kinds could stand.
+
+    A line of one word lies inside one word, so only words as long as the
+    shortest such line (``least`` bytes) are cut into pieces.
+    """
+    kinds = [*map(_runs_of, runs), *(_pairs_of(*pair) for pair in pairs), *(_pieces_of(size, least) for size in pieces)]
     places = F.flatten(F.array_compact(F.array(*kinds)))
     return block_words(blocks).select("site", "block", F.inline(places))
 
@@ -202,13 +207,14 @@ def covered_lines(lines: DataFrame, chapters: DataFrame, block: int = BLOCK_CHAR
         F.collect_set(F.when(words > 0, words)).alias("runs"),
         F.collect_set("pair").alias("pairs"),
         F.collect_set(F.when(words == SINGLE, F.length("anchor"))).alias("pieces"),
+        F.min(F.when(words == SINGLE, F.col("size"))).alias("least"),
     ).first()
     longest = kinds["longest"] or 1
     block = max(block, longest)
     blocks = cut_lineage(text_blocks(chapters, block, longest))
     shapes = anchored.select("site", _anchor_key().alias("key"), "before", "size").distinct()
     pairs = sorted((pair["left"], pair["right"]) for pair in kinds["pairs"])
-    places = anchor_places(blocks, sorted(kinds["runs"]), pairs, sorted(kinds["pieces"]))
+    places = anchor_places(blocks, sorted(kinds["runs"]), pairs, sorted(kinds["pieces"]), kinds["least"] or 1)
     cuts = (
         places.join(shapes, ["site", "key"])
         .select("site", "block", (F.col("start") - F.col("before")).alias("at"), "size")
