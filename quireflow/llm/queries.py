@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, languages, licences, neardup, quality, substrings, tokencounts, wrappers
-from .vocab import rank_file, word_start_pieces
+from .vocab import rank_file, whole_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,8 +155,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = word_start_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    return tokencounts.token_counts(_table(spark, folder, "documents"), pieces)
+    pieces, byte_pieces = whole_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencounts.token_counts(_table(spark, folder, "documents"), pieces, byte_pieces=byte_pieces)
 
 
 _NEARDUP_SQL = rf"""

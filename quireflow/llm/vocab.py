@@ -32,10 +32,16 @@ def rank_file(path: str) -> list[bytes]:
     return pieces
 
 
-def word_start_pieces(path: str) -> list[str]:
-    """Pieces of a SentencePiece model without its control and byte pieces."""
+def whole_pieces(path: str) -> tuple[list[str], frozenset[int]]:
+    """Pieces of a SentencePiece model without its control pieces, and the bytes that it has pieces of."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    plain = (i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return [model.id_to_piece(i) for i in plain]
+    known = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i))]
+    pieces = [model.id_to_piece(i) for i in known if not model.is_byte(i)]
+    return pieces, frozenset(int(model.id_to_piece(i)[1:-1], 16) for i in known if model.is_byte(i))
+
+
+def word_start_pieces(path: str) -> list[str]:
+    """The pieces that hold a character of a word: no byte pieces, and not the word-start mark alone."""
+    return [piece for piece in whole_pieces(path)[0] if piece != "▁"]

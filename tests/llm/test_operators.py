@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quireflow.llm import bpe, chat, decontaminate, languages, licences, neardup, quality, substrings, tokencounts, wrappers
 from quireflow.llm.components import components
-from quireflow.llm.vocab import rank_file, word_start_pieces
+from quireflow.llm.vocab import rank_file, whole_pieces, word_start_pieces
 
 tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, tag string, row string, words string, kept string"
@@ -281,6 +281,43 @@ def test_token_counts_equal_greedy_matching(docs, rows):
     _same(tokencounts.token_counts(docs, pieces).collect(), expected)
 
 
+def _greedy(word, pieces, byte_pieces):
+    text, n, at = "▁" + word, 0, 0
+    while at < len(text):
+        end = next((e for e in range(min(len(text), at + 40), at, -1) if text[at:e] in pieces), None)
+        if end is None:
+            own = text[at].encode()
+            if not byte_pieces.issuperset(own):
+                return None
+            end, n = at + 1, n + len(own) - 1
+        at, n = end, n + 1
+    return n
+
+
+def test_token_counts_by_the_whole_piece_list(spark, docs):
+    pieces, byte_pieces = whole_pieces(tokenizers.path("piece_bpe_32k.model"))
+    known = set(pieces)
+    assert "▁" in known and len(byte_pieces) == 256 and max(map(len, pieces)) <= 40
+    texts = ["ñandú être ß", "漢字かな交じり文", "x\U00013000y", "a▁b ▁ ▁▁", "naïve 🙂🙂 ǅ"]
+    given = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string"))
+    expected = []
+    for r in given.collect():
+        found = [_greedy(w, known, byte_pieces) for w in (r.text or "").split()]
+        expected.append((r.doc_id, len(found), sum(found), 0))
+    _same(tokencounts.token_counts(given, pieces, byte_pieces=byte_pieces).collect(), expected)
+
+
+def test_token_automaton_against_greedy_matching():
+    draw = random.Random(9)
+    for _ in range(300):
+        pieces = sorted({draw.choice(("", "▁")) + "".join(draw.choices("abé", k=draw.randint(1, 4))) for _ in range(draw.randint(1, 9))} | set(draw.sample(["▁", "a", "é"], draw.randint(0, 3))))
+        byte_pieces = draw.choice((frozenset(), frozenset(range(256)), frozenset(b"ab"), frozenset("▁".encode())))
+        automaton = tokencounts.Automaton(pieces, byte_pieces=byte_pieces)
+        for _ in range(40):
+            word = "".join(draw.choices("abéc", k=draw.randint(1, 9)))
+            assert automaton.count(word) == _greedy(word, set(pieces), byte_pieces), (pieces, byte_pieces, word)
+
+
 def test_main_text(spark):
     page = (
         "<!DOCTYPE html><html><head><title>T</title><script>var a='<p>';</script></head><body><nav><ul><li><a>Menu</a></ul></nav>"
