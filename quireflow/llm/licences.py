@@ -3,9 +3,9 @@
 1. The words of the licence templates are counted in the corpus; each template
    enters its `rare` words of the highest inverse frequency into the index, with
    their positions in it. So the index is as small as the templates.
-2. Files look their words up in the index. A file keeps its `top` words of the
-   highest inverse frequency; the positions of a word in file and template give
-   a relative position, and postings that agree on it are intersected.
+2. Files look their words up in the index; the positions of a word in file and
+   template give a relative position, and postings that agree on it are
+   intersected. No word is left out for a file: the templates bound the index.
 3. A template is reported if, at one relative position, enough of its rare words
    agree and a mandatory key phrase stands where the template has it.
 
@@ -50,7 +50,6 @@ TEMPLATES = {
     "proprietary": ("all rights reserved no part may be reproduced without written permission", ("all rights reserved",)),
 }
 RARE = 6
-TOP = 16
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -86,7 +85,7 @@ def rare_index(keyed_docs: DataFrame, rare: int = RARE) -> DataFrame:
     return templates.join(chosen.select("label", "word", "idf"), ["label", "word"]).join(keys, "label")
 
 
-def scan(docs: DataFrame, rare: int = RARE, top: int = TOP) -> DataFrame:
+def scan(docs: DataFrame, rare: int = RARE) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row."""
     spark = docs.sparkSession
     rows = keyed(docs)
@@ -115,10 +114,8 @@ def scan(docs: DataFrame, rare: int = RARE, top: int = TOP) -> DataFrame:
         F.count("*").alias("n_base"), F.min("pos").cast("long").alias("first_word"), F.max("pos").cast("long").alias("last_word"),
         F.collect_set("label").alias("base_set"),
     )
-    known = found.filter("not base").select("key", "tag", "word", "idf").distinct()
-    best = known.withColumn("r", F.row_number().over(Window.partitionBy("key", "tag").orderBy(F.desc("idf"), "word"))).filter(F.col("r") <= top)
     agreed = (
-        found.filter("not base").join(best.select("key", "tag", "word"), ["key", "tag", "word"])
+        found.filter("not base")
         .groupBy("key", "tag", "label", "shift", "whole", "entered", "word", "idf").agg(F.max("verified").alias("verified"))
         .groupBy("key", "tag", "label", "shift", "whole", "entered")
         .agg(F.sum("idf").alias("idf"), F.count("*").alias("words"), F.max("verified").alias("verified"))

@@ -239,6 +239,17 @@ def test_licences(docs, spark):
     assert licences.scan(docs).count() == docs.count() and licences.scan(docs.limit(0)).count() == 0
 
 
+def test_licences_of_a_text_with_every_notice(spark):
+    notices = {label: text for label, (text, _) in licences.TEMPLATES.items()}
+    texts = [" . ".join(notices.values()), " . ".join(notices[k] for k in ("mit", "apache", "gpl", "bsd")), *notices.values()]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].labels.split(",") == sorted(notices)
+    assert set(got[1].labels.split(",")) >= {"mit", "apache", "gpl", "bsd"}
+    for i, label in enumerate(notices, 2):
+        assert label in got[i].labels.split(",") and got[i].score == pytest.approx(1)
+    assert got[0].score == got[1].score == pytest.approx(1)
+
+
 def test_language_codes(spark, docs):
     texts = [("en", "the house of the and with that this"), ("de", "das haus und der die mit ein nicht"), ("fr", "la maison et le de un pour dans")]
     train = spark.createDataFrame([(i, f"{t} {_prose(i, 3)}", lang) for i in range(10) for lang, t in texts], "doc_id long, text string, lang string")
