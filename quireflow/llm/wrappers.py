@@ -14,7 +14,10 @@ tree for each host and task; a host with a third of all pages is split.
 
 The wrapper of a host tells where its main text stands: in the content elements
 that its pages have (article, main), else everywhere but where the texts are
-constant over different pages. Menus, headers, footers, sidebars, notices,
+constant over clearly different pages. Two pages are clearly different if they
+share less than half of their word triples; so what near copies share is text, not
+template. A constant text carries the sketch of a page that has it until a clearly
+different page agrees; a text that only one page has stays. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are left out by element and
 by the words of class, id and role. A page without the host's content element is
 read like a page of a host that has none.
@@ -22,8 +25,8 @@ read like a page of a host that has none.
 Defined results: null html gives an empty text; a page without main text gives an
 empty text; broken markup is read by the usual forgiving rules (void elements,
 implied ends, missing ends); a null or odd url belongs to the host of its own
-leading part; repeated rows are read alike, and a text is constant only if at
-least two different pages agree on it; other columns are not read.
+leading part; repeated rows are read alike, and a text is template only if at
+least two clearly different pages agree on it; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from __future__ import annotations
 import html as references
 import json
 import re
+import zlib
 from collections.abc import Iterator
+from heapq import nsmallest
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,6 +58,7 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - {"html", "body"} | {"hr"}
 SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table td th body html article section div main aside nav header footer blockquote form".split())
+HEAD_PARTS = frozenset("base basefont bgsound link meta title style script noscript template head".split())
 # Elements and names that are never main text.
 OUTSIDE = frozenset("nav footer aside form button select option input label dialog menu head object canvas audio video".split()) | RAW
 NAMES = frozenset(
@@ -63,6 +69,8 @@ NAMES = frozenset(
 )
 HEADERS = frozenset(("header", "masthead", "topbar"))
 CONTENT = frozenset(("article", "main"))
+#: Hashes in a page's sketch; a page of no more word triples is compared exactly.
+SKETCH = 32
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|(?P<text>[^<]+|<)", re.S
@@ -86,15 +94,24 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
     def close(index: int) -> None:
         del path[index:]
 
+    def end_head() -> None:
+        # nothing stays open in a head, so it is the last; only white space is held in it
+        if path and path[-1][0] == "head":
+            held.clear()
+            path.pop()
+
     at, size = 0, len(page)
     while at < size:
         token = _TOKEN.match(page, at)
         if token is None:
+            end_head()
             held.append(page[at])
             at += 1
             continue
         at = token.end()
         if token["text"] is not None:
+            if token["text"].strip(" \t\n\r\f"):
+                end_head()
             held.append(token["text"])
             continue
         if token["tag"] is None:
@@ -116,6 +133,10 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
                         close(i)
                         break
             continue
+        if tag not in HEAD_PARTS:
+            end_head()
+        elif tag == "head" and any(name != "html" for name, _ in path):
+            continue
         if tag == "br":
             held.append(" ")
             continue
@@ -166,16 +187,33 @@ def _words(rest: str) -> set[str]:
     return {w for _, value in _NAMES.findall(rest) for w in re.split(r"[^a-z0-9]+", value.strip("\"'").lower()) if w}
 
 
-# A wrapper node: {"l": label, "o": optional, "r": repeated, "c": [children]}; a text: {"t": text, or null for a slot}.
+# A wrapper node: {"l": label, "o": optional, "r": repeated, "c": [children]}; a slot: {"t": null}; a constant text:
+# {"t": text, "s": the sketch of a page that has it, or null once clearly different pages agree}.
+
+
+def _leaf(text: str | None, sketch: list[int] | None = None) -> dict:
+    return {"t": None} if text is None else {"t": text, "s": sketch}
 
 
-def _leaf(text: str | None) -> dict:
-    return {"t": text}
+def sketch(found: list[tuple[tuple[str, ...], str]]) -> list[int]:
+    """The least hashes of a page's word triples; none for a page with a content element, whose host needs no constant texts."""
+    shown = [(labels, text) for labels, text in found if not _is_outside(labels)]
+    if any(_in_content(labels) for labels, _ in shown):
+        return []
+    words = " ".join(text for _, text in shown).split()
+    return nsmallest(SKETCH, {zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(len(words) - 2, 1))})
+
+
+def _clearly_different(a: list[int], b: list[int]) -> bool:
+    """Whether pages of these sketches share less than half of their word triples."""
+    least = nsmallest(SKETCH, {*a, *b})
+    return 2 * len({*a}.intersection(b, least)) < len(least)
 
 
 def page_wrapper(found: list[tuple[tuple[str, ...], str]]) -> dict:
     """The wrapper of one page: its blocks as a tree, equal neighbours folded into repeated groups."""
     root: dict = {"l": "", "o": False, "r": False, "c": []}
+    own = sketch(found)
     stack = [root]
     before: tuple[str, ...] = ()
     for labels, text in found:
@@ -189,7 +227,7 @@ def page_wrapper(found: list[tuple[tuple[str, ...], str]]) -> dict:
             node = {"l": label, "o": False, "r": False, "c": []}
             stack[-1]["c"].append(node)
             stack.append(node)
-        stack[-1]["c"].append(_leaf(text))
+        stack[-1]["c"].append(_leaf(text, own))
         before = labels
     _fold_repeats(root)
     return root
@@ -216,7 +254,10 @@ def _fold_repeats(node: dict) -> None:
 def align(a: dict, b: dict) -> dict:
     """The wrapper of all that either describes; both have the same label."""
     if "c" not in a:
-        return _leaf(a["t"] if a["t"] == b["t"] else None)
+        if a["t"] is None or a["t"] != b["t"]:
+            return _leaf(None)
+        shared = a["s"] is None or b["s"] is None or _clearly_different(a["s"], b["s"])
+        return _leaf(a["t"], None if shared else min(a["s"], b["s"]))
     left, right = a["c"], b["c"]
     rows, columns = [_label(x) for x in left], [_label(x) for x in right]
     children: list[dict] = []
@@ -266,7 +307,7 @@ def _in_content(labels: tuple[str, ...]) -> bool:
     return any(label.split(" ")[0] in CONTENT or label == "div main" for label in labels)
 
 
-def decide(wrapper: dict, pages: int) -> dict:
+def decide(wrapper: dict) -> dict:
     """What extraction needs of a wrapper: whether there is a content element, and the constant texts."""
     constant: list[str] = []
     content = False
@@ -278,7 +319,7 @@ def decide(wrapper: dict, pages: int) -> dict:
                 walk(child, (*labels, child["l"]))
             elif not _is_outside(labels):
                 content |= _in_content(labels)
-                if pages > 1 and child["t"] is not None:
+                if child["t"] is not None and child["s"] is None:
                     constant.append("\n".join(labels) + "\n" + child["t"])
     walk(wrapper, ())
     return {"content": content, "constant": [] if content else constant}
@@ -298,49 +339,36 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _summed(parts: Iterator[tuple[str, dict, int, str]]) -> dict[str, list]:
-    """host: [wrapper, different pages (1 or 2 for more), a page's mark]."""
-    total: dict[str, list] = {}
-    for name, wrapper, pages, mark in parts:
-        if name in total:
-            own = total[name]
-            own[1] = 2 if max(own[1], pages) > 1 or own[2] != mark else 1
-            own[0] = align(own[0], wrapper)
-        else:
-            total[name] = [wrapper, pages, mark]
+def _summed(parts: Iterator[tuple[str, dict]]) -> dict[str, dict]:
+    """The wrapper of each host."""
+    total: dict[str, dict] = {}
+    for name, wrapper in parts:
+        total[name] = align(total[name], wrapper) if name in total else wrapper
     return total
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, decision): JSON of what each host's wrapper decides."""
-    schema = "host string, wrapper string, pages int, mark string"
+    schema = "host string, wrapper string"
 
     def of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = (
-                (h, page_wrapper(list(blocks(p or ""))), 1, m)
-                for h, p, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            )
+            parts = ((h, page_wrapper(list(blocks(p or "")))) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             yield _table(_summed(parts)).to_batches()[0]
 
     def of_parts(table: pa.Table) -> pa.Table:
-        rows = table.select(["host", "wrapper", "pages", "mark"]).to_pylist()
-        return _table(_summed((r["host"], json.loads(r["wrapper"]), r["pages"], r["mark"]) for r in rows))
+        rows = table.select(["host", "wrapper"]).to_pylist()
+        return _table(_summed((r["host"], json.loads(r["wrapper"])) for r in rows))
 
-    def _table(total: dict[str, list]) -> pa.Table:
-        return pa.table(
-            {
-                "host": pa.array(list(total), pa.string()), "wrapper": pa.array([json.dumps(v[0]) for v in total.values()], pa.string()),
-                "pages": pa.array([v[1] for v in total.values()], pa.int32()), "mark": pa.array([v[2] for v in total.values()], pa.string()),
-            }
-        )
+    def _table(total: dict[str, dict]) -> pa.Table:
+        return pa.table({"host": pa.array(list(total), pa.string()), "wrapper": pa.array([json.dumps(v) for v in total.values()], pa.string())})
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = [json.dumps(decide(json.loads(w), n)) for w, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            told = [json.dumps(decide(json.loads(w))) for w in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.string())], ["host", "decision"])
 
-    parts = pages.select(host(F.col("url")).alias("host"), "html", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("mark")).mapInArrow(of_pages, schema)
+    parts = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(of_pages, schema)
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "salt").applyInArrow(of_parts, schema)
     return salted.groupBy("host").applyInArrow(of_parts, schema).mapInArrow(settled, "host string, decision string")
 

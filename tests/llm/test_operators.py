@@ -344,6 +344,25 @@ def test_main_text(spark):
     assert all(n == len(t) for t, n in got.values())
 
 
+def test_head_without_an_end():
+    for page in ("<head><title>T</title><body><p>One<p>Two", "<html><head><meta charset=x>\n<p>One</p><p>Two</p>", "<head><link rel=x>One<p>Two", "<head><style>p{}</style></head><body><p>One<head><p>Two"):
+        found = list(wrappers.blocks(page))
+        assert [text for labels, text in found if not wrappers._is_outside(labels)] == ["One", "Two"], page
+
+
+def test_near_copies_keep_the_text_they_share(spark):
+    parts = [f"<h2>Heading {k}</h2><p>{_prose(40 + k, 30)}</p>" for k in range(6)]
+    near = ["<body>" + "".join(parts[:3]) + f"<p>changed {k}</p>" + "".join(parts[3:]) for k in range(4)]
+    frame = "<body><p>Same on every page</p><div><h1>{0}</h1>{1}</div>"
+    far = [frame.format(f"Title {k}", "".join(f"<p>{_prose(60 + 5 * k + j, 25)}</p>" for j in range(2)) + ("<section><p>Only here</p></section>" if k == 1 else "")) for k in range(3)]
+    rows = [(k, "http://near.example/", p) for k, p in enumerate(near)] + [(10 + k, "http://far.example/", p) for k, p in enumerate(far)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for k in range(4):
+        assert all(f"Heading {j}" in got[k] and _prose(40 + j, 30) in got[k] for j in range(6)) and f"changed {k}" in got[k]
+    for k in range(3):
+        assert got[10 + k].startswith(f"Title {k}\n\n") and ("Only here" in got[10 + k]) == (k == 1)
+
+
 def test_wrappers_are_union_free():
     one = wrappers.page_wrapper(list(wrappers.blocks("<body><h1>A</h1><ul><li>x<li>y</ul></body>")))
     two = wrappers.page_wrapper(list(wrappers.blocks("<body><h1>B</h1><p>extra</p><ul><li>x</ul></body>")))
