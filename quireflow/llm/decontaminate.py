@@ -7,10 +7,13 @@
    the few words around.
 3. The posting list of a window's rarest term, moved by the term's offset, is
    intersected with the moved list of its second rarest: an equi-join on
-   document, term and position. With a slack of `slop` words the lists are joined
-   on document and term, within that distance.
-4. What is left is verified: an exact match has all the window's words in order;
-   a proximity match has at least `share` of its distinct words close by.
+   document, term and position.
+4. What is left is verified: an exact match has all the window's words in order.
+
+A proximity match at a start has at least `share` of the window's distinct words
+within `slop` words of their places. It may lack any of the others, so the window is
+looked up by its rarest words, one more than may be lacking, absent ones among them:
+each match has one of those, and its words around tell whether there is a match.
 
 Defined results: null and blank texts have no words; items without a word are no
 items; a one-word item is a window whose two rarest terms are the same; equal
@@ -28,6 +31,8 @@ from .asciiwords import ascii_lower, bounded, phrase, raw_words, word_count
 from .rows import keyed
 
 WINDOW = 10
+SLOP = 2
+SHARE = 0.8
 
 
 def _windows(items: DataFrame, window: int) -> DataFrame:
@@ -47,11 +52,15 @@ def _exploded(docs: DataFrame) -> DataFrame:
     return words.select("key", "tag", "words", F.posexplode("words").alias("pos", "raw")).withColumn("term", ascii_lower(F.col("raw"))).drop("raw")
 
 
-def rarest_terms(keyed_docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(phrase, terms, size, t1, o1, t2, o2) of windows all of whose terms the corpus has."""
+def _term_counts(keyed_docs: DataFrame, windows: DataFrame) -> DataFrame:
     terms = windows.select(F.explode("terms").alias("term")).distinct()
     terms = cut_lineage(terms)
-    found = _exploded(keyed_docs).select("term").join(bounded(terms, terms.count()), "term").groupBy("term").count()
+    return _exploded(keyed_docs).select("term").join(bounded(terms, terms.count()), "term").groupBy("term").count()
+
+
+def rarest_terms(keyed_docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(phrase, terms, size, t1, o1, t2, o2) of windows all of whose terms the corpus has."""
+    found = _term_counts(keyed_docs, windows)
     each = windows.select("phrase", "terms", "size", F.posexplode("terms").alias("offset", "term"))
     ranked = (
         each.join(found, "term", "left")
@@ -75,31 +84,62 @@ def postings(keyed_docs: DataFrame, terms: DataFrame, rows: int, around: int) ->
     )
 
 
-def matches(keyed_docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, share: float = 0.8) -> DataFrame:
+def matches(keyed_docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, share: float = SHARE) -> DataFrame:
     """(key, tag, start, size, phrase, exact): where windows of the items occur.
 
     Rows that are not exact appear only with a slop above 0.
     """
-    windows = _windows(items, window).select("phrase", "terms", "size").distinct()
-    chosen = cut_lineage(rarest_terms(keyed_docs, cut_lineage(windows)))
+    windows = cut_lineage(_windows(items, window).select("phrase", "terms", "size").distinct())
+    if slop:
+        return _near_matches(keyed_docs, windows, window, slop, share)
+    chosen = cut_lineage(rarest_terms(keyed_docs, windows))
     terms = cut_lineage(chosen.select(F.explode(F.array("t1", "t2")).alias("term")).distinct())
-    index = cut_lineage(postings(keyed_docs, terms, terms.count(), window - 1 + slop))
+    index = cut_lineage(postings(keyed_docs, terms, terms.count(), window - 1))
     first = (
         index.withColumnRenamed("term", "t1")
         .join(bounded(chosen, chosen.count()), "t1")
         .withColumn("start", F.col("pos") - F.col("o1"))
-        .filter("start >= 0" if not slop else "true")
+        .filter("start >= 0")
     )
     second = index.select(F.col("term").alias("t2"), "key", "tag", F.col("pos").alias("p2"))
-    if slop:
-        met = first.join(second, ["key", "tag", "t2"]).filter(F.abs(F.col("p2") - F.col("start") - F.col("o2")) <= slop)
-    else:
-        met = first.withColumn("p2", F.col("start") + F.col("o2")).join(second, ["key", "tag", "t2", "p2"])
+    met = first.withColumn("p2", F.col("start") + F.col("o2")).join(second, ["key", "tag", "t2", "p2"])
     inside = F.col("at") - F.col("o1")
     exact = F.coalesce(phrase(F.col("context"), inside, F.col("size")) == F.col("phrase"), F.lit(False))
-    near = F.size(F.array_intersect(F.transform("context", ascii_lower), "terms")) >= share * F.size(F.array_distinct("terms"))
-    met = met.withColumn("exact", exact)
-    met = met.filter(F.col("exact") | near) if slop else met.filter("exact")
+    met = met.withColumn("exact", exact).filter("exact")
+    return met.groupBy("key", "tag", "start", "size", "phrase").agg(F.max("exact").alias("exact"))
+
+
+def _near_matches(keyed_docs: DataFrame, windows: DataFrame, window: int, slop: int, share: float) -> DataFrame:
+    """`matches` with a slop; each place of a rare word gives the start nearest to it that matches."""
+    each = windows.select("phrase", "terms", "size", F.posexplode("terms").alias("offset", "term"))
+    each = each.groupBy("phrase", "terms", "size", "term").agg(F.collect_list("offset").alias("offsets"))
+    ranked = (
+        each.join(_term_counts(keyed_docs, windows), "term", "left")
+        .groupBy("phrase", "terms", "size")
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "term", "offsets"))).alias("r"))
+        .withColumn("need", F.ceil(share * F.size("r")).cast("int"))
+    )
+    rare = ranked.select("phrase", "terms", "size", "need", F.explode(F.slice("r", F.lit(1), F.size("r") - F.col("need") + 1)).alias("a"))
+    anchors = cut_lineage(
+        rare.filter("a.count > 0").select("phrase", "terms", "size", "need", F.col("a.term").alias("term"), F.explode("a.offsets").alias("offset"))
+    )
+    terms = cut_lineage(anchors.select("term").distinct())
+    index = postings(keyed_docs, terms, terms.count(), window - 1 + 2 * slop)
+    index = index.withColumn("context", F.transform("context", ascii_lower))
+    met = index.join(bounded(anchors, anchors.count()), "term").filter(F.size(F.array_intersect("context", "terms")) >= F.col("need"))
+    base = F.col("at") - F.col("offset")
+
+    def stands(term, place):
+        first = F.greatest(place - slop, F.lit(0))
+        return F.array_contains(F.slice("context", first + 1, F.greatest(place + slop - first + 1, F.lit(0))), term)
+
+    def enough(moved):
+        return F.size(F.array_distinct(F.filter("terms", lambda term, i: stands(term, base + moved + i)))) >= F.col("need")
+
+    moves = F.array(*[F.lit(m) for m in sorted(range(-slop, slop + 1), key=abs)])
+    met = met.withColumn("moved", F.get(F.filter(moves, enough), F.lit(0))).filter("moved is not null")
+    exact = F.coalesce(F.array_join(F.slice("context", F.greatest(base, F.lit(0)) + 1, F.col("size")), " ") == F.col("phrase"), F.lit(False))
+    met = met.withColumn("exact", (F.col("moved") == 0) & (base >= 0) & exact).withColumn("start", F.col("pos") - F.col("offset") + F.col("moved"))
     return met.groupBy("key", "tag", "start", "size", "phrase").agg(F.max("exact").alias("exact"))
 
 
@@ -130,6 +170,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )
 
 
+def proximity(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP, share: float = SHARE) -> DataFrame:
+    """(doc_id, n_near_windows, n_near_items) for each row: windows that occur by proximity but not exactly, and their items."""
+    found = matches(keyed(docs), items, window, slop, share).groupBy("key", "tag", "phrase").agg(F.max("exact").alias("exact"))
+    near = cut_lineage(found.filter("not exact").select("key", "tag", "phrase"))
+    owners = _windows(items, window).select("phrase", "item").distinct()
+    counts = near.join(owners, "phrase").groupBy("key", "tag").agg(
+        F.countDistinct("phrase").alias("n_near_windows"), F.countDistinct("item").alias("n_near_items")
+    )
+    return keyed(docs, "doc_id").join(counts, ["key", "tag"], "left").select(
+        "row.doc_id", F.coalesce("n_near_windows", F.lit(0)).alias("n_near_windows"), F.coalesce("n_near_items", F.lit(0)).alias("n_near_items")
+    )
+
+
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of documents in which no window of an item occurs, with all their columns."""
     found = hits(docs, items, window).select("key", "tag")

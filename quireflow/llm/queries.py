@@ -71,6 +71,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+@_query("op2_proximity")
+def op2_proximity(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.proximity(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 @_query("op3_quality_rules")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(_table(spark, folder, "documents"))

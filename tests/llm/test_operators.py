@@ -122,6 +122,36 @@ def test_proximity_matches(spark):
     assert {(r.key, r.e) for r in found} == {(1, True), (2, False)}
 
 
+def test_proximity_equals_brute_force(spark):
+    draw = random.Random(8)
+    item = "w0 w1 w2 w3 w4 w5 w6 w2 w8 w9 w10 w11".split()
+    texts = ["w0 w1 w2 w3 other w5 w6 w2 w8 w9", "w3 w4 w5 w6 w2 w8 w9 w10", "w9 w8 w2 w6 w5 w4 w3 w2 w1 w0", " ".join(item)]
+    for _ in range(120):
+        w = [f"x{draw.randrange(5)}" for _ in range(draw.randrange(6))] + item[draw.randrange(3) :]
+        for _ in range(draw.randrange(6)):
+            k = draw.randrange(len(w) + 1)
+            w[k : k + draw.randrange(2)] = draw.choice(([], [f"x{draw.randrange(5)}"], ["W5"], ["absent-not"]))
+        texts.append(" ".join(w))
+    items = [(1, " ".join(item)), (2, "w0 nowhere w2"), (3, "w3 w4 gone w5 w6 w8 gone2 w9 w10 w11")]
+    slop, expected = 2, []
+    for i, text in enumerate(texts):
+        w, near, owners = _ascii_words(text), set(), set()
+        for key, own in items:
+            own = own.split()
+            for s in range(max(len(own) - 10, 0) + 1):
+                win = own[s : s + 10]
+                need = 0.8 * len(set(win))
+                at = [len({t for o, t in enumerate(win) if t in w[max(p + o - slop, 0) : max(p + o + slop + 1, 0)]}) for p in range(-14, len(w) + 4)]
+                if max(at) >= need and not any(w[p : p + len(win)] == win for p in range(len(w))):
+                    near.add(tuple(win))
+                    owners.add(key)
+        expected.append((i, len(near), len(owners)))
+    assert expected[0][1:] == (1, 1) and sum(n > 0 for _, n, _ in expected) > 20
+    tables = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    _same(decontaminate.proximity(*tables, slop=slop).collect(), expected)
+    _same(decontaminate.proximity(tables[0].limit(0), tables[1]).collect(), [])
+
+
 def _repeats(words: list[str], least: int) -> tuple[int, int]:
     covered, longest = set(), 0
     order = sorted(range(len(words)), key=lambda i: words[i:])
