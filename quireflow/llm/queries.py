@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, languages, licences, neardup, quality, substrings, tokencounts, wrappers
+from . import bpe, chat, decontaminate, divergence, languages, licences, neardup, quality, substrings, tokencounts, wrappers
 from .vocab import rank_file, whole_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,39 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT u AS doc_id, min(v) AS c FROM rea
 @_query("op10_minhash_neardup", _NEARDUP_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"))
+
+
+_DIVERGENCE_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER}, '[a-z\x{{80}}-\x{{10FFFF}}]+') AS w
+  FROM documents),
+o AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+l AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM o GROUP BY 1, 2 HAVING count(*) >= 10),
+c AS (SELECT lang, source, term, sum(o.n)::HUGEINT AS n FROM o JOIN l USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(l.term) AS kept, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang FROM g) LEFT JOIN l USING (lang) GROUP BY 1),
+p AS (
+  SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(t.total, 0) + 2 * v.kept) AS p,
+    1 + (1000000000 * (l.n + 2)) // (v.total + 2 * v.kept) AS q
+  FROM g JOIN l USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2) t USING (lang, source)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) f
+  ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM ranked)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM numbered WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@_query("op11_source_divergence", _DIVERGENCE_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(_table(spark, folder, "documents"))
