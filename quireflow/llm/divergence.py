@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import words as W
+from .asciiwords import bounded
+from .packed import encoded, packed
 
 THRESHOLD = 10
 WIDTH = 4
@@ -49,36 +51,16 @@ UNIT = 1_000_000_000
 #: Bytes of prefixes up to which a level's survivors travel with the tasks.
 SHIP_BYTES = 16 << 20
 
+#: Bytes of text whose partial counts are summed before they leave a task.
+_CHUNK_BYTES = 12 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
 
 
-def _terms(chunk: W.Chunk) -> tuple[pa.Array, np.ndarray]:
-    """All terms of a chunk in order, and the text each belongs to."""
-    data = W.LOWER[chunk.data]
-    letter = _LETTER[data]
-    opens = letter.copy()
-    opens[1:] &= ~letter[:-1]
-    inner = chunk.bounds[1:-1]
-    inner = inner[inner < len(letter)]
-    opens[inner] = letter[inner]
-    start = np.flatnonzero(opens)
-    packed = data[letter]
-    # what a term has left of is packed without gaps, so its bytes begin where the letters before it end
-    bounds = np.append(np.cumsum(letter)[start] - 1, len(packed)).astype(np.int64)
-    terms = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(packed)])
-    return terms, np.searchsorted(chunk.bounds, start, side="right") - 1
-
-
-def _encoded(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    coded = values.dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-
-
 def _surviving(parents: pa.Array, lang: np.ndarray, names: list[str], left: dict[str, np.ndarray]) -> np.ndarray:
     """Whether each parent prefix is among those left of its language."""
-    distinct, code = _encoded(parents)
+    distinct, code = encoded(parents)
     texts = np.array(distinct.to_pylist(), dtype=bytes)
     keep = np.zeros(len(code), bool)
     for i, name in enumerate(names):
@@ -107,10 +89,11 @@ def _level(width: int, before: int, left: dict[str, np.ndarray] | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in W.chunks(batch):
-                names, lang = _encoded(W.ids(batch, chunk, "lang"))
-                sources, source = _encoded(W.ids(batch, chunk, "source"))
-                terms, row = _terms(chunk)
+            for chunk in W.chunks(batch, size=_CHUNK_BYTES):
+                names, lang = encoded(W.ids(batch, chunk, "lang"))
+                sources, source = encoded(W.ids(batch, chunk, "source"))
+                data = W.LOWER[chunk.data]
+                terms, row = packed(data, _LETTER[data], chunk.bounds)
                 if before:
                     longer = pc.binary_length(terms).to_numpy() > before
                     terms, row = terms.filter(pa.array(longer)), row[longer]
@@ -122,7 +105,7 @@ def _level(width: int, before: int, left: dict[str, np.ndarray] | None):
                 for part, group in ((whole, lang * len(sources) + source), (~whole, lang)):
                     if not part.any():
                         continue
-                    values, code = _encoded(pc.binary_slice(terms.filter(pa.array(part)), 0, width))
+                    values, code = encoded(pc.binary_slice(terms.filter(pa.array(part)), 0, width))
                     of, which, docs, often = _counted(group, row[part], code)
                     complete = part is whole
                     yield pa.RecordBatch.from_arrays(
@@ -193,7 +176,7 @@ def _distance(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), p + q)
 
 
-def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(counts: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
     """(lang, source, item, value): the summed divergence of each two sources of a language, both ways round.
 
     Every one of the V terms adds the distance of the two shares of nothing. What a term
@@ -201,7 +184,7 @@ def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
     histogram of shares; only terms of both groups are joined by term.
     """
     of = groups.select("lang", F.col("source").alias("a"), F.col("zero").alias("za"), F.col("kept").alias("size"))
-    other = groups.select("lang", F.col("source").alias("b"), F.col("zero").alias("zb"))
+    other = bounded(groups.select("lang", F.col("source").alias("b"), F.col("zero").alias("zb")), n_groups)
     bins = counts.groupBy("lang", F.col("source").alias("a"), "p", F.col("zero").alias("za")).agg(F.count("*").alias("terms"))
     alone = (
         bins.join(other, "lang").filter("a != b").groupBy("lang", "a", "b")
@@ -236,13 +219,15 @@ def divergence(docs: DataFrame, threshold: int = THRESHOLD, top: int = TOP, widt
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = occurring.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "kept", "lang_total"])
     groups = cut_lineage(groups.withColumn("zero", _share(F.lit(0).cast("long"), F.col("total"), F.col("kept"))))
-    shares = counts.join(groups, ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("total"), F.col("kept")))
+    n_groups = groups.count()
+    shares = counts.join(bounded(groups, n_groups), ["lang", "source"]).join(langs, ["lang", "term"])
+    p, q = (_share(F.col(n), F.col(total), F.col("kept")) for n, total in (("n", "total"), ("lang_n", "lang_total")))
+    shares = cut_lineage(shares.select("lang", "source", "term", "zero", p.alias("p"), q.alias("q")))
 
     def ranked(rows: DataFrame, part: str) -> DataFrame:
         order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
         return rows.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
 
-    q = _share(F.col("lang_n"), F.col("lang_total"), F.col("kept"))
-    over = shares.join(langs, ["lang", "term"]).withColumn("q", q).filter("p > q")
-    terms = over.select("lang", "source", F.col("term").alias("item"), _distance(F.col("p"), F.col("q")).alias("value"))
-    return ranked(_pairs(shares, groups), "pair").unionByName(ranked(terms, "term").filter(F.col("rank") <= top))
+    terms = shares.filter("p > q").select("lang", "source", F.col("term").alias("item"), _distance(F.col("p"), F.col("q")).alias("value"))
+    pairs = _pairs(shares, groups, n_groups)
+    return ranked(pairs, "pair").unionByName(ranked(terms, "term").filter(F.col("rank") <= top))

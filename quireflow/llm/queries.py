@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, divergence, languages, licences, neardup, quality, substrings, tokencounts, wrappers
+from . import bpe, chat, decontaminate, divergence, languages, licences, neardup, periods, quality, substrings, tokencounts, wrappers
 from .vocab import rank_file, whole_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,31 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM
 @_query("op11_source_divergence", _DIVERGENCE_SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergence(_table(spark, folder, "documents"))
+
+
+def _edited_tail(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten repeats a part of its words to the end, as op13 asks."""
+    words = r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"
+    return docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary"))).withColumn(
+        "text",
+        F.expr(rf"""
+        CASE WHEN h % 10 = 0 AND text IS NOT NULL THEN
+          element_at(transform(array({words}), w -> IF(size(w) = 0, text, element_at(transform(
+            array(struct(h div 10 % size(w) AS a, 1 + (size(w) - h div 10 % size(w)) div (3 + h div 10 % 8) AS p)),
+            x -> array_join(transform(w, (word, i) -> IF(i < x.a, word, get(w, CAST(x.a + (i - x.a) % x.p AS INT)))), ' ')), 1))), 1)
+        ELSE text END"""),
+    )
+
+
+@_query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.periodic_runs(_edited_tail(_table(spark, folder, "documents").select("doc_id", "text")))
+    best = periods.longest()
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", best).select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.col("collapsed_sha256"),
+    )

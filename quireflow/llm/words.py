@@ -131,8 +131,8 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + shift
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[Chunk]:
-    """Chunks of a text column; a null is an empty text."""
+def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """Chunks of a text column, of `size` bytes or one text; a null is an empty text."""
     texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "").cast(pa.large_string())
     if not len(texts):
         return
@@ -141,7 +141,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[Chunk]:
     data = np.frombuffer(data_buffer, np.uint8) if data_buffer is not None else np.zeros(0, np.uint8)
     low = 0
     while low < len(texts):
-        high = int(np.searchsorted(bounds, bounds[low] + CHUNK_BYTES, side="right")) - 1
+        high = int(np.searchsorted(bounds, bounds[low] + size, side="right")) - 1
         high = min(max(high, low + 1), len(texts))
         yield Chunk(slice(low, high), data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
         low = high
