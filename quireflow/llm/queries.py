@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, divergence, languages, licences, neardup, periods, quality, substrings, tokencounts, wrappers
+from . import bpe, chat, decontaminate, divergence, imatch, languages, licences, neardup, periods, quality, substrings, tokencounts, wrappers
 from .vocab import rank_file, whole_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,6 +221,44 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergence(_table(spark, folder, "documents"))
 
 
+_IMATCH_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, length(t) AS n, lead(t) OVER w AS after, first(t) OVER (ORDER BY doc_id DESC) AS head FROM d WINDOW w AS (ORDER BY doc_id DESC)),
+e AS (SELECT doc_id, n, t, t[1 : n - n // 2] || coalesce(after, head)[1 : n // 2] AS e FROM n),
+both_texts AS (SELECT doc_id, 0 AS side, t FROM e UNION ALL SELECT doc_id, 1, e FROM e),
+x AS (SELECT doc_id, side, {_ASCII_WORDS.replace("text", "t")} AS w FROM both_texts),
+terms AS (SELECT DISTINCT doc_id, side, unnest(w) AS term FROM x),
+lexicon AS (
+  SELECT term, [CASE WHEN v = 0 THEN 0 ELSE length(bin(v)) END FOR v IN
+    [('0x' || sha256(term)[4 * s + 1 : 4 * s + 4])::INT FOR s IN range(0, 16)]] AS levels
+  FROM terms WHERE side = 0 GROUP BY term
+  HAVING count(*) * 1000 >= (SELECT count(*) FROM d) AND count(*) * 2 <= (SELECT count(*) FROM d)),
+found AS (
+  SELECT doc_id, side, s, term, CASE WHEN s = 0 THEN 0 ELSE levels[s] END AS v
+  FROM terms JOIN lexicon USING (term), range(0, 17) seeds(s)),
+least AS (SELECT *, min(v) OVER (PARTITION BY doc_id, side, s) AS m FROM found),
+parts AS (
+  SELECT doc_id, side, s, sha256(string_agg(term, ' ' ORDER BY term))[1 : CASE WHEN s = 0 THEN 16 ELSE 8 END] AS part
+  FROM least WHERE v = m GROUP BY 1, 2, 3),
+prints AS (
+  SELECT doc_id, side, coalesce(f, sha256(array_to_string(w, ' '))[1 : 16]) AS f
+  FROM x LEFT JOIN (SELECT doc_id, side, string_agg(part, '-' ORDER BY s) AS f FROM parts GROUP BY 1, 2) USING (doc_id, side)),
+j AS (
+  SELECT e.doc_id, n, sha256(e) AS edited_sha256, a.f AS f, b.f AS g,
+    coalesce(lead(a.f) OVER (ORDER BY e.doc_id DESC), first(a.f) OVER (ORDER BY e.doc_id DESC)) AS h
+  FROM e JOIN prints a ON a.doc_id = e.doc_id AND a.side = 0 JOIN prints b ON b.doc_id = e.doc_id AND b.side = 1)
+SELECT doc_id, n::BIGINT AS n_chars, edited_sha256, f AS fingerprint, g AS edited_fingerprint,
+  CASE WHEN f = g THEN 1.0::DOUBLE ELSE len([1 FOR s IN range(2, 18) IF split(f, '-')[s] = split(g, '-')[s]]) / 16.0::DOUBLE END AS near_edited,
+  CASE WHEN f = h THEN 1.0::DOUBLE ELSE len([1 FOR s IN range(2, 18) IF split(f, '-')[s] = split(h, '-')[s]]) / 16.0::DOUBLE END AS near_next
+FROM j
+"""
+
+
+@_query("op12_document_fingerprints", _IMATCH_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.fingerprints(_table(spark, folder, "documents"))
+
+
 def _edited_tail(docs: DataFrame) -> DataFrame:
     """Documents of which one in ten repeats a part of its words to the end, as op13 asks."""
     words = r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"
