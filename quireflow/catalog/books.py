@@ -433,13 +433,13 @@ def x06(spark: SparkSession, folder: str) -> DataFrame:
 
 
 UNION_SQL = f"""{JUMPS_SQL}, found AS MATERIALIZED (SELECT *, 1 AS check_ord FROM ({finding_sql('A11Y_TABLE_HEADER', "'A table has no header cells.'", f"filed n WHERE tag = 'table' AND NOT EXISTS (SELECT 1 FROM nodes h WHERE {below('n', 'h')} AND h.tag = 'th')", file='file')})
-  UNION ALL SELECT *, 0 FROM ({finding_sql('A11Y_IMAGE_ALT', "'An image has no alt text.'", f"filed WHERE tag = 'img' AND coalesce({attr_sql('alt')}, '') = '' AND page_id % 9 = 0", file='file')}) UNION ALL SELECT *, 2 FROM ({finding_sql('A11Y_HEADING_ORDER', JUMP_MESSAGE, 'jumps', file='file')}))"""
+  UNION ALL SELECT *, 0 FROM ({finding_sql('A11Y_IMAGE_ALT', "'An image has no alt text.'", f"filed WHERE tag = 'img' AND coalesce({attr_sql('alt')}, '') = ''", file='file')}) UNION ALL SELECT *, 2 FROM ({finding_sql('A11Y_HEADING_ORDER', JUMP_MESSAGE, 'jumps', file='file')}))"""
 
 
 def _findings(spark: SparkSession, folder: str) -> DataFrame:
     nodes = filed_nodes(spark, folder)
     return checks.union_findings(
-        checks.check_image_alt(nodes.filter("page_id % 9 = 0")), checks.check_table_header(nodes), checks.check_heading_order(nodes)
+        checks.check_image_alt(nodes), checks.check_table_header(nodes), checks.check_heading_order(nodes)
     )
 
 

@@ -134,15 +134,20 @@ def o06(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "a07_tabular_shape",
-    """SELECT doc_id, arg_min(w, -n * 1000000 + w) AS width FROM (SELECT doc_id, w, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM
-      (SELECT doc_id, len(string_split(unnest(string_split(text, chr(10))), ' ')[1 : 2 + doc_id % 4]) AS w FROM documents) GROUP BY doc_id, w) GROUP BY doc_id
-      HAVING max(n) / max(total) >= 0.75 AND max(total) >= 3 AND arg_min(w, -n * 1000000 + w) >= 3""",
+    """WITH words AS (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents),
+      rows AS (
+        SELECT doc_id, len(string_split(unnest(string_split(text, chr(10))), ' ')) AS w FROM documents
+        UNION ALL SELECT doc_id, least(2 + doc_id % 5, len(w) - s) FROM (SELECT doc_id, w, unnest(range(0, len(w), 2 + doc_id % 5)) AS s FROM words))
+      SELECT doc_id, arg_min(w, -n * 1000000 + w) AS width FROM (SELECT doc_id, w, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM rows GROUP BY doc_id, w)
+      GROUP BY doc_id HAVING max(n) / max(total) >= 0.75 AND max(total) >= 3 AND arg_min(w, -n * 1000000 + w) >= 3""",
 )
 def a07(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of each text, whole, and below them the same text set as a table of two to six columns."""
     from ..plans.clean import tabular_width
 
-    # at most two to five cells a line, by document, so that prose has tables of each width
-    most = (2 + F.col("doc_id") % 4).cast("int")
-    cells = F.transform(F.split("text", "\n"), lambda line: F.slice(F.split(line, " "), F.lit(1), most))
-    shaped = table(spark, folder, "documents").select("doc_id", tabular_width(cells).cast("long").alias("width"))
+    wide = (2 + F.col("doc_id") % 5).cast("int")
+    lines = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    rows = F.transform(F.sequence(F.lit(0), F.size(words) - 1, wide), lambda s: F.slice(words, s + 1, wide))
+    shaped = table(spark, folder, "documents").select("doc_id", tabular_width(F.concat(lines, rows)).cast("long").alias("width"))
     return shaped.filter("width IS NOT NULL")

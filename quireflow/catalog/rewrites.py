@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import selectors
 from ..operators import tree as t
 from ..plans import capture, clean
 from ..sources import markup
 from . import inputs as i
 from . import oracle as o
 from .inputs import attr_sql, below
-from .registry import query
+from .registry import lit, query
 
 RICH = f"WITH {i.nodes_sql(i.RICH_SQL)}"
 RICH_URL = f"WITH {i.nodes_sql(i.RICH_SQL, 'url', 'site')}"
@@ -329,6 +330,40 @@ def d01(spark: SparkSession, folder: str) -> DataFrame:
     return rows(capture.content_root(i.rich_nodes(spark, folder)))
 
 
+#: Selector strings, each with the SQL condition that says the same of a node ``n``.
+SELECTORS = {
+    "article table td": f"n.tag = 'td' AND EXISTS (SELECT 1 FROM nodes a JOIN nodes b ON {below('a', 'b')} WHERE {below('b', 'n')} AND a.tag = 'article' AND b.tag = 'table')",
+    ".d *, #p1": f"(EXISTS (SELECT 1 FROM nodes a WHERE {below('a', 'n')} AND list_contains(string_split({attr_sql('class', 'a')}, ' '), 'd')) OR {attr_sql('id', 'n')} = 'p1')",
+    "div[role=tabpanel][hidden]": f"n.tag = 'div' AND {attr_sql('role', 'n')} = 'tabpanel' AND {attr_sql('hidden', 'n')} IS NOT NULL",
+    "article [aria-hidden='TRUE' i]": f"{attr_sql('aria-hidden', 'n')} = 'true' AND EXISTS (SELECT 1 FROM nodes a WHERE {below('a', 'n')} AND a.tag = 'article')",
+    'a[href^="/gone"], a[href$=example], img[src*=".web"]': f"(n.tag = 'a' AND (starts_with({attr_sql('href', 'n')}, '/gone') OR ends_with({attr_sql('href', 'n')}, 'example')) OR n.tag = 'img' AND contains({attr_sql('src', 'n')}, '.web'))",
+}
+
+
+@query(
+    "f11_selector_strings",
+    f"{RICH} " + " UNION ALL ".join(f"SELECT {lit(s)} AS selector, page_id, pos FROM nodes n WHERE n.kind = 'element' AND {sql}" for s, sql in SELECTORS.items()),
+)
+def f11_strings(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = i.rich_nodes(spark, folder)
+    for n, selector in enumerate(SELECTORS):
+        nodes = selectors.mark(nodes, selector, f"m{n}")
+    found = F.array(*[F.when(F.col(f"m{n}"), F.lit(s)) for n, s in enumerate(SELECTORS)])
+    return nodes.select(F.explode(F.array_compact(found)).alias("selector"), "page_id", pos().alias("pos"))
+
+
+@query(
+    "d01_content_selector",
+    f"""{RICH}, ranked AS (SELECT n.page_id, n.pos, n.closed_at, CASE WHEN {attr_sql('id', 'n')} = 'p2' AND {attr_sql('aria-hidden', 'n')} = 'true' THEN 0
+      WHEN n.tag = 'ul' AND EXISTS (SELECT 1 FROM nodes a WHERE {below('a', 'n')} AND {attr_sql('class', 'a')} = 's') THEN 1 END AS rank FROM nodes n WHERE n.kind = 'element'),
+    roots AS (SELECT page_id, arg_min(struct_pack(pos := pos, closed_at := closed_at), rank * 1000000 + pos) AS r FROM ranked WHERE rank IS NOT NULL GROUP BY page_id)
+    SELECT n.page_id, n.pos, n.kind, n.tag FROM nodes n JOIN roots USING (page_id) WHERE n.pos > r.pos AND n.pos < r.closed_at""",
+)
+def d01_selector(spark: SparkSession, folder: str) -> DataFrame:
+    """Own selectors before the usual ones: the second panel of even pages, a list of the others."""
+    return rows(capture.content_root(i.rich_nodes(spark, folder), "article #p2[aria-hidden='TRUE' i]", "body .s ul"))
+
+
 @query(
     "d02_label_tab_panels",
     f"""{RICH} SELECT p.page_id, p.pos, string_agg(d.text, '' ORDER BY d.pos) AS label FROM nodes p
@@ -352,6 +387,19 @@ def d03(spark: SparkSession, folder: str) -> DataFrame:
     return links.select("page_id", pos("pos").alias("pos"), "title", "href")
 
 
+@query(
+    "d03_nav_selector",
+    f"""{RICH_URL}, navs AS (SELECT page_id, min(pos) AS pos, arg_min(closed_at, pos) AS closed_at FROM nodes s
+      WHERE list_contains(string_split({attr_sql('class', 's')}, ' '), 'ad') OR s.tag = 'li' AND EXISTS (SELECT 1 FROM nodes v WHERE {below('v', 's')} AND v.tag = 'nav') GROUP BY page_id)
+    SELECT a.page_id, a.pos, trim(string_agg(d.text, '' ORDER BY d.pos), {o.WS}) AS title, {o.join('a.url', attr_sql('href', 'a'))} AS href
+    FROM navs n JOIN nodes a ON {below('n', 'a')} AND a.tag = 'a' JOIN nodes d ON {below('a', 'd')} AND d.kind = 'text' GROUP BY ALL""",
+)
+def d03_selector(spark: SparkSession, folder: str) -> DataFrame:
+    """The navigation by an own selector: what comes first of an advert and a list item of the page's menu."""
+    links = capture.nav_links(i.rich_nodes(spark, folder, "url"), ".ad, nav li")
+    return links.select("page_id", pos("pos").alias("pos"), "title", "href")
+
+
 @query(
     "d04_iframe_to_link",
     f"""{RICH_URL} SELECT page_id, pos, 'href=' || {o.join('url', attr_sql('src'))} AS attrs, {attr_sql('title')} AS label FROM nodes WHERE tag = 'iframe'""",

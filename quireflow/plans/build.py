@@ -16,7 +16,11 @@ from .book import chapter_document
 
 
 def build_chapters(
-    pages: DataFrame, files: DataFrame, assets: DataFrame | None = None, max_pages: int | None = None
+    pages: DataFrame,
+    files: DataFrame,
+    assets: DataFrame | None = None,
+    max_pages: int | None = None,
+    content_selector: str | None = None,
 ) -> DataFrame:
     """(site, file, page_id, html): ``pages(page_id, site, url, title, html)`` to finished documents.
 
@@ -24,7 +28,8 @@ def build_chapters(
     least id, in the language the page states. A page whose content root is empty
     keeps an empty document; a page without a root has none. With ``max_pages``, a
     site of more canonical addresses is not built at all (``enforce_page_cap`` and
-    ``check_page_cap`` say which).
+    ``check_page_cap`` say which). A ``content_selector`` names the content root of sites
+    outside the usual layouts; where it matches nothing, the usual containers are looked for.
 
     Node tables are stored three times: after the parse, since links, images and
     structure all start from it; after the structural rewrites; and before
@@ -35,17 +40,18 @@ def build_chapters(
     if max_pages is not None:
         over = enforce_page_cap(slim.select("site", F.col("canonical").alias("url")), max_pages)
         slim, pages = within_page_cap(slim, over), within_page_cap(pages, over)
+    own = () if content_selector is None else (content_selector,)
     first = slim.groupBy("site", "canonical").agg(F.min("page_id").alias("page_id"))
     chosen = pages.join(first.select("page_id"), "page_id", "left_semi")
     parsed = cut_lineage(parse_html(chosen, "page_id", "html", "site", "url", "title"))
-    nodes = cut_lineage(capture.capture_content(parsed))
+    nodes = cut_lineage(capture.capture_content(parsed, *own))
     structured = cut_lineage(clean.clean_structure(nodes))
     linked = clean.rewrite_links(structured, files, source=nodes)
     illustrated = clean.promote_table_header(clean.rewrite_images(linked, assets, source=nodes))
     named = cut_lineage(illustrated.withColumn("file", chapter_name(path(canonical), canonical)))
     content = t.serialize(clean.prune_dangling_fragments(named, files), "page_id")
     facts = slim.select("page_id", "site", "url", "title", chapter_name(path(F.col("canonical")), F.col("canonical")).alias("file"))
-    known = capture.page_titles(parsed).select("page_id", "language").join(capture.rooted_pages(parsed), "page_id")
+    known = capture.page_titles(parsed).select("page_id", "language").join(capture.rooted_pages(parsed, *own), "page_id")
     joined = facts.join(known, "page_id").join(content, "page_id", "left").fillna("", ["html"])
     document = chapter_document(F.col("title"), F.col("url"), F.col("language"), F.col("html"))
     return joined.select("site", "file", "page_id", document.alias("html"))

@@ -14,6 +14,7 @@ from ..functions.ids import asset_name, sha256_hex
 from ..functions.text import site_name, strip_ws
 from ..functions.url import url_join
 from ..operators import tree as t
+from ..operators.selectors import marked
 
 # What is left out of page content, and how brand images are scored.
 BOILERPLATE_TAGS = ("script", "style", "noscript", "button", "input", "textarea", "select", "nav")
@@ -159,19 +160,24 @@ def first_match(nodes: DataFrame, rank: Column, name: str) -> DataFrame:
     return ranked.withColumn(name, chosen).drop("_rank")
 
 
-def content_root(nodes: DataFrame, *selectors: Column) -> DataFrame:
-    """Nodes inside the content root. Pages without one give no rows."""
-    marked = nodes.withColumn("_in_main", t.inside(F.col("tag") == "main"))
-    chosen = first_match(marked, content_rank(*selectors), "_root")
+def content_root(nodes: DataFrame, *selectors: Column | str) -> DataFrame:
+    """Nodes inside the content root. Pages without one give no rows.
+
+    Own selectors, strings or predicates, win over the usual containers where they match.
+    """
+    nodes, own, added = marked(nodes, selectors)
+    nodes = nodes.withColumn("_in_main", t.inside(F.col("tag") == "main"))
+    chosen = first_match(nodes, content_rank(*own), "_root")
     return chosen.filter(
         (F.col("open_seq") > F.col("_root.open_seq")) & (F.col("open_seq") < F.col("_root.close_seq"))
-    ).drop("_in_main", "_root")
+    ).drop("_in_main", "_root", *added)
 
 
-def rooted_pages(nodes: DataFrame, *selectors: Column) -> DataFrame:
+def rooted_pages(nodes: DataFrame, *selectors: Column | str) -> DataFrame:
     """(page_id) of pages that have a content root, empty or not."""
-    marked = nodes.withColumn("_in_main", t.inside(F.col("tag") == "main"))
-    return marked.filter(content_rank(*selectors).isNotNull()).select("page_id").distinct()
+    nodes, own, _ = marked(nodes, selectors)
+    nodes = nodes.withColumn("_in_main", t.inside(F.col("tag") == "main"))
+    return nodes.filter(content_rank(*own).isNotNull()).select("page_id").distinct()
 
 
 def nav_rank(*selectors: Column) -> Column:
@@ -189,13 +195,14 @@ def nav_rank(*selectors: Column) -> Column:
     return rank
 
 
-def nav_links(nodes: DataFrame, *selectors: Column) -> DataFrame:
+def nav_links(nodes: DataFrame, *selectors: Column | str) -> DataFrame:
     """(page_id, url, pos, title, href): links of the page's navigation, absolute, in order."""
-    marked = nodes.withColumn("_in_aside", t.inside(F.col("tag") == "aside"))
-    chosen = first_match(marked, nav_rank(*selectors), "_nav")
+    nodes, own, added = marked(nodes, selectors)
+    nodes = nodes.withColumn("_in_aside", t.inside(F.col("tag") == "aside"))
+    chosen = first_match(nodes, nav_rank(*own), "_nav")
     within = chosen.filter(
         (F.col("open_seq") > F.col("_nav.open_seq")) & (F.col("open_seq") < F.col("_nav.close_seq"))
-    ).drop("_in_aside", "_nav")
+    ).drop("_in_aside", "_nav", *added)
     is_link = (F.col("tag") == "a") & t.has_attr("href")
     texted = t.with_text(within, is_link, "_title").filter(is_link)
     return texted.select(
@@ -393,7 +400,7 @@ def pick_icon(nodes: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def capture_content(nodes: DataFrame, *selectors: Column) -> DataFrame:
+def capture_content(nodes: DataFrame, *selectors: Column | str) -> DataFrame:
     """Whole-page nodes to content nodes, in capture order."""
     nodes = label_tab_panels(nodes)
     nodes = inline_svg_to_image(drop_hidden(content_root(nodes, *selectors)))

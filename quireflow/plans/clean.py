@@ -120,26 +120,22 @@ def tabular_width(rows: Column) -> Column:
     Ties go to the smaller width. Counting sorted widths needs no pairs: a width's
     count is the distance between its first position and the next width's.
     """
-    widths = F.array_sort(F.transform(rows, F.size))
-    distinct = F.array_distinct(widths)
-    counted = F.transform(
-        distinct,
-        lambda w, i: F.struct(
-            (
-                F.coalesce(F.array_position(widths, F.get(distinct, i + 1)), F.size(widths).cast("long") + 1)
-                - F.array_position(widths, w)
-            ).alias("n"),
-            (-w).alias("minus_width"),
-        ),
-    )
-    best = F.array_max(counted)
-    width = -best["minus_width"]
-    accepted = (
-        (F.size(rows) >= TABLE_MIN_ROWS)
-        & (width >= TABLE_MIN_COLUMNS)
-        & (best["n"] / F.size(rows) >= TABLE_MIN_SHARE)
-    )
-    return F.when(accepted, width)
+
+    def best(widths: Column, distinct: Column) -> Column:
+        def counted(w: Column, i: Column) -> Column:
+            after = F.coalesce(F.array_position(widths, F.get(distinct, i + 1)), F.size(widths).cast("long") + 1)
+            return F.struct((after - F.array_position(widths, w)).alias("n"), (-w).alias("minus_width"))
+
+        return F.array_max(F.transform(distinct, counted))
+
+    def accepted(widths: Column) -> Column:
+        found = best(widths, F.array_distinct(widths))
+        wide, often = -found["minus_width"], found["n"] / F.size(widths)
+        table = (F.size(widths) >= TABLE_MIN_ROWS) & (wide >= TABLE_MIN_COLUMNS) & (often >= TABLE_MIN_SHARE)
+        return F.when(table, wide)
+
+    # bound once, so that the rows are not made again for each width
+    return F.get(F.transform(F.array(F.array_sort(F.transform(rows, F.size))), accepted), F.lit(0))
 
 
 def _table_nodes(columns: list[str], pre: Column, rows: Column, width: Column) -> Column:
@@ -405,9 +401,10 @@ def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
     """
     targets = link_targets(links)
     known = files.select("site", F.col("url").alias("target"), F.col("file").alias("target_file"))
-    # Links without a target (mail, own fragments, unwrapped ones) would all meet at a null key.
-    aimed = targets.filter(F.col("target").isNotNull()).join(known, ["site", "target"], "left")
-    joined = aimed.unionByName(targets.filter(F.col("target").isNull()).withColumn("target_file", F.lit(None).cast("string")))
+    # Links without a target (mail, own fragments, unwrapped ones) would all meet at a null key, so each
+    # has one of its own. A filter for them would have the whole resolution written into it again.
+    key = F.coalesce("target", F.concat(F.lit("\x00"), F.xxhash64("url", "href")))
+    joined = targets.withColumn("_key", key).join(known.withColumnRenamed("target", "_key"), ["site", "_key"], "left").drop("_key")
     safe_anchor = F.when(F.col("anchor") == "", "").otherwise(F.concat(F.lit("#"), xml_id("anchor")))
     href = F.col("href")
     return joined.withColumn(
@@ -543,11 +540,13 @@ def prune_fragments(links: DataFrame, ids: DataFrame, files: DataFrame) -> DataF
     ).withColumn("fragment", F.when(has_fragment, url_defrag(href)["fragment"]))
     book = files.select("site", F.col("file").alias("target_file"), F.lit(True).alias("in_book")).distinct()
     targets = ids.select("site", F.col("file").alias("target_file"), F.col("id").alias("fragment"), F.lit(True).alias("defined"))
-    aimed = keyed.filter(F.col("target_file").isNotNull()).join(book, ["site", "target_file"], "left").join(
-        targets, ["site", "target_file", "fragment"], "left"
+    # links without a fragment have keys of their own, as in `resolve_links`
+    keyed = keyed.withColumn("_key", F.coalesce("target_file", F.concat(F.lit("\x00"), F.xxhash64("file", "href"))))
+    joined = (
+        keyed.join(book.withColumnRenamed("target_file", "_key"), ["site", "_key"], "left")
+        .join(targets.withColumnRenamed("target_file", "_key"), ["site", "_key", "fragment"], "left")
+        .drop("_key")
     )
-    unaimed = keyed.filter(F.col("target_file").isNull())
-    joined = aimed.unionByName(unaimed.withColumns({"in_book": F.lit(None).cast("boolean"), "defined": F.lit(None).cast("boolean")}))
     dangling = F.coalesce(F.col("in_book"), F.lit(False)) & F.col("defined").isNull()
     return joined.withColumn(
         "new_href",
