@@ -45,7 +45,7 @@ from .asciiwords import bounded
 from .packed import encoded, packed
 
 THRESHOLD = 10
-WIDTH = 4
+WIDTH = 6
 TOP = 10
 UNIT = 1_000_000_000
 #: Bytes of prefixes up to which a level's survivors travel with the tasks.
@@ -134,31 +134,32 @@ def _shipped(left: DataFrame, width: int, ship_bytes: int) -> dict[str, np.ndarr
 
 
 def kept_terms(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, ship_bytes: int = SHIP_BYTES) -> DataFrame:
-    """(lang, source, term, n): occurrences of each language's kept terms in each of its sources that has any."""
+    """(lang, source, term, n, lang_n, first): occurrences of each language's kept terms in each of its sources that has any.
+
+    `lang_n` is the term's sum over the sources; one row of each term is its first.
+    """
     texts = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    found: list[DataFrame] = []
+    terms: DataFrame | None = None
     before, left, shipped = 0, None, None
     while left is None or not left.isEmpty():
         level = texts.mapInArrow(_level(width, before, shipped), "lang string, source string, prefix binary, whole boolean, docs long, often long")
         level = level.groupBy("lang", "source", "prefix", "whole").agg(F.sum("docs").alias("docs"), F.sum("often").alias("n"))
         if left is not None and shipped is None:
-            parent = F.substring("prefix", 1, before)
-            level = level.withColumn("parent", parent).join(
-                left.select("lang", F.col("prefix").alias("parent")), ["lang", "parent"], "left_semi"
-            ).drop("parent")
-        level = cut_lineage(level)
-        enough = level.groupBy("lang", "prefix", "whole").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= threshold)
-        complete = enough.filter("whole").select("lang", "prefix")
-        found.append(
-            level.filter("whole").join(complete, ["lang", "prefix"], "left_semi").select("lang", "source", F.col("prefix").cast("string").alias("term"), "n")
+            parents = left.select("lang", F.col("prefix").alias("parent"))
+            level = level.withColumn("parent", F.substring("prefix", 1, before)).join(parents, ["lang", "parent"], "left_semi").drop("parent")
+        # a group is one row for each source, summed already
+        same = Window.partitionBy("lang", "prefix", "whole")
+        level = level.select(
+            "*", F.sum("docs").over(same).alias("held"), F.sum("n").over(same).alias("lang_n"),
+            (F.col("source") == F.min("source").over(same)).alias("first"),
         )
-        left = cut_lineage(enough.filter("not whole").select("lang", "prefix"))
+        level = cut_lineage(level.filter(F.col("held") >= threshold).drop("docs", "held"))
+        complete = level.filter("whole").select("lang", "source", F.col("prefix").cast("string").alias("term"), "n", "lang_n", "first")
+        terms = complete if terms is None else terms.unionByName(complete)
+        left = level.filter("not whole").select("lang", "prefix")
         shipped = _shipped(left, width, ship_bytes)
         before, width = width, 2 * width
-    terms = found[0]
-    for more in found[1:]:
-        terms = terms.unionByName(more)
-    return cut_lineage(terms)
+    return terms
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -213,16 +214,14 @@ def _pairs(counts: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
 def divergence(docs: DataFrame, threshold: int = THRESHOLD, top: int = TOP, width: int = WIDTH, ship_bytes: int = SHIP_BYTES) -> DataFrame:
     """(lang, source, part, item, value, rank): other sources by divergence, and the terms that a source overuses most."""
     counts = kept_terms(docs, threshold, width, ship_bytes)
-    langs = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    sizes = langs.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
+    sizes = counts.filter("first").groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
     occurring = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = occurring.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "kept", "lang_total"])
     groups = cut_lineage(groups.withColumn("zero", _share(F.lit(0).cast("long"), F.col("total"), F.col("kept"))))
     n_groups = groups.count()
-    shares = counts.join(bounded(groups, n_groups), ["lang", "source"]).join(langs, ["lang", "term"])
     p, q = (_share(F.col(n), F.col(total), F.col("kept")) for n, total in (("n", "total"), ("lang_n", "lang_total")))
-    shares = cut_lineage(shares.select("lang", "source", "term", "zero", p.alias("p"), q.alias("q")))
+    shares = counts.join(bounded(groups, n_groups), ["lang", "source"]).select("lang", "source", "term", "zero", p.alias("p"), q.alias("q"))
 
     def ranked(rows: DataFrame, part: str) -> DataFrame:
         order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
