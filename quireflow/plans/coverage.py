@@ -6,15 +6,19 @@ over a chapter boundary. Nothing here collects a site or compares every line
 with every text:
 
 1. The joined text is cut into overlapping blocks of fixed size, each block
-   reaching as far past its end as the longest line.
-2. Each distinct line names one anchor: three inner words around its longest
-   one (its inner words if fewer). Inner words are whole words in any occurrence.
+   reaching a fixed piece past its end, however long the lines are.
+2. Each distinct line is looked for by its head, its first piece. A head names one
+   anchor: three inner words around its longest one (its inner words if
+   fewer). Inner words are whole words in any occurrence.
 3. Where an anchor occurs in a block, the text around it is cut out in the
-   shape of the lines that have this anchor (bytes before it, length).
-   Lines that share an anchor mostly share a few shapes, so a stock phrase
+   shape of the heads that have this anchor (bytes before it, length).
+   Heads that share an anchor mostly share a few shapes, so a stock phrase
    costs its occurrences times shapes, not times lines. Positions count bytes,
    which makes a cut cost its own length and not its distance from the start.
-4. Distinct cut-outs meet distinct lines in an equality join.
+4. Distinct cut-outs meet distinct heads in an equality join. A line of one piece is done.
+5. Of a longer line, each place of the head says where the other pieces must stand. They
+   are cut out of the blocks they fall into, met with the line's pieces by
+   equality, and a place that has them all is an occurrence.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ SINGLE, PAIR = 0, -1
 PIECE_CHARS = 8
 PAIR_CHARS = 4
 BLOCK_CHARS = 1 << 14
+LINE_PIECE_CHARS = 256
 
 
 def split_lines(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -103,17 +108,19 @@ def text_blocks(chapters: DataFrame, block: int, overlap: int) -> DataFrame:
     )
 
 
-def line_anchors(lines: DataFrame) -> DataFrame:
-    """(site, line, size, words, anchor, before): one anchor per distinct line.
+def line_anchors(lines: DataFrame, piece: int = LINE_PIECE_CHARS) -> DataFrame:
+    """(site, line, head, pieces, size, words, anchor, before): one anchor per distinct line, inside its head.
 
-    Lines of three words and more are anchored by the run of inner words at
+    ``pieces`` counts the pieces of the line, ``size`` the bytes of its head. Heads of
+    three words and more are anchored by the run of inner words at
     their longest inner word, since long words are rarer; ``words`` is the
     length of the run. Two words are anchored by the characters on both sides
     of their space (``words`` = PAIR), one word by its leading characters
     (``words`` = SINGLE).
     """
     n = F.col("_n")
-    split = lines.withColumn("_words", F.split("line", " ")).withColumn("_n", F.size("_words"))
+    headed = lines.withColumn("head", F.left("line", F.lit(piece))).withColumn("pieces", F.ceil(F.length("line") / piece).cast("int"))
+    split = headed.withColumn("_words", F.split("head", " ")).withColumn("_n", F.size("_words"))
     counted = split.withColumn(
         "words",
         F.when(n == 1, SINGLE).when(n == 2, PAIR).otherwise(F.least(n - 2, F.lit(ANCHOR_WORDS))),
@@ -131,9 +138,11 @@ def line_anchors(lines: DataFrame) -> DataFrame:
     return placed.select(
         "site",
         "line",
-        F.octet_length("line").alias("size"),
+        "head",
+        "pieces",
+        F.octet_length("head").alias("size"),
         "words",
-        F.when(F.col("words") == SINGLE, F.substring("line", 1, PIECE_CHARS))
+        F.when(F.col("words") == SINGLE, F.substring("head", 1, PIECE_CHARS))
         .when(F.col("words") == PAIR, F.concat(F.right(first, left), F.lit(" "), F.left(second, right)))
         .otherwise(run)
         .alias("anchor"),
@@ -195,44 +204,72 @@ def anchor_places(
     return block_words(blocks).select("site", "block", F.inline(places))
 
 
-def covered_lines(lines: DataFrame, chapters: DataFrame, block: int = BLOCK_CHARS) -> DataFrame:
+def _whole_lines(heads: DataFrame, lines: DataFrame, blocks: DataFrame, block: int, piece: int) -> DataFrame:
+    """(id) of the long ``lines(site, id, line, pieces)`` whose other pieces follow one of ``heads(site, id, at)``; ``at`` counts characters of the site."""
+    later = F.explode(F.sequence(F.lit(1), F.col("pieces") - 1)).alias("n")
+    place = F.col("at") + F.col("n") * piece
+    wanted = lines.select("site", "id", later, "line").select(
+        "site", "id", "n", F.substr("line", F.col("n") * piece + 1, F.lit(piece)).alias("text")
+    )
+    sizes = lines.select("site", "id", "pieces", F.length("line").alias("length"))
+    places = heads.join(sizes, ["site", "id"]).select("site", "id", "at", "pieces", "length", later)
+    cut = places.select(
+        "site", "id", "at", "pieces", "n", F.floor(place / block).alias("block"), (place % block).cast("int").alias("within"),
+        F.least(F.lit(piece), F.col("length") - F.col("n") * piece).alias("chars"),
+    )
+    texts = blocks.select("site", "block", F.col("text").alias("block_text"))
+    standing = cut.join(texts, ["site", "block"]).select(
+        "site", "id", "at", "pieces", "n", F.substr("block_text", F.col("within") + 1, F.col("chars")).alias("text")
+    )
+    met = standing.join(wanted, ["site", "id", "n", "text"])
+    whole = met.groupBy("site", "id", "at", "pieces").agg(F.count("*").alias("found")).filter("found = pieces - 1")
+    return whole.select("id").distinct()
+
+
+def covered_lines(lines: DataFrame, chapters: DataFrame, block: int = BLOCK_CHARS, piece: int = LINE_PIECE_CHARS) -> DataFrame:
     """Distinct (site, line) of ``lines(site, line)`` that occur in ``chapters(site, file, text)``."""
     # Both sides are used more than once below; storing them keeps the parse and
-    # the normalising out of every use.
-    anchored = cut_lineage(line_anchors(lines.select("site", "line").distinct()))
-    # One row: the longest line and the kinds of anchors in use (at most 3, 16 and 8 values).
+    # the normalising out of every use, and the ids as they are.
+    anchored = line_anchors(lines.select("site", "line").distinct(), piece)
+    anchored = cut_lineage(anchored.withColumn("id", F.monotonically_increasing_id()))
+    # One row: the kinds of anchors in use (at most 3, 16 and 8 values).
     words = F.col("words")
     kinds = anchored.agg(
-        F.max("size").alias("longest"),
+        F.max("pieces").alias("pieces"),
         F.collect_set(F.when(words > 0, words)).alias("runs"),
         F.collect_set("pair").alias("pairs"),
-        F.collect_set(F.when(words == SINGLE, F.length("anchor"))).alias("pieces"),
+        F.collect_set(F.when(words == SINGLE, F.length("anchor"))).alias("singles"),
         F.min(F.when(words == SINGLE, F.col("size"))).alias("least"),
     ).first()
-    longest = kinds["longest"] or 1
-    block = max(block, longest)
-    blocks = cut_lineage(text_blocks(chapters, block, longest))
-    shapes = anchored.select("site", _anchor_key().alias("key"), "before", "size").distinct()
+    blocks = cut_lineage(text_blocks(chapters, block, piece))
+    shapes = anchored.select("site", _anchor_key().alias("key"), "before", "size", (F.col("pieces") > 1).alias("long")).distinct()
     pairs = sorted((pair["left"], pair["right"]) for pair in kinds["pairs"])
-    places = anchor_places(blocks, sorted(kinds["runs"]), pairs, sorted(kinds["pieces"]), kinds["least"] or 1)
+    places = anchor_places(blocks, sorted(kinds["runs"]), pairs, sorted(kinds["singles"]), kinds["least"] or 1)
     cuts = (
         places.join(shapes, ["site", "key"])
-        .select("site", "block", (F.col("start") - F.col("before")).alias("at"), "size")
+        .select("site", "block", (F.col("start") - F.col("before")).cast("int").alias("at"), "size", "long")
         .filter("at >= 0")
         .distinct()
     )
-    found = (
-        cuts.join(blocks, ["site", "block"])
-        .select("site", F.substring(F.col("text").cast("binary"), (F.col("at") + 1).cast("int"), F.col("size")).alias("bytes"))
-        .distinct()
-    )
-    wanted = anchored.select("site", "line", F.col("line").cast("binary").alias("bytes"))
-    return wanted.join(found, ["site", "bytes"], "left_semi").drop("bytes")
-
-
-def missing_lines(lines: DataFrame, chapters: DataFrame, block: int = BLOCK_CHARS) -> DataFrame:
+    text = F.col("text").cast("binary")
+    found = cuts.join(blocks, ["site", "block"]).withColumn("bytes", F.substring(text, F.col("at") + 1, F.col("size")))
+    heads = anchored.withColumn("bytes", F.col("head").cast("binary"))
+    short = heads.filter("pieces = 1").select("site", "line", "bytes")
+    covered = short.join(found.filter("not long").select("site", "bytes").distinct(), ["site", "bytes"], "left_semi").drop("bytes")
+    if (kinds["pieces"] or 1) == 1:
+        return covered
+    longer = heads.filter("pieces > 1")
+    ahead = F.length(F.substring(text, F.lit(1), F.col("at")).cast("string"))
+    at = (F.col("block") * block + ahead).alias("at")
+    headed = found.filter("long").select("site", "bytes", at).join(longer.select("site", "bytes", "id"), ["site", "bytes"])
+    # a place in the overlap of two blocks is found in both
+    whole = _whole_lines(headed.select("site", "id", "at").distinct(), longer, blocks, block, piece)
+    return covered.unionByName(longer.join(whole, "id", "left_semi").select("site", "line"))
+
+
+def missing_lines(lines: DataFrame, chapters: DataFrame, block: int = BLOCK_CHARS, piece: int = LINE_PIECE_CHARS) -> DataFrame:
     """Rows of ``lines`` whose line occurs nowhere in the site's chapters; repeats are kept."""
-    return lines.join(covered_lines(lines, chapters, block), ["site", "line"], "left_anti")
+    return lines.join(covered_lines(lines, chapters, block, piece), ["site", "line"], "left_anti")
 
 
 def coverage_ratio(lines: DataFrame, missing: DataFrame, sites: DataFrame | None = None) -> DataFrame:

@@ -20,8 +20,36 @@ def test_missing_lines_equal_brute_force(spark):
     lines = [line for line in lines if line]
     frame = spark.createDataFrame([("s", n, line) for n, line in enumerate(lines)], "site string, n int, line string")
     text = spark.createDataFrame(chapters, "site string, file string, text string")
-    missing = coverage.missing_lines(frame, text, block=16)
-    assert {row.n for row in missing.collect()} == {n for n, line in enumerate(lines) if line not in book}
+    # pieces longer than all lines, pieces that cut words, and pieces of a few characters
+    for block, piece in ((16, 64), (32, 16), (16, 5), (1 << 14, 256)):
+        missing = coverage.missing_lines(frame, text, block=block, piece=piece)
+        assert {row.n for row in missing.collect()} == {n for n, line in enumerate(lines) if line not in book}, (block, piece)
+
+
+def test_a_long_line_must_stand_in_one_piece(spark):
+    """Pieces that occur, but not one after the other, are no occurrence; equal pieces at many places are."""
+    unit = "alpha beta gamma delta "
+    book = unit * 40 + "END " + "x " * 300 + "the tail"
+    text = spark.createDataFrame([("s", "a", book[:700]), ("s", "b", book[701:]), ("t", "a", unit * 3)], "site string, file string, text string")
+    lines = [
+        (unit * 30).strip(), (unit * 41).strip(), (unit * 40).strip() + " END x x", "x " * 299 + "x the tail", "x " * 301 + "the tail",
+        unit * 2 + "gamma", (unit * 40).strip() + " END " + "x " * 300 + "the tail",
+    ]
+    frame = spark.createDataFrame([(s, n, line) for s in "st" for n, line in enumerate(lines)], "site string, n int, line string")
+    for block, piece in ((64, 32), (16, 7), (1 << 14, 256)):
+        got = {(r.site, r.n) for r in coverage.missing_lines(frame, text, block, piece).collect()}
+        expected = {("s", n) for n, line in enumerate(lines) if line not in book} | {("t", n) for n, line in enumerate(lines) if line not in unit * 3}
+        assert got == expected and ("s", 1) in got and ("s", 0) not in got
+
+
+def test_block_width_does_not_follow_the_longest_line(spark, monkeypatch):
+    seen = []
+    original = coverage.text_blocks
+    monkeypatch.setattr(coverage, "text_blocks", lambda chapters, block, overlap: seen.append((block, overlap)) or original(chapters, block, overlap))
+    text = spark.createDataFrame([("s", "a", "word " * 20000)], "site string, file string, text string")
+    lines = spark.createDataFrame([("s", "word " * 19999 + "word"), ("s", "word " * 20001)], "site string, line string")
+    assert coverage.covered_lines(lines, text).count() == 1
+    assert seen == [(coverage.BLOCK_CHARS, coverage.LINE_PIECE_CHARS)]
 
 
 def test_covered_source_reads_as_complete(spark):
