@@ -5,15 +5,16 @@ least one of `RAREST` documents and at most one of `COMMONEST`. As a document ha
 some hundreds of distinct terms on average, the lexicon has at most `RAREST` times
 as many terms, however large the corpus; it is counted before it is broadcast.
 
-For each of `LEXICONS` seeds, 16 bits of a term's SHA-256 draw the lexicon subsets
-in which it is: subset k holds the terms whose draw has at most k binary digits,
-so each subset is about half of the next. A text is hashed by the smallest
-subset that holds any of its terms: the sorted distinct terms inside are joined and
-digested. A fingerprint is the digest of all its lexicon terms, which is
-the classic one, and one part for each seed. So equal sets of terms have equal
-fingerprints, and of texts that share only some terms about as many parts
-are equal as the share of terms in common. Likeness is the share of equal parts, and
-1 for equal fingerprints.
+A term's SHA-256 draws which of `LEXICONS` random lexicons it belongs to, and in that
+lexicon the nested subsets that hold it: subset k holds the terms whose draw of 16
+bits has at most k binary digits, so each is about half of the next. In each lexicon
+a text is hashed by the smallest subset that has any of its terms: the sorted distinct
+terms inside are joined and digested. A fingerprint is the digest of all its
+lexicon terms, which is the classic one, and one part for each random lexicon, empty if
+that has none of its terms. So equal sets of terms have equal fingerprints, and of
+texts that share only some terms about as many parts are equal as the share of
+terms in common. Likeness is the share of equal parts among those that either text
+has, and 1 for equal fingerprints.
 
 The edit that `edited` makes needs each document's successor. Keys alone are range-partitioned
 and numbered by partition; a partition's last key takes the first key of the next
@@ -40,7 +41,8 @@ LEXICONS = 16
 RAREST = 1000
 COMMONEST = 2
 KEY = ["unknown", "place", "tag"]
-_PART_DIGITS = 8
+_PART_DIGITS = 6
+_WHOLE_DIGITS = 16
 
 
 def terms(text: Column) -> Column:
@@ -49,40 +51,46 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, rarest: int = RAREST, commonest: int = COMMONEST) -> DataFrame:
-    """(term, levels): terms in the band, and for each seed the number of binary digits of the term's draw."""
+    """(term, part, level): terms in the band, the random lexicon of each, and the binary digits of its draw there."""
     documents = docs.count()
     counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).filter("term != ''").groupBy("term").count()
     band = counts.filter((F.col("count") * rarest >= documents) & (F.col("count") * commonest <= documents))
-    draws = [F.conv(F.substring("digest", 4 * s + 1, 4), 16, 10).cast("long") for s in range(LEXICONS)]
-    levels = F.array(*[F.when(d == 0, 0).otherwise(F.length(F.bin(d))).cast("byte") for d in draws])
-    return band.select("term", F.sha2(F.col("term").cast("binary"), 256).alias("digest")).select("term", levels.alias("levels"))
+    digest = F.sha2(F.col("term").cast("binary"), 256)
+    part, draw = (F.conv(F.substring("digest", at, digits), 16, 10).cast("int") for at, digits in ((1, 1), (2, 4)))
+    return band.select("term", digest.alias("digest")).select(
+        "term", part.alias("part"), F.when(draw == 0, 0).otherwise(F.length(F.bin(draw))).alias("level")
+    )
+
 
+def _digest(text: Column, digits: int) -> Column:
+    return F.substring(F.sha2(text.cast("binary"), 256), 1, digits)
 
-def _digest(words: Column, digits: int) -> Column:
-    return F.substring(F.sha2(F.array_join(words, " ").cast("binary"), 256), 1, digits)
 
+def _listed(entries: Column) -> Column:
+    return F.array_join(F.transform(entries, lambda x: x["term"]), " ")
 
-def fingerprint(found: Column) -> Column:
-    """The fingerprint of sorted (term, levels) entries of a text."""
-    whole = _digest(F.transform(found, lambda x: x["term"]), 2 * _PART_DIGITS)
-    smallest = F.transform(F.sequence(F.lit(0), F.lit(LEXICONS - 1)), lambda s: F.array_min(F.transform(found, lambda x: F.get(x["levels"], s))))
-    parts = F.transform(
-        smallest,
-        lambda subset, s: _digest(F.transform(F.filter(found, lambda x: F.get(x["levels"], s) == subset), lambda x: x["term"]), _PART_DIGITS),
+
+def fingerprint(parts: Column, wordless_digest: Column) -> Column:
+    """The fingerprint of a text from its (part, whole, smallest) entries, sorted; another one where there are none."""
+    whole = _digest(F.array_join(F.transform(parts, lambda x: x["whole"]), ""), _WHOLE_DIGITS)
+    every = F.transform(
+        F.sequence(F.lit(0), F.lit(LEXICONS - 1)),
+        lambda n: F.coalesce(F.get(F.filter(parts, lambda x: x["part"] == n), F.lit(0))["smallest"], F.lit("")),
     )
-    return F.concat_ws("-", whole, parts)
+    return F.when(F.size(parts) > 0, F.concat_ws("-", whole, every)).otherwise(wordless_digest)
 
 
 def wordless(text: Column) -> Column:
     """The fingerprint of a text without lexicon terms."""
-    return _digest(F.filter(raw_words(ascii_lower(text)), lambda word: word != ""), 2 * _PART_DIGITS)
+    return _digest(F.array_join(F.filter(raw_words(ascii_lower(text)), lambda word: word != ""), " "), _WHOLE_DIGITS)
 
 
 def likeness(one: Column, other: Column) -> Column:
-    """Share of equal parts of two fingerprints; 1 if they are equal."""
-    equal = F.zip_with(F.split(one, "-"), F.split(other, "-"), lambda a, b: (a == b).cast("int"))
-    shared = F.aggregate(F.slice(equal, 2, LEXICONS), F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
-    return F.when(one == other, F.lit(1.0)).otherwise(shared / F.lit(float(LEXICONS)))
+    """Share of equal parts of two fingerprints among the parts that are not empty in both; 1 if they are equal."""
+    pairs = F.slice(F.arrays_zip(F.split(one, "-").alias("a"), F.split(other, "-").alias("b")), 2, LEXICONS)
+    some = F.filter(pairs, lambda x: (x["a"] != "") | (x["b"] != ""))
+    equal = F.size(F.filter(some, lambda x: F.coalesce(x["a"] == x["b"], F.lit(False))))
+    return F.when(one == other, F.lit(1.0)).otherwise(equal / F.greatest(F.size(some), F.lit(1)).cast("double"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -97,10 +105,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def neighbours(keyed_docs: DataFrame) -> DataFrame:
-    """(key, next, last, last_chars): each key with the key after it, the one before it, and how long that one's text is; round the ends."""
-    keys = keyed_docs.select(*KEY, F.length("text").alias("chars")).distinct()
+    """(key, copies, chars, after, before): each key, how often it occurs, its text's length, and the keys on both sides; round the ends."""
+    keys = keyed_docs.groupBy(*KEY).agg(F.max(F.length("text")).alias("chars"), F.count("*").alias("copies"))
     placed = keys.repartitionByRange(*KEY).withColumn("part", F.spark_partition_id())
-    placed = cut_lineage(placed.select("part", F.struct(*KEY, "chars").alias("key")))
+    placed = cut_lineage(placed.select("part", F.struct(*KEY, "chars", "copies").alias("key")))
     ends = placed.groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("last"))
     over_parts = Window.orderBy("part")
     whole = over_parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -113,49 +121,58 @@ def neighbours(keyed_docs: DataFrame) -> DataFrame:
     linked = placed.select("part", "key", F.lead("key").over(inside).alias("after"), F.lag("key").over(inside).alias("before"))
     linked = linked.join(F.broadcast(ends), "part")
     after, before = F.coalesce("after", "first_after"), F.coalesce("before", "last_before")
-    return linked.select(*[F.col(f"key.{c}") for c in KEY], after.alias("after"), before.alias("before"))
+    return linked.select("key.*", after.alias("after"), before.alias("before"))
+
 
+def edited(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`neighbours`, and (key, text, edited): each text, and the same with its second half replaced by the beginning of the next one.
 
-def edited(docs: DataFrame) -> DataFrame:
-    """(key, copies, after, text, edited): each document with the second half of its text replaced by the beginning of the next one's."""
+    The grouped texts are read in two places but are one exchange.
+    """
     rows = _keyed(docs)
     links = cut_lineage(neighbours(rows))
-    single = rows.groupBy(*KEY).agg(F.min("text").alias("text"), F.count("*").alias("copies"))
-    sent = single.join(links, KEY).select(
+    single = rows.groupBy(*KEY).agg(F.min("text").alias("text"))
+    sent = single.join(links.select(*KEY, "before"), KEY).select(
         *[F.col(f"before.{c}").alias(c) for c in KEY], F.expr("substring(text, 1, int(before.chars div 2))").alias("piece")
     )
     own = F.expr("substring(text, 1, int(length(text) - length(text) div 2))")
-    return single.join(links.select(*KEY, "after"), KEY).join(sent, KEY).select(
-        *KEY, "copies", "after", "text", F.concat(own, F.col("piece")).alias("edited")
-    )
+    return links, single.join(sent, KEY).select(*KEY, "text", F.concat(own, F.col("piece")).alias("edited"))
 
 
 def fingerprints(docs: DataFrame, rarest: int = RAREST, commonest: int = COMMONEST) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of documents."""
+    links, texts = edited(docs)
     words = cut_lineage(lexicon(docs, rarest, commonest))
-    texts = edited(docs)
-    sides = [F.struct(F.lit(name == "edited").alias("changed"), terms(F.col(name)).alias("terms")) for name in ("text", "edited")]
-    each = texts.select(*KEY, F.explode(F.array(*sides)).alias("side")).select(*KEY, "side.changed", F.explode("side.terms").alias("term"))
-    entry = F.struct("term", "levels")
-    found = each.join(bounded(words, words.count()), "term").groupBy(*KEY).agg(
-        *[F.sort_array(F.collect_list(F.when(F.col("changed") == side, entry))).alias(name) for name, side in (("found", False), ("found_edited", True))]
+    count = words.count()
+    # an entry of its own, with what each text brings besides its terms
+    mark = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).alias("part"), F.lit(0).alias("level"))
+    sides = [
+        F.struct(F.lit(side).alias("side"), F.col(name).alias("text")) for side, name in ((0, "text"), (1, "edited"))
+    ]
+    each = texts.select(*KEY, F.explode(F.array(*sides)).alias("of")).select(
+        *KEY, "of.side", "of.text", F.explode(F.array_union(F.array(F.lit("")), terms(F.col("of.text")))).alias("term")
     )
-
-    def hashed(entries: str, text: str) -> Column:
-        return F.when(F.size(entries) > 0, fingerprint(F.col(entries))).otherwise(wordless(F.col(text)))
-
-    hashed_docs = cut_lineage(
-        texts.join(found, KEY, "left").select(
-            *KEY, "copies", "after", F.length("text").cast("long").alias("n_chars"),
-            F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            hashed("found", "text").alias("fingerprint"), hashed("found_edited", "edited").alias("edited_fingerprint"),
-        )
+    note = F.when(F.col("part") < 0, F.concat(F.sha2(F.col("text").cast("binary"), 256), wordless(F.col("text"))))
+    entry = F.when(F.col("part") >= 0, F.struct("level", "term"))
+    found = each.join(bounded(words.unionByName(mark), count), "term").select(*KEY, "side", "part", note.alias("note"), entry.alias("entry"))
+    found = found.groupBy(*KEY, "side", "part").agg(F.sort_array(F.collect_list("entry")).alias("found"), F.max("note").alias("note"))
+    smallest = F.filter("found", lambda x: x["level"] == F.get("found", F.lit(0))["level"])
+    part = F.struct("part", _digest(_listed(F.col("found")), _WHOLE_DIGITS).alias("whole"), _digest(_listed(smallest), _PART_DIGITS).alias("smallest"))
+    found = found.select(*KEY, "side", "note", F.when(F.col("part") >= 0, part).alias("entry"))
+    found = found.groupBy(*KEY).agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("entry")))).alias(f"parts_{side}") for side in (0, 1)],
+        *[F.max(F.when(F.col("side") == side, F.col("note"))).alias(f"note_{side}") for side in (0, 1)],
+    )
+    prints = [fingerprint(F.col(f"parts_{side}"), F.substr(f"note_{side}", F.lit(65))) for side in (0, 1)]
+    hashed = cut_lineage(
+        found.select(*KEY, F.left("note_1", F.lit(64)).alias("edited_sha256"), prints[0].alias("fingerprint"), prints[1].alias("edited_fingerprint"))
     )
-    others = hashed_docs.select(*[F.col(c).alias(f"next_{c}") for c in KEY], F.col("fingerprint").alias("next_fingerprint"))
-    met = hashed_docs.join(others, [F.col(f"after.{c}") == F.col(f"next_{c}") for c in KEY])
+    others = hashed.select(*[F.col(c).alias(f"next_{c}") for c in KEY], F.col("fingerprint").alias("next_fingerprint"))
+    linked = links.select(*KEY, "copies", "chars", *[F.col(f"after.{c}").alias(f"next_{c}") for c in KEY])
+    met = hashed.join(linked.join(others, [f"next_{c}" for c in KEY]).select(*KEY, "copies", "chars", "next_fingerprint"), KEY)
     doc_id = F.when(~F.col("unknown"), F.bitwise_not(F.col("place")))
     return met.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(
-        doc_id.alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        doc_id.alias("doc_id"), F.col("chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )

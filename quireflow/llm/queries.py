@@ -229,28 +229,32 @@ both_texts AS (SELECT doc_id, 0 AS side, t FROM e UNION ALL SELECT doc_id, 1, e
 x AS (SELECT doc_id, side, {_ASCII_WORDS.replace("text", "t")} AS w FROM both_texts),
 terms AS (SELECT DISTINCT doc_id, side, unnest(w) AS term FROM x),
 lexicon AS (
-  SELECT term, [CASE WHEN v = 0 THEN 0 ELSE length(bin(v)) END FOR v IN
-    [('0x' || sha256(term)[4 * s + 1 : 4 * s + 4])::INT FOR s IN range(0, 16)]] AS levels
-  FROM terms WHERE side = 0 GROUP BY term
-  HAVING count(*) * 1000 >= (SELECT count(*) FROM d) AND count(*) * 2 <= (SELECT count(*) FROM d)),
-found AS (
-  SELECT doc_id, side, s, term, CASE WHEN s = 0 THEN 0 ELSE levels[s] END AS v
-  FROM terms JOIN lexicon USING (term), range(0, 17) seeds(s)),
-least AS (SELECT *, min(v) OVER (PARTITION BY doc_id, side, s) AS m FROM found),
+  SELECT term, ('0x' || sha256(term)[1])::INT AS part, CASE WHEN v = 0 THEN 0 ELSE length(bin(v)) END AS level
+  FROM (SELECT term, count(*) AS n, ('0x' || sha256(term)[2 : 5])::INT AS v FROM terms WHERE side = 0 GROUP BY term)
+  WHERE n * 1000 >= (SELECT count(*) FROM d) AND n * 2 <= (SELECT count(*) FROM d)),
+found AS (SELECT *, min(level) OVER (PARTITION BY doc_id, side, part) AS least FROM terms JOIN lexicon USING (term)),
 parts AS (
-  SELECT doc_id, side, s, sha256(string_agg(term, ' ' ORDER BY term))[1 : CASE WHEN s = 0 THEN 16 ELSE 8 END] AS part
-  FROM least WHERE v = m GROUP BY 1, 2, 3),
+  SELECT doc_id, side, part, sha256(string_agg(term, ' ' ORDER BY level, term))[1 : 16] AS whole,
+    sha256(string_agg(term, ' ' ORDER BY term) FILTER (level = least))[1 : 6] AS smallest
+  FROM found GROUP BY 1, 2, 3),
+filled AS (
+  SELECT doc_id, side, sha256(string_agg(whole, '' ORDER BY part) )[1 : 16] AS whole FROM parts GROUP BY 1, 2),
 prints AS (
-  SELECT doc_id, side, coalesce(f, sha256(array_to_string(w, ' '))[1 : 16]) AS f
-  FROM x LEFT JOIN (SELECT doc_id, side, string_agg(part, '-' ORDER BY s) AS f FROM parts GROUP BY 1, 2) USING (doc_id, side)),
+  SELECT x.doc_id, x.side, coalesce(any_value(filled.whole) || '-' || string_agg(coalesce(smallest, ''), '-' ORDER BY s), sha256(array_to_string(any_value(w), ' '))[1 : 16]) AS f
+  FROM x CROSS JOIN range(0, 16) seeds(s) LEFT JOIN filled ON filled.doc_id = x.doc_id AND filled.side = x.side
+  LEFT JOIN parts ON parts.doc_id = x.doc_id AND parts.side = x.side AND parts.part = s GROUP BY 1, 2),
 j AS (
   SELECT e.doc_id, n, sha256(e) AS edited_sha256, a.f AS f, b.f AS g,
     coalesce(lead(a.f) OVER (ORDER BY e.doc_id DESC), first(a.f) OVER (ORDER BY e.doc_id DESC)) AS h
-  FROM e JOIN prints a ON a.doc_id = e.doc_id AND a.side = 0 JOIN prints b ON b.doc_id = e.doc_id AND b.side = 1)
+  FROM e JOIN prints a ON a.doc_id = e.doc_id AND a.side = 0 JOIN prints b ON b.doc_id = e.doc_id AND b.side = 1),
+k AS (
+  SELECT *, [s FOR s IN range(2, 18) IF coalesce(split(f, '-')[s], '') <> '' OR coalesce(split(g, '-')[s], '') <> ''] AS fg,
+    [s FOR s IN range(2, 18) IF coalesce(split(f, '-')[s], '') <> '' OR coalesce(split(h, '-')[s], '') <> ''] AS fh
+  FROM j)
 SELECT doc_id, n::BIGINT AS n_chars, edited_sha256, f AS fingerprint, g AS edited_fingerprint,
-  CASE WHEN f = g THEN 1.0::DOUBLE ELSE len([1 FOR s IN range(2, 18) IF split(f, '-')[s] = split(g, '-')[s]]) / 16.0::DOUBLE END AS near_edited,
-  CASE WHEN f = h THEN 1.0::DOUBLE ELSE len([1 FOR s IN range(2, 18) IF split(f, '-')[s] = split(h, '-')[s]]) / 16.0::DOUBLE END AS near_next
-FROM j
+  CASE WHEN f = g THEN 1.0::DOUBLE ELSE len([1 FOR s IN fg IF split(f, '-')[s] = split(g, '-')[s]]) / greatest(len(fg), 1)::DOUBLE END AS near_edited,
+  CASE WHEN f = h THEN 1.0::DOUBLE ELSE len([1 FOR s IN fh IF split(f, '-')[s] = split(h, '-')[s]]) / greatest(len(fh), 1)::DOUBLE END AS near_next
+FROM k
 """
 
 
