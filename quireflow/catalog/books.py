@@ -748,14 +748,29 @@ def q02(spark: SparkSession, folder: str) -> DataFrame:
 # ---- streams and reruns ----------------------------------------------------
 
 
-@query("i02_capture_stream", f"SELECT DISTINCT regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS site, {o.canonical('url')} AS url FROM pages")
+SEEN_MICROS = "(page_id * 7919) % 86400 * 1000000 + page_id"
+
+
+@query(
+    "i02_capture_stream",
+    f"""SELECT regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS site, {o.canonical('url')} AS url, arg_min(page_id, {SEEN_MICROS}) AS page_id
+    FROM pages GROUP BY 1, 2""",
+)
 def i02(spark: SparkSession, folder: str) -> DataFrame:
+    """The earliest capture of each address from a feed whose files are in no order of time; a record ten days on closes it."""
     from ..streaming.capture import capture_stream
 
     target = scratch_folder(spark, "stream")
-    schema = table(spark, folder, "pages").schema
-    capture_stream(spark, f"{folder}/pages*.parquet", schema, f"{target}/pages", f"{target}/state").awaitTermination()
-    return spark.read.parquet(f"{target}/pages").select("site", "url")
+    day = 1_700_000_000_000_000
+    feed = table(spark, folder, "pages").select("page_id", "url", F.expr(f"timestamp_micros({day} + {SEEN_MICROS})").alias("seen"))
+    feed.repartition(4, F.xxhash64("page_id")).write.parquet(f"{target}/feed")
+    end = feed.limit(1).select(F.lit(-1).cast("long").alias("page_id"), F.lit("http://end.invalid/").alias("url"), F.expr(f"timestamp_micros({day} + 864000000000)").alias("seen"))
+    query = capture_stream(spark, f"{target}/feed", feed.schema, f"{target}/pages", f"{target}/state", "seen", "2 days")
+    query.awaitTermination()
+    # what closes the feed comes when all else has been read
+    end.write.mode("append").parquet(f"{target}/feed")
+    capture_stream(spark, f"{target}/feed", feed.schema, f"{target}/pages", f"{target}/state", "seen", "2 days").awaitTermination()
+    return spark.read.parquet(f"{target}/pages").select("site", "url", "page_id")
 
 
 @query("i03_rebuild", f"{BOOK} SELECT site, ord, file FROM chapters")
