@@ -218,19 +218,42 @@ def _stripped_text() -> Column:
     return F.nullif(strip_ws("text"), F.lit(""))
 
 
-def subtree_text(nodes: DataFrame, predicate: Column) -> DataFrame:
-    """(page_id, node_id, text): all text below each matching node, in document order."""
-    marked = nodes.withColumn("_match", F.coalesce(predicate, F.lit(False)))
-    pairs = containment(marked, F.col("_match"), F.col("_match") | is_text())
-    selves = marked.filter("_match").select("page_id", "open_seq", F.lit(None).cast("long").alias("_seq"), F.lit("").alias("text"))
-    pieces = selves.unionByName(
-        pairs.filter(is_text()).select(
-            "page_id", F.col("ancestor_id").alias("open_seq"), F.col("open_seq").alias("_seq"), "text"
-        )
+def _sliced_text(nodes: DataFrame, predicate: Column, piece: Column, separator: str) -> DataFrame:
+    """(page_id, node_id, text): for each match, the pieces of the text nodes below it, joined; empty where there are none.
+
+    Pieces are written one after the other into one text per page, and running byte counts
+    tell each match where its part begins and ends. So nested matches cost their own
+    text each, and no pairs of a match and a text node are made.
+    """
+    match, width = F.coalesce(predicate, F.lit(False)), len(separator.encode())
+    used = nodes.select("page_id", "open_seq", "close_seq", match.alias("_match"), F.when(is_text(), piece).alias("_piece"))
+    used = used.filter(F.col("_match") | F.col("_piece").isNotNull())
+    size = F.coalesce(F.octet_length("_piece") + width, F.lit(0))
+    here = F.struct(F.col("open_seq").alias("seq"), F.lit(0).alias("role"), size.alias("size"))
+    end = F.struct(F.col("close_seq").alias("seq"), F.lit(1).alias("role"), F.lit(0).alias("size"))
+    events = used.select("*", F.explode(F.when(F.col("_match"), F.array(here, end)).otherwise(F.array(here))).alias("_event"))
+    running = page().orderBy("_event.seq", "_event.role").rowsBetween(W.unboundedPreceding, 0)
+    counted = events.withColumn("_bytes", F.sum("_event.size").over(running))
+    opened = F.col("_event.role") == 0
+    spans = counted.groupBy("page_id", "open_seq").agg(
+        F.first("_match").alias("_match"),
+        F.max(F.when(opened, F.col("_piece"))).alias("_piece"),
+        F.min("_bytes").alias("start"),
+        F.max("_bytes").alias("stop"),
     )
-    return pieces.groupBy("page_id", F.col("open_seq").alias("node_id")).agg(
-        ordered_text(F.collect_list(F.struct(F.col("_seq").alias("open_seq"), "text"))).alias("text")
+    pages = spans.groupBy("page_id").agg(
+        ordered_text(F.collect_list(F.when(F.col("_piece").isNotNull(), F.struct("open_seq", F.concat("_piece", F.lit(separator)).alias("text"))))).cast("binary").alias("_all"),
+        F.collect_list(F.when(F.col("_match"), F.struct(F.col("open_seq").alias("node_id"), "start", "stop"))).alias("_spans"),
     )
+    length = lambda m: F.greatest(m["stop"] - m["start"] - width, F.lit(0)).cast("int")
+    part = lambda m: F.substring(F.col("_all"), (m["start"] + 1).cast("int"), length(m)).cast("string")
+    found = F.transform("_spans", lambda m: F.struct(m["node_id"].alias("node_id"), part(m).alias("text"), (m["stop"] > m["start"]).alias("any")))
+    return pages.select("page_id", F.inline(found))
+
+
+def subtree_text(nodes: DataFrame, predicate: Column) -> DataFrame:
+    """(page_id, node_id, text): all text below each matching node, in document order."""
+    return _sliced_text(nodes, predicate, F.col("text"), "").drop("any")
 
 
 def page_text(nodes: DataFrame, separator: str | None = None) -> DataFrame:
@@ -244,12 +267,7 @@ def page_text(nodes: DataFrame, separator: str | None = None) -> DataFrame:
 
 def joined_text(nodes: DataFrame, predicate: Column, separator: str) -> DataFrame:
     """(page_id, node_id, text): stripped, non-empty text nodes below each match, joined."""
-    pairs = containment(nodes, predicate, is_text()).withColumn("text", _stripped_text())
-    return (
-        pairs.filter("text IS NOT NULL")
-        .groupBy("page_id", F.col("ancestor_id").alias("node_id"))
-        .agg(ordered_text(F.collect_list(F.struct("open_seq", "text")), separator).alias("text"))
-    )
+    return _sliced_text(nodes, predicate, _stripped_text(), separator).filter("any").drop("any")
 
 
 def subtree_flags(nodes: DataFrame, predicate: Column, kept: Column) -> DataFrame:
