@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import tree as t
 
 FENCE = "```"
@@ -56,21 +57,30 @@ def first_row(nodes: DataFrame) -> DataFrame:
     return found.filter((F.col("tag") == "table") & (F.col("first_row") < F.col("close_seq")))
 
 
-def ordinals(df: DataFrame, keys: list[str], bucket: Column, *order: Column | str, name: str = "ordinal") -> DataFrame:
-    """1..n within each key, without putting a whole key into one task.
+def prefix_sums(df: DataFrame, keys: list[str], order: list[Column | str], size: Column, name: str) -> DataFrame:
+    """Add the total ``size`` of the earlier rows of the same key, for keys of any length and any order.
 
-    ``bucket`` must not decrease along the order. Each bucket is numbered on its
-    own and shifted by the number of rows in earlier buckets; only bucket counts
-    are summed per key.
+    Rows are range-partitioned by key and order, so a key that is long lies in several
+    partitions one after the other. Each partition sums its own rows, and only one total
+    for each (key, partition) is summed per key. The split is stored, so that both
+    uses see the same one and nothing above it is computed again.
     """
-    bucketed = df.withColumn("_bucket", bucket)
-    counts = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    within = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
+    columns = [F.col(o) if isinstance(o, str) else o for o in order]
+    placed = df.withColumns({"_size": size, **{f"_o{n}": column for n, column in enumerate(columns)}})
+    by = [f"_o{n}" for n in range(len(columns))]
+    ranged = cut_lineage(placed.repartitionByRange(*keys, *by).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy(*keys, "_part").agg(F.sum("_size").alias("_total"))
+    earlier_parts = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.withColumn("_start", F.coalesce(F.sum("_total").over(earlier_parts), F.lit(0))).drop("_total")
+    earlier_rows = W.partitionBy(*keys, "_part").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
     return (
-        bucketed.withColumn("_within", within)
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn(name, (F.col("_offset") + F.col("_within")).cast("long"))
-        .drop("_bucket", "_within", "_offset")
+        ranged.withColumn("_within", F.coalesce(F.sum("_size").over(earlier_rows), F.lit(0)))
+        .join(starts, [*keys, "_part"])
+        .withColumn(name, (F.col("_start") + F.col("_within")).cast("long"))
+        .drop("_part", "_within", "_start", "_size", *by)
     )
+
+
+def ordinals(df: DataFrame, keys: list[str], *order: Column | str, name: str = "ordinal") -> DataFrame:
+    """1..n within each key in any order, without putting a whole key into one task; nulls come first."""
+    return prefix_sums(df, keys, list(order), F.lit(1), name).withColumn(name, F.col(name) + 1)

@@ -2,8 +2,8 @@
 
 ``sites(site, base_url, title, language, name, description, author, captured_on)``,
 ``pages(site, url, route, title, language, ...)``, ``nav(site, url, nav_pos)``,
-``images(site, name)``. Positions are numbered in buckets, never by putting a
-whole site into one task.
+``images(site, name)``. Positions are distributed prefix sums, never made by putting
+a whole site into one task.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ from ..functions.media import media_type_for_file
 from ..functions.text import escape_html, utc_timestamp
 from ..functions.url import host
 from ..operators.windows import ordinals
-
-NAV_BUCKET = 1024
+from ..session import cut_lineage
 
 # The package's own entries, its accessibility statement and media types.
 CONTAINER_PATH = "META-INF/container.xml"
@@ -61,19 +60,13 @@ XHTML_HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xml
 
 def nav_order(reading: DataFrame) -> DataFrame:
     """Add ``nav_pos`` 1..n per site to a reading list (rank, part, pos)."""
-    bucket = (F.col("rank") * 4 + F.col("part")) * F.lit(1 << 40) + F.floor(F.col("pos") / NAV_BUCKET)
-    return ordinals(reading, ["site"], bucket, "rank", "part", "pos", "url", name="nav_pos")
+    return ordinals(reading, ["site"], "rank", "part", "pos", "url", name="nav_pos")
 
 
 def reading_order(pages: DataFrame, nav: DataFrame) -> DataFrame:
     """Add ``ord`` 1..n per site: navigation order first, remaining pages by page key."""
     placed = pages.join(nav.select("site", "url", "nav_pos"), ["site", "url"], "left").withColumn("_key", page_key("url"))
-    key_bucket = F.conv(F.substring("_key", 1, 3), 16, 10).cast("long")
-    bucket = F.when(F.col("nav_pos").isNotNull(), F.floor(F.col("nav_pos") / NAV_BUCKET)).otherwise(
-        F.lit(1 << 40) + key_bucket
-    )
-    order = (F.col("nav_pos").asc_nulls_last(), F.col("_key"), F.col("url"))
-    return ordinals(placed, ["site"], bucket, *order, name="ord").drop("_key", "nav_pos")
+    return ordinals(placed, ["site"], F.col("nav_pos").isNull(), "nav_pos", "_key", "url", name="ord").drop("_key", "nav_pos")
 
 
 def chapter_files(pages: DataFrame) -> DataFrame:
@@ -82,10 +75,13 @@ def chapter_files(pages: DataFrame) -> DataFrame:
 
 
 def chapters(pages: DataFrame, nav: DataFrame, sites: DataFrame) -> DataFrame:
-    """(site, ord, id, file, title, lang, url): one chapter per page in reading order."""
+    """(site, ord, id, file, title, lang, url): one chapter per page in reading order.
+
+    The rows are stored, since all tables of a book start from them.
+    """
     defaults = sites.select("site", F.col("language").alias("_site_language"))
     ordered = reading_order(pages, nav).join(defaults, "site", "left")
-    return ordered.select(
+    rows = ordered.select(
         "site",
         "ord",
         F.concat(F.lit("chapter-"), F.col("ord").cast("string")).alias("id"),
@@ -94,6 +90,7 @@ def chapters(pages: DataFrame, nav: DataFrame, sites: DataFrame) -> DataFrame:
         F.coalesce(F.nullif("language", F.lit("")), "_site_language").alias("lang"),
         "url",
     )
+    return cut_lineage(rows)
 
 
 def chapter_document(title: Column, url: Column, lang: Column, content: Column) -> Column:
@@ -170,9 +167,7 @@ def manifest(chapters: DataFrame, images: DataFrame, math: DataFrame) -> DataFra
     named = images.select("site", "name").union(
         chapters.filter("ord = 1").select("site", F.lit("cover.jpg").alias("name"))
     ).distinct()
-    leading = [F.ascii(F.substring("name", at, 1)).cast("long") for at in (1, 2, 3)]
-    bucket = leading[0] * F.lit(1 << 42) + leading[1] * F.lit(1 << 21) + leading[2]
-    numbered = ordinals(named, ["site"], bucket, "name", name="ord")
+    numbered = ordinals(named, ["site"], "name", name="ord")
     assets = numbered.filter("name <> 'cover.jpg'").select(
         "site",
         F.lit(2).alias("part"),

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_words, starts_with_any, strip_bullet, strip_markdown, strip_ws
-from ..operators.windows import fence_state
+from ..operators.windows import fence_state, prefix_sums
 from ..session import cut_lineage
 from .checks import finding
 
@@ -69,31 +69,11 @@ def source_lines(lines: DataFrame, *keys: str) -> DataFrame:
     return eligible_lines(lines, *keys).withColumn("line", plain).filter("line <> ''")
 
 
-def running_offsets(sizes: DataFrame, keys: list[str], order: str, size: str) -> DataFrame:
-    """Add ``offset``: total size of earlier rows of the same key, for keys of any length.
-
-    Rows are range-partitioned; each partition sums its own, and only one total
-    per (key, partition) is summed per key. The range split is stored so that
-    both uses see the same one.
-    """
-    ranged = cut_lineage(sizes.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
-    totals = ranged.groupBy(*keys, "_part").agg(F.sum(size).alias("_total"))
-    earlier_parts = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.withColumn("_start", F.coalesce(F.sum("_total").over(earlier_parts), F.lit(0))).drop("_total")
-    earlier_rows = W.partitionBy(*keys, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        ranged.withColumn("_within", F.coalesce(F.sum(size).over(earlier_rows), F.lit(0)))
-        .join(starts, [*keys, "_part"])
-        .withColumn("offset", F.col("_start") + F.col("_within"))
-        .drop("_part", "_within", "_start")
-    )
-
-
 def text_blocks(chapters: DataFrame, block: int, overlap: int) -> DataFrame:
     """(site, block, text) of ``chapters(site, file, text)`` joined by spaces in file order."""
     chapters = cut_lineage(chapters)
     sized = chapters.select("site", "file", (F.length("text") + 1).cast("long").alias("size"))
-    placed = chapters.join(running_offsets(sized, ["site"], "file", "size"), ["site", "file"])
+    placed = chapters.join(prefix_sums(sized, ["site"], ["file"], F.col("size"), "offset"), ["site", "file"])
     first = F.greatest(F.floor((F.col("offset") - overlap) / block), F.lit(0))
     last = F.floor((F.col("offset") + F.col("size") - 1) / block)
     spread = placed.select("*", F.explode(F.sequence(first, last)).alias("block"))
