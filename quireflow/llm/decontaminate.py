@@ -17,7 +17,7 @@ each match has one of those, and its words around tell whether there is a match.
 
 Defined results: null and blank texts have no words; items without a word are no
 items; a one-word item is a window whose two rarest terms are the same; equal
-windows of several items count for each item; repeated documents are hit alike;
+windows of several items count for each item; repeated documents are indexed once and hit alike;
 empty tables give no hits. Columns other than ids and texts are not read.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .asciiwords import ascii_lower, bounded, phrase, raw_words, word_count
-from .rows import keyed
+from .rows import keyed, single
 
 WINDOW = 10
 SLOP = 2
@@ -145,7 +145,7 @@ def _near_matches(keyed_docs: DataFrame, windows: DataFrame, window: int, slop:
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key, tag, n_hit, items) of the documents in which a window occurs exactly; items are sorted texts."""
-    found = cut_lineage(matches(keyed(docs), items, window))
+    found = cut_lineage(matches(single(keyed(docs))[0], items, window))
     covered = (
         found.select("key", "tag", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("p"))
         .distinct().groupBy("key", "tag").agg(F.count("*").alias("n_hit"))
@@ -172,7 +172,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def proximity(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP, share: float = SHARE) -> DataFrame:
     """(doc_id, n_near_windows, n_near_items) for each row: windows that occur by proximity but not exactly, and their items."""
-    found = matches(keyed(docs), items, window, slop, share).groupBy("key", "tag", "phrase").agg(F.max("exact").alias("exact"))
+    found = matches(single(keyed(docs))[0], items, window, slop, share).groupBy("key", "tag", "phrase").agg(F.max("exact").alias("exact"))
     near = cut_lineage(found.filter("not exact").select("key", "tag", "phrase"))
     owners = _windows(items, window).select("phrase", "item").distinct()
     counts = near.join(owners, "phrase").groupBy("key", "tag").agg(

@@ -24,7 +24,7 @@ whole window agree.
 
 Defined results: null or blank texts have no words; a text with fewer words than
 a window keeps all; repeated rows repeat each other's windows, so all of their
-words in windows go; an empty table gives an empty table; columns other than the
+words in windows go, and only one of them enters the tree; an empty table gives an empty table; columns other than the
 id and the text are not read.
 """
 
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import words as W
-from .rows import keyed
+from .rows import keyed, single
 
 LENGTH = 35
 PREFIX = 8
@@ -203,10 +203,12 @@ def _cut(length: int):
         for batch in batches:
             counts, removed, kept, digests = [], [], [], []
             column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            for text, spans in zip(column["text"], column["runs"], strict=True):
+            for text, spans, copied in zip(column["text"], column["runs"], column["copied"], strict=True):
                 words = (text.as_py() or "").encode().split()
                 counts.append(len(words))
                 spans = spans.as_py()
+                if copied.as_py():
+                    spans = [{"first": 0, "last": len(words) - length}] if len(words) >= length else None
                 if spans:
                     change = np.zeros(len(words) + 1, np.int64)
                     np.add.at(change, [s["first"] for s in spans], 1)
@@ -239,12 +241,17 @@ def remove_repeats(
     """
     if not 1 <= prefix <= length:
         raise ValueError("the prefix must fit into the window")
+    texts, repeated = single(keyed(docs))
     runs = (
-        repeated_windows(keyed(docs), length, prefix, group_rows)
+        repeated_windows(texts, length, prefix, group_rows)
         .groupBy("key", "tag")
         .agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     )
-    joined = keyed(docs, *carry).join(runs, ["key", "tag"], "left").select("row", "text", "runs")
+    # of texts that have copies all windows repeat, whatever else is in the tree
+    judged = runs.join(repeated.withColumn("copied", F.lit(True)), ["key", "tag"], "full").select(
+        "key", "tag", F.when(F.col("copied").isNull(), F.col("runs")).alias("runs"), F.col("copied").isNotNull().alias("copied")
+    )
+    joined = keyed(docs, *carry).join(judged, ["key", "tag"], "left").select("row", "text", "runs", "copied")
     row = joined.schema["row"].dataType.simpleString()
     return joined.mapInArrow(
         _cut(length), f"row {row}, n_words long, n_removed long, kept_text string, kept_sha256 string"
