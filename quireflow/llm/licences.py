@@ -2,12 +2,12 @@
 
 1. The words of the licence templates are counted in the corpus; each template
    enters its `rare` words of the highest inverse frequency into the index, with
-   their positions in it. So the index is as small as the templates.
+   their positions in it. Words that the corpus lacks have no postings and are not entered. So the index is as small as the templates.
 2. Files look their words up in the index; the positions of a word in file and
    template give a relative position, and postings that agree on it are
    intersected. No word is left out for a file: the templates bound the index.
 3. A template is reported if, at one relative position, enough of its rare words
-   agree and a mandatory key phrase stands where the template has it.
+   agree and every mandatory key phrase stands where the template has it.
 
 Base phrases are found by the same lookup, with their first word as the posting.
 
@@ -78,7 +78,7 @@ def rare_index(keyed_docs: DataFrame, rare: int = RARE) -> DataFrame:
     spark = keyed_docs.sparkSession
     templates = _templates(spark)
     found = _words(keyed_docs).select("word").join(F.broadcast(templates.select("word").distinct()), "word").groupBy("word").count()
-    counted = templates.select("label", "word").distinct().join(found, "word", "left").fillna(0, ["count"])
+    counted = templates.select("label", "word").distinct().join(found, "word")
     rank = F.row_number().over(Window.partitionBy("label").orderBy("count", "word"))
     chosen = counted.withColumn("rank", rank).filter(F.col("rank") <= rare).withColumn("idf", 1 / F.log(F.lit(2.718281828) + F.col("count")))
     keys = _phrases(spark).groupBy("label").agg(F.collect_list(F.struct("must", "key_place", "key_size")).alias("keys"))
@@ -92,34 +92,35 @@ def scan(docs: DataFrame, rare: int = RARE) -> DataFrame:
     index = cut_lineage(rare_index(rows, rare))
     weight = index.select("label", "word", "idf").distinct().groupBy("label").agg(F.sum("idf").alias("whole"), F.count("*").alias("entered"))
     look = index.join(weight, "label").select(
-        "word", "label", "idf", "place", "whole", "entered", F.explode("keys").alias("k"), F.lit(False).alias("base")
-    ).select("word", "label", "idf", "place", "whole", "entered", "k.*", "base")
+        "word", "label", "idf", "place", "whole", "entered", F.explode("keys").alias("k"), F.size("keys").alias("musts"), F.lit(False).alias("base")
+    ).select("word", "label", "idf", "place", "whole", "entered", "k.*", "musts", "base")
     base = [
         F.struct(F.lit(text.split()[0]).alias("word"), F.lit(label).alias("label"), F.lit(text).alias("must"), F.lit(len(text.split())).alias("key_size"))
         for label, text in BASE.items()
     ]
     base = spark.range(1).select(F.explode(F.array(*base)).alias("b")).select(
         "b.word", "b.label", F.lit(0.0).alias("idf"), F.lit(0).alias("place"), F.lit(0.0).alias("whole"), F.lit(0).cast("long").alias("entered"),
-        "b.must", F.lit(0).alias("key_place"), "b.key_size", F.lit(True).alias("base"),
+        "b.must", F.lit(0).alias("key_place"), "b.key_size", F.lit(1).alias("musts"), F.lit(True).alias("base"),
     )
     at = F.col("pos") - F.col("place") + F.col("key_place")
     found = (
         _words(rows).join(F.broadcast(look.unionByName(base)), "word")
         .withColumn("verified", F.coalesce(phrase(F.col("words"), at, F.col("key_size")) == F.col("must"), F.lit(False)))
         .filter("verified or not base")
-        .select("key", "tag", "pos", "word", "label", "idf", "whole", "entered", "base", "verified", (F.col("pos") - F.col("place")).alias("shift"))
+        .select("key", "tag", "pos", "word", "label", "idf", "whole", "entered", "base", "must", "musts", "verified", (F.col("pos") - F.col("place")).alias("shift"))
     )
     found = cut_lineage(found.distinct())
-    places = found.filter("base").groupBy("key", "tag").agg(
+    places = found.filter("base").select("key", "tag", "pos", "label").groupBy("key", "tag").agg(
         F.count("*").alias("n_base"), F.min("pos").cast("long").alias("first_word"), F.max("pos").cast("long").alias("last_word"),
         F.collect_set("label").alias("base_set"),
     )
+    # at most `rare` words and the template's phrases for each place
     agreed = (
         found.filter("not base")
-        .groupBy("key", "tag", "label", "shift", "whole", "entered", "word", "idf").agg(F.max("verified").alias("verified"))
-        .groupBy("key", "tag", "label", "shift", "whole", "entered")
-        .agg(F.sum("idf").alias("idf"), F.count("*").alias("words"), F.max("verified").alias("verified"))
-        .filter("verified and words >= least(entered, 2)")
+        .groupBy("key", "tag", "label", "shift", "whole", "entered", "musts")
+        .agg(F.collect_set(F.struct("word", "idf")).alias("words"), F.count_distinct(F.when(F.col("verified"), F.col("must"))).alias("verified"))
+        .filter("verified = musts and size(words) >= least(entered, 2)")
+        .withColumn("idf", F.aggregate(F.array_sort("words"), F.lit(0.0), lambda total, x: total + x["idf"]))
         .groupBy("key", "tag")
         .agg(F.collect_set("label").alias("set"), F.max(F.least(F.col("idf") / F.col("whole"), F.lit(1.0))).alias("match"))
     )
