@@ -144,13 +144,13 @@ def fingerprints(docs: DataFrame, rarest: int = RAREST, commonest: int = COMMONE
     links, texts = edited(docs)
     words = cut_lineage(lexicon(docs, rarest, commonest))
     count = words.count()
-    # an entry of its own, with what each text brings besides its terms
+    # an entry of its own, with what each text brings besides its terms; a text may have it twice
     mark = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).alias("part"), F.lit(0).alias("level"))
     sides = [
         F.struct(F.lit(side).alias("side"), F.col(name).alias("text")) for side, name in ((0, "text"), (1, "edited"))
     ]
     each = texts.select(*KEY, F.explode(F.array(*sides)).alias("of")).select(
-        *KEY, "of.side", "of.text", F.explode(F.array_union(F.array(F.lit("")), terms(F.col("of.text")))).alias("term")
+        *KEY, "of.side", "of.text", F.explode(F.concat(F.array(F.lit("")), terms(F.col("of.text")))).alias("term")
     )
     note = F.when(F.col("part") < 0, F.concat(F.sha2(F.col("text").cast("binary"), 256), wordless(F.col("text"))))
     entry = F.when(F.col("part") >= 0, F.struct("level", "term"))
