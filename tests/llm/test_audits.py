@@ -122,21 +122,26 @@ def _brute_fingerprints(rows, rarest, commonest):
     held = Counter(t for r in rows for t in set(words(r[1])))
     lexicon = {t for t, n in held.items() if n * rarest >= len(rows) and n * commonest <= len(rows)}
 
-    def level(term, s):
-        return int(_sha(term)[4 * s : 4 * s + 4], 16).bit_length()
+    def drawn(term):
+        digest = _sha(term)
+        return int(digest[0], 16), int(digest[1:5], 16).bit_length(), term.encode()
 
     def printed(text):
-        found = sorted(set(words(text)) & lexicon, key=str.encode)
+        found = sorted(map(drawn, set(words(text)) & lexicon))
         if not found:
             return _sha(" ".join(words(text)))[:16]
-        parts = [_sha(" ".join(found))[:16]]
-        for s in range(16):
-            least = min(level(t, s) for t in found)
-            parts.append(_sha(" ".join(t for t in found if level(t, s) == least))[:8])
-        return "-".join(parts)
+        whole, parts = "", []
+        for n in range(16):
+            own = [(level, term.decode()) for part, level, term in found if part == n]
+            whole += _sha(" ".join(t for _, t in own))[:16] if own else ""
+            parts.append(_sha(" ".join(t for level, t in own if level == own[0][0]))[:6] if own else "")
+        return "-".join([_sha(whole)[:16], *parts])
 
     def near(a, b):
-        return 1.0 if a == b else sum(x == y for x, y in list(zip(a.split("-"), b.split("-"), strict=False))[1:]) / 16
+        if a == b:
+            return 1.0
+        pairs = [(x, y) for x, y in list(zip(a.split("-"), b.split("-"), strict=False))[1:] if x or y]
+        return sum(x == y for x, y in pairs) / max(len(pairs), 1)
 
     return printed, near
 
@@ -252,3 +257,72 @@ def test_periodic_runs(spark, tmp_path):
     whole = periods.periodic_runs(table, ("doc_id", "runs")).select("row.doc_id", "collapsed", "n_words").filter("doc_id = 124").first()
     assert (whole.collapsed, whole.n_words) == ("x", 700)
     assert periods.periodic_runs(table.filter("false")).count() == 0
+
+
+def _seconds(make):
+    import time
+
+    start = time.perf_counter()
+    make()
+    return time.perf_counter() - start
+
+
+def test_copies_of_a_row_cost_no_more_than_rows(spark):
+    """Ten times the copies without an id: no row of spans, postings or text for each pair of copies."""
+    from quireflow.llm import decontaminate, substrings
+
+    text = _prose(77, 400, "abcdefgh", 7)
+    items = spark.createDataFrame([(1, " ".join(text.split()[50:70]))], "item_id long, text string")
+
+    def table(n):
+        return spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(8)
+
+    def removed(n):
+        got = substrings.remove_repeats(table(n)).groupBy("n_removed").count().collect()
+        assert [tuple(r) for r in got] == [(400, n)]
+
+    def hit(n):
+        got = decontaminate.contamination(table(n), items).groupBy("n_hit", "n_items").count().collect()
+        assert [tuple(r) for r in got] == [(20, 1, n)]
+
+    for run in (removed, hit):
+        run(10)
+        few = _seconds(lambda: run(1000))
+        assert _seconds(lambda: run(10_000)) < 2 * few + 3
+
+
+def test_windows_of_a_copied_text_repeat_in_others(spark):
+    from quireflow.llm import substrings
+
+    shared, own = _prose(78, 50, "abcdefgh", 7), _prose(79, 60, "ijklmnop", 7)
+    rows = [(1, shared), (1, shared), (None, shared), (2, own + " " + shared), (3, own[:40]), (4, "short"), (4, "short")]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "n_words", "n_removed").collect()
+    _same(got, [(1, 50, 50), (1, 50, 50), (None, 50, 50), (2, 110, 50), (3, len(own[:40].split()), 0), (4, 1, 0), (4, 1, 0)])
+
+
+def test_licence_needs_all_its_phrases(spark):
+    from quireflow.llm import licences
+
+    whole = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    texts = [whole, "the associated documentation files are listed below", "Permission is hereby granted, free of charge, to whoever asks.", whole.replace("copy", "piece"), "plain text"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.labels for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: "mit", 1: "", 2: "", 3: "mit", 4: ""}
+    # words that the corpus lacks leave the index to those it has
+    cut = "this library is licensed under the gnu lesser general public license version 3".replace("library", "code")
+    found = licences.scan(spark.createDataFrame([(1, cut)], "doc_id long, text string")).first()
+    assert "lgpl" in found.labels.split(",")
+
+
+def test_long_words_that_a_polynomial_confuses():
+    import pyarrow as pa
+
+    from quireflow.llm import words
+
+    one = "a"
+    while len(one) < 1024:
+        one += "".join("b" if c == "a" else "a" for c in one)
+    other = "".join("b" if c == "a" else "a" for c in one)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{one} {other} {one}"])], ["text"])
+    value = next(words.chunks(batch)).words().value
+    assert value[0] == value[2] != value[1]
