@@ -5,8 +5,9 @@ Stages take (spark, docs, sf_dir) and work on all that the stage before kept.
 
 Defined results: rows with null or blank text fail the quality rules; of rows that
 share both id and text one may go as an exact copy; a text all of whose words
-repeat elsewhere stays as an empty text; columns beyond those of `documents` are
-carried by the filtering stages.
+repeat elsewhere stays as an empty text. Rows without an id are in no group of near
+copies, so of them only exact copies go. Stages read and return the columns of
+`documents`; other columns are left out.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: Suffix fingerprints and byte merges have no SQL form; a brute-force version checks the rows.
+#: Suffix fingerprints and byte merges have no SQL form; tests/llm/test_pipeline.py holds the rows against brute force.
 ORACLE_SQL = None
 
 
