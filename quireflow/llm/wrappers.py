@@ -22,6 +22,11 @@ adverts, forms, scripts, styles and reader comments are left out by element and
 by the words of class, id and role. A page without the host's content element is
 read like a page of a host that has none.
 
+A page costs time in proportion to its length: elements nested deeper than `DEPTH`
+levels stand at that level (what tells main text from the rest is kept of them),
+a tag that is not closed ends at the next one, and lists of siblings too long for
+the table of the longest common subsequence are aligned by the nearest equal label.
+
 Defined results: null html gives an empty text; a page without main text gives an
 empty text; broken markup is read by the usual forgiving rules (void elements,
 implied ends, missing ends); a null or odd url belongs to the host of its own
@@ -35,6 +40,8 @@ import html as references
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from heapq import nsmallest
 
@@ -69,11 +76,15 @@ NAMES = frozenset(
 )
 HEADERS = frozenset(("header", "masthead", "topbar"))
 CONTENT = frozenset(("article", "main"))
+#: Levels of a page's tree.
+DEPTH = 100
+#: Pairs of siblings up to which the longest common subsequence is looked for.
+TABLE_CELLS = 250_000
 #: Hashes in a page's sketch; a page of no more word triples is compared exactly.
 SKETCH = 32
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|(?P<text>[^<]+|<)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|(?P<text>[^<]+|<)", re.S
 )
 _NAMES = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I | re.S)
 
@@ -83,22 +94,34 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
 
     A label is a block element's name, with the words of its class, id and role.
     """
-    path: list[tuple[str, str]] = []
+    # of each open element its tag, and the labels down to it
+    path: list[tuple[str, tuple[str, ...]]] = []
+    open_: Counter[str] = Counter()
     held: list[str] = []
 
     def flush() -> tuple[tuple[str, ...], str] | None:
         text = " ".join(references.unescape("".join(held)).split())
         held.clear()
-        return (tuple(label for _, label in path), text) if text else None
+        return (path[-1][1] if path else (), text) if text else None
+
+    def push(tag: str, words: set[str]) -> None:
+        above, label = path[-1][1] if path else (), " ".join([tag, *sorted(words)])
+        if len(path) < DEPTH:
+            above = (*above, label)
+        elif _tells(tag, words) and label not in above[DEPTH:]:
+            above = (*above, label) if len(above) < 2 * DEPTH else (*above[:-1], label)
+        path.append((tag, above))
+        open_[tag] += 1
 
     def close(index: int) -> None:
+        open_.subtract(tag for tag, _ in path[index:])
         del path[index:]
 
     def end_head() -> None:
         # nothing stays open in a head, so it is the last; only white space is held in it
         if path and path[-1][0] == "head":
             held.clear()
-            path.pop()
+            close(len(path) - 1)
 
     at, size = 0, len(page)
     while at < size:
@@ -121,21 +144,21 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
             if tag in BLOCK:
                 if found := flush():
                     yield found
-                for i in range(len(path) - 1, -1, -1):
+                for i in range(len(path) - 1, -1, -1) if open_[tag] else ():
                     if path[i][0] == tag:
                         close(i)
                         break
             elif tag in OUTSIDE:
                 if found := flush():
                     yield found
-                for i in range(len(path) - 1, -1, -1):
+                for i in range(len(path) - 1, -1, -1) if open_[tag] else ():
                     if path[i][0] == tag:
                         close(i)
                         break
             continue
         if tag not in HEAD_PARTS:
             end_head()
-        elif tag == "head" and any(name != "html" for name, _ in path):
+        elif tag == "head" and any(name != "html" for name, _ in path[:2]):
             continue
         if tag == "br":
             held.append(" ")
@@ -156,21 +179,20 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         if found := flush():
             yield found
         if tag in CLOSES_P:
-            for i in range(len(path) - 1, -1, -1):
+            for i in range(len(path) - 1, -1, -1) if open_["p"] else ():
                 if path[i][0] == "p":
                     close(i)
                     break
                 if path[i][0] in SCOPE:
                     break
         if tag in SAME_KIND:
-            for i in range(len(path) - 1, -1, -1):
+            for i in range(len(path) - 1, -1, -1) if any(open_[x] for x in SAME_KIND[tag]) else ():
                 if path[i][0] in SAME_KIND[tag]:
                     close(i)
                     break
                 if path[i][0] in SCOPE - {"td", "th"}:
                     break
-        words = _words(token["rest"])
-        path.append((tag, " ".join([tag, *sorted(words)])))
+        push(tag, _words(token["rest"]))
         if tag not in BLOCK and tag not in OUTSIDE:
             # a named inline element: its text is apart, up to its end
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
@@ -183,6 +205,11 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         yield found
 
 
+def _tells(tag: str, words: set[str]) -> bool:
+    """Whether an element says something about what is main text."""
+    return tag in OUTSIDE or tag in HEADERS or tag in CONTENT or "main" in words or not words.isdisjoint(NAMES | HEADERS)
+
+
 def _words(rest: str) -> set[str]:
     return {w for _, value in _NAMES.findall(rest) for w in re.split(r"[^a-z0-9]+", value.strip("\"'").lower()) if w}
 
@@ -251,6 +278,53 @@ def _fold_repeats(node: dict) -> None:
     node["c"] = folded
 
 
+def _pairs(rows: list[str], columns: list[str]) -> Iterator[tuple[int | None, int | None]]:
+    """The places of two lists of labels side by side, in order; equal labels together as far as they can be."""
+    first = 0
+    while first < min(len(rows), len(columns)) and rows[first] == columns[first]:
+        yield first, first
+        first += 1
+    last = 0
+    while last < min(len(rows), len(columns)) - first and rows[-1 - last] == columns[-1 - last]:
+        last += 1
+    i, j, m, n = first, first, len(rows) - last, len(columns) - last
+    if (m - i) * (n - j) <= TABLE_CELLS:
+        best = [[0] * (n - j + 1) for _ in range(m - i + 1)]
+        for x in range(m - 1, i - 1, -1):
+            here, below = best[x - first], best[x - first + 1]
+            for y in range(n - 1, j - 1, -1):
+                here[y - first] = below[y - first + 1] + 1 if rows[x] == columns[y] else max(below[y - first], here[y - first + 1])
+
+        def left_first() -> bool:
+            return best[i - first + 1][j - first] >= best[i - first][j - first + 1]
+    else:
+        where = [defaultdict(list), defaultdict(list)]
+        for side, labels in zip(where, (rows, columns), strict=True):
+            for at, label in enumerate(labels):
+                side[label].append(at)
+
+        def ahead(side: int, label: str, at: int, end: int) -> int:
+            found = where[side][label]
+            k = bisect_left(found, at)
+            return found[k] - at if k < len(found) and found[k] < end else end
+
+        def left_first() -> bool:
+            # the left label is given up if the right one stands nearer on the left than it does on the right
+            return ahead(0, columns[j], i, m) <= ahead(1, rows[i], j, n)
+    while i < m or j < n:
+        if i < m and j < n and rows[i] == columns[j]:
+            yield i, j
+            i, j = i + 1, j + 1
+        elif j == n or (i < m and left_first()):
+            yield i, None
+            i += 1
+        else:
+            yield None, j
+            j += 1
+    for k in range(last):
+        yield m + k, n + k
+
+
 def align(a: dict, b: dict) -> dict:
     """The wrapper of all that either describes; both have the same label."""
     if "c" not in a:
@@ -264,21 +338,12 @@ def align(a: dict, b: dict) -> dict:
     if rows == columns:
         children = [align(x, y) for x, y in zip(left, right, strict=True)]
     else:
-        best = [[0] * (len(columns) + 1) for _ in range(len(rows) + 1)]
-        for i in range(len(rows) - 1, -1, -1):
-            for j in range(len(columns) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if rows[i] == columns[j] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < len(rows) or j < len(columns):
-            if i < len(rows) and j < len(columns) and rows[i] == columns[j]:
+        for i, j in _pairs(rows, columns):
+            if i is not None and j is not None:
                 children.append(align(left[i], right[j]))
-                i, j = i + 1, j + 1
-            elif j == len(columns) or (i < len(rows) and best[i + 1][j] >= best[i][j + 1]):
-                children.append(left[i] | {"o": True} if "c" in left[i] else _leaf(None))
-                i += 1
             else:
-                children.append(right[j] | {"o": True} if "c" in right[j] else _leaf(None))
-                j += 1
+                child = left[i] if i is not None else right[j]
+                children.append(child | {"o": True} if "c" in child else _leaf(None))
         merged: list[dict] = []
         for child in children:
             if merged and _label(merged[-1]) == _label(child):
