@@ -427,6 +427,86 @@ def v16(spark: SparkSession, folder: str) -> DataFrame:
     return checks.run_stage(spark, "capture", "all", work)
 
 
+@query(
+    "v16_run_stages",
+    """SELECT 'all' AS site, n, stage, status, counted, count FROM (
+      SELECT 0 AS n, 'scrape' AS stage, 'passed' AS status, 'rows' AS counted, count(*) AS count FROM pages
+      UNION ALL SELECT 0, 'scrape', 'passed', 'characters', sum(length(html))::BIGINT FROM pages
+      UNION ALL SELECT 1, 'build', 'passed', 'rows', count(*) FROM pages WHERE contains(html, '<h1>')
+      UNION ALL SELECT 2, 'validate', 'failed', NULL, NULL UNION ALL SELECT 3, 'report', 'skipped', NULL, NULL)""",
+)
+def v16_stages(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts gathered while stages are stored; the third fails at its first row, and the first two keep theirs."""
+    stages = [
+        ("scrape", lambda stored: i.pages(spark, folder)),
+        ("build", lambda stored: stored["scrape"].filter(F.col("html").contains("<h1>")).drop("html")),
+        ("validate", lambda stored: stored["build"].withColumn("broken", F.raise_error(F.concat(F.lit("bad page "), "page_id")))),
+        ("report", lambda stored: stored["validate"]),
+    ]
+    runs = checks.run_stages(stages, {"characters": ("html", F.length("html"))})
+    return checks.stage_report(spark, "all", runs).drop("message")
+
+
+@query(
+    "s10_response_findings",
+    """SELECT site, code, severity, message, 'scrape' AS stage, url, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS hint FROM (
+      SELECT regexp_extract(url, 'example.(com|net|org)', 1) AS site, url, 'RESPONSE_STATUS' AS code, 'warning' AS severity,
+        'Could not fetch ' || url || ': HTTP ' || CASE page_id % 6 WHEN 0 THEN 404 WHEN 2 THEN 301 ELSE 500 END AS message FROM pages WHERE page_id % 6 IN (0, 2, 3) AND page_id % 4 <> 1
+      UNION ALL SELECT regexp_extract(url, 'example.(com|net|org)', 1), url, 'RESPONSE_FAILED', 'error',
+        'Could not fetch ' || url || ': ' || CASE WHEN page_id % 8 = 1 THEN 'connection reset' ELSE 'no response' END FROM pages WHERE page_id % 4 = 1)""",
+)
+def s10_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fourth request has no answer, with or without a reason; the others answer with a status."""
+    from ..plans.capture import response_findings
+
+    answered = table(spark, folder, "pages").selectExpr("page_id", f"{i.SITE} AS site", "url", STATUSES)
+    lost = F.col("page_id") % 4 == 1
+    return response_findings(
+        answered.withColumn("status", F.when(~lost, F.col("status"))).withColumn("error", F.when(F.col("page_id") % 8 == 1, "connection reset"))
+    )
+
+
+@query(
+    "s01_read_pages_checked",
+    """SELECT CASE page_id % 5 WHEN 0 THEN 'RECORD_DAMAGED' WHEN 1 THEN 'RECORD_INCOMPLETE' ELSE 'ok' END AS code,
+      CASE WHEN page_id % 5 = 0 THEN '' ELSE url END AS name, CASE page_id % 5 WHEN 0 THEN 'A stored record cannot be read.' WHEN 1 THEN 'A stored record has no discovered_from.' ELSE sha256(html) END AS told
+    FROM pages""",
+)
+def s01_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored records of all pages; one in five is cut off, one lacks a required list."""
+    target = scratch_folder(spark, "damaged")
+    found = F.when(F.col("page_id") % 5 != 1, F.array(F.lit("sitemap")))
+    record = F.to_json(F.struct("url", "html", F.sha2("html", 256).alias("content_hash"), found.alias("discovered_from")))
+    pages = table(spark, folder, "pages").withColumn("value", record)
+    cut = F.when(F.col("page_id") % 5 == 0, F.expr("left(value, length(value) div 2)")).otherwise(F.col("value"))
+    pages.select(cut.alias("value")).write.text(f"{target}/pages")
+    sound, findings = tables.read_pages_checked(spark, f"{target}/pages")
+    return findings.select("code", F.col("site").alias("name"), F.col("message").alias("told")).unionByName(
+        sound.select(F.lit("ok").alias("code"), F.col("url").alias("name"), F.col("content_hash").alias("told"))
+    )
+
+
+@query(
+    "s03_sitemap_files",
+    "SELECT 'loc' AS tag, url AS loc FROM pages UNION ALL SELECT 'i:loc', 'https://i.example/' || page_id || '.png' FROM pages",
+)
+def s03_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages in sitemap files of many entries."""
+    target = scratch_folder(spark, "sitemaps")
+    entry = F.concat(
+        F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc><i:image><i:loc>https://i.example/"), "page_id", F.lit(".png</i:loc></i:image></url>")
+    )
+    entries = table(spark, folder, "pages").select((F.col("page_id") % 3).alias("part"), F.lit(1).alias("n"), entry.alias("value"))
+    ends = F.array(
+        F.struct(F.lit(0).alias("n"), F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:i="urn:i">').alias("value")),
+        F.struct(F.lit(2).alias("n"), F.lit("</urlset>").alias("value")),
+    )
+    whole = entries.unionByName(entries.select("part").distinct().select("part", F.inline(ends)))
+    whole.repartition("part").sortWithinPartitions("part", "n").drop("n").write.partitionBy("part").text(f"{target}/map")
+    found = tables.sitemap_files(spark, f"{target}/map", ("loc", "i:loc"))
+    return found.select("tag", "loc")
+
+
 @query("x06_duplicate_ids", f"{RICH_URL} SELECT page_id, {attr_sql('id')} AS id, count(*) AS n FROM nodes WHERE {attr_sql('id')} IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def x06(spark: SparkSession, folder: str) -> DataFrame:
     return checks.duplicate_ids(i.rich_nodes(spark, folder))

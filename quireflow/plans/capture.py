@@ -302,8 +302,31 @@ def capture_warnings(assets: DataFrame) -> DataFrame:
     return assets.filter("warning IS NOT NULL").select("page_id", "node_id", "warning")
 
 
+def response_outcome(responses: DataFrame) -> Column:
+    """ok, status (answered with an error) or transport (no answer: ``error`` says why, or there is no status)."""
+    failed = F.col("error").isNotNull() if "error" in responses.columns else F.lit(False)
+    return (
+        F.when(failed | F.col("status").isNull(), "transport").when(F.col("status").between(200, 299), "ok").otherwise("status")
+    )
+
+
 def ok_responses(responses: DataFrame) -> DataFrame:
-    return responses.filter(F.col("status").between(200, 299))
+    return responses.filter(response_outcome(responses) == "ok")
+
+
+def response_findings(responses: DataFrame) -> DataFrame:
+    """A finding for each of ``responses(site, url, status[, error])`` that is not ok; a failed transport is an error, a status a warning."""
+    error = F.col("error") if "error" in responses.columns else F.lit(None).cast("string")
+    outcome = response_outcome(responses)
+    problem = F.when(outcome == "transport", F.coalesce(error, F.lit("no response"))).otherwise(F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+    empty = F.lit(None).cast("string")
+    return responses.withColumn("_outcome", outcome).filter("_outcome <> 'ok'").select(
+        "site",
+        F.when(F.col("_outcome") == "transport", "RESPONSE_FAILED").otherwise("RESPONSE_STATUS").alias("code"),
+        F.when(F.col("_outcome") == "transport", "error").otherwise("warning").alias("severity"),
+        F.concat(F.lit("Could not fetch "), "url", F.lit(": "), problem).alias("message"),
+        F.lit("scrape").alias("stage"), "url", empty.alias("file"), empty.alias("hint"),
+    )
 
 
 def site_metadata(nodes: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ checks read entry tables (book, ordinal, name, method, size, data).
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import starts_with_any
@@ -295,6 +296,55 @@ def run_stage(spark: SparkSession, stage: str, site: str, work: Callable[[], Dat
         return spark.createDataFrame(row, FINDING)
 
 
+@dataclass
+class StageRun:
+    """What became of one stage: its stored rows, and what was counted while they were stored."""
+
+    stage: str
+    status: str
+    rows: DataFrame | None = None
+    counts: dict[str, int] = field(default_factory=dict)
+    message: str | None = None
+
+
+def run_stages(
+    stages: list[tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]], counted: dict[str, tuple[str, Column]] | None = None
+) -> list[StageRun]:
+    """Run stages in order; each is given the stored rows of those before.
+
+    Rows, and the sums in ``counted`` (label: column it needs, expression) of stages that have the column,
+    are observed while a stage is stored, so no second job counts them. A stage that fails is recorded with its
+    message, the stages after it as skipped, and the counts so far are kept.
+    """
+    done: list[StageRun] = []
+    stored: dict[str, DataFrame] = {}
+    for name, work in stages:
+        if done and done[-1].status != "passed":
+            done.append(StageRun(name, "skipped"))
+            continue
+        seen = Observation()
+        try:
+            made = work(stored)
+            sums = {label: column for label, (needed, column) in (counted or {}).items() if needed in made.columns}
+            observed = made.observe(seen, F.count("*").alias("rows"), *[F.sum(column).alias(label) for label, column in sums.items()])
+            stored[name] = cut_lineage(observed)
+            counts = {label: int(n or 0) for label, n in seen.get.items()}
+        except Exception as error:  # noqa: BLE001 - the point is to report any failure
+            done.append(StageRun(name, "failed", message=str(error)))
+            continue
+        done.append(StageRun(name, "passed", stored[name], counts))
+    return done
+
+
+def stage_report(spark: SparkSession, site: str, runs: list[StageRun]) -> DataFrame:
+    """(site, n, stage, status, counted, count, message): one row for each count of each stage, or one without a count."""
+    rows = []
+    for n, run in enumerate(runs):
+        for label, count in sorted(run.counts.items()) or [(None, None)]:
+            rows.append((site, n, run.stage, run.status, label, count, run.message))
+    return spark.createDataFrame(rows, "site string, n int, stage string, status string, counted string, count long, message string")
+
+
 def content_findings(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """All checks of chapter content in listed order."""
     return union_findings(

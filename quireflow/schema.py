@@ -60,9 +60,10 @@ SITE = T.StructType(
 RESPONSE = T.StructType(
     [
         _text("url"),
-        T.StructField("status", T.IntegerType(), False),
+        T.StructField("status", T.IntegerType(), True),
         _text("content_type", True),
         T.StructField("body", T.BinaryType(), True),
+        _text("error", True),
     ]
 )
 

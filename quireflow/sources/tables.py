@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ids import page_key
 from ..functions.text import strip_ws
@@ -23,6 +26,11 @@ def _or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.array().cast("array<string>"))
 
 
+def _version_message(version: Column) -> Column:
+    told = F.coalesce(version.cast("string"), F.lit("none"))
+    return F.concat(F.lit("Unsupported record version "), told, F.lit(f"; expected {IR_VERSION}."))
+
+
 def read_pages(spark: SparkSession, path: str, file_format: str = "json", multi_line: bool = False) -> DataFrame:
     """Page records with ``page_key``, the order in which stored pages are listed.
 
@@ -42,14 +50,58 @@ def read_sites(spark: SparkSession, path: str, file_format: str = "json", multi_
     """
     stored = spark.read.schema(SITE).format(file_format).option("multiLine", multi_line).load(path)
     sites = _required(stored, "sitemap_urls", "nav", "pages")
-    message = F.concat(
-        F.lit("Unsupported record version "),
-        F.coalesce(F.col("ir_version").cast("string"), F.lit("none")),
-        F.lit(f"; expected {IR_VERSION}."),
-    )
+    message = _version_message(F.col("ir_version"))
     return sites.filter(F.col("ir_version").eqNullSafe(F.lit(IR_VERSION)) | F.raise_error(message).cast("boolean"))
 
 
+def read_records(
+    spark: SparkSession, path: str, schema: T.StructType, required: tuple[str, ...], name: str, multi_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Sound JSON records, and a finding for each other one; one bad record leaves the rest.
+
+    A record is damaged if it cannot be parsed by the schema, and incomplete without one of
+    the required fields or in another format version. ``name`` is the field that names it in findings.
+    """
+    lines = spark.read.text(path, wholetext=multi_line).select("value", F.col("_metadata.file_name").alias("_file"))
+    damaged = T.StructField("_damaged", T.StringType())
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": damaged.name}
+    # as a row of its own, so that no filter has the parse written into it again
+    record = F.from_json("value", T.StructType([*schema, damaged]), options)
+    parsed = lines.filter(strip_ws("value") != "").select("_file", F.explode(F.array(record)).alias("r"))
+    lacks = F.array_compact(F.array(*[F.when(F.col(f"r.{field}").isNull(), F.lit(field)) for field in required]))
+    code = F.when(F.col("r").isNull() | F.col("r._damaged").isNotNull(), "RECORD_DAMAGED").when(F.size(lacks) > 0, "RECORD_INCOMPLETE")
+    message = F.when(F.size(lacks) > 0, F.concat(F.lit("A stored record has no "), F.array_join(lacks, ", "), F.lit(".")))
+    if "ir_version" in schema.names:
+        other = ~F.col("r.ir_version").eqNullSafe(F.lit(IR_VERSION))
+        code, message = code.when(other, "RECORD_VERSION"), message.when(other, _version_message(F.col("r.ir_version")))
+    judged = parsed.withColumn("code", code).withColumn("message", message)
+    sound = judged.filter("code IS NULL").select(*[F.col(f"r.{field}").alias(field) for field in schema.names])
+    unread = F.col("code") == "RECORD_DAMAGED"
+    findings = judged.filter("code IS NOT NULL").select(
+        F.when(unread, "").otherwise(F.coalesce(f"r.{name}", F.lit(""))).alias("site"),
+        "code",
+        F.lit("error").alias("severity"),
+        F.when(unread, "A stored record cannot be read.").otherwise(F.col("message")).alias("message"),
+        F.lit("scrape").alias("stage"),
+        F.lit(None).cast("string").alias("url"),
+        F.col("_file").alias("file"),
+        F.lit(None).cast("string").alias("hint"),
+    )
+    return sound, findings
+
+
+def read_pages_checked(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``read_pages`` of the sound records, and findings for the others."""
+    sound, findings = read_records(spark, path, PAGE, ("url", "discovered_from"), "url", multi_line)
+    listed = sound.withColumns({"assets": _or_empty("assets"), "warnings": _or_empty("warnings"), "page_key": page_key("url")})
+    return listed, findings
+
+
+def read_sites_checked(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``read_sites`` of the sound records of this format version, and findings for the others."""
+    return read_records(spark, path, SITE, ("base_url", "sitemap_urls", "nav", "pages"), "base_url", multi_line)
+
+
 def site_nav(sites: DataFrame) -> DataFrame:
     return sites.select(F.col("base_url").alias("site"), F.posexplode("nav").alias("pos", "entry")).select(
         "site", F.col("pos").cast("long").alias("pos"), "entry.title", "entry.url"
@@ -71,6 +123,21 @@ def sitemap_locations(documents: DataFrame, key: str = "site", body: str = "body
     return located.select(key, F.col("ord").cast("long").alias("ord"), strip_ws("loc").alias("loc"))
 
 
+def sitemap_files(spark: SparkSession, path: str, tags: tuple[str, ...] = ("loc",)) -> DataFrame:
+    """(file, tag, n, loc): locations of sitemaps that are too large to be one value.
+
+    Spark's XML source streams a file element by element, so a task holds one location
+    and never a document. Tags are compared with their prefix; ``n`` rises within a file and tag.
+    """
+    parts = [
+        spark.read.format("xml").option("rowTag", tag).schema("_VALUE string").load(path).select(
+            F.col("_metadata.file_name").alias("file"), F.lit(tag).alias("tag"), F.monotonically_increasing_id().alias("n"), strip_ws("_VALUE").alias("loc")
+        )
+        for tag in tags
+    ]
+    return reduce(DataFrame.unionByName, parts).filter("loc <> ''")
+
+
 def first_source_text(candidates: DataFrame) -> DataFrame:
     """(site, text): of ``candidates(site, rank, status, body)`` the first that answered and is not blank."""
     usable = candidates.filter(F.col("status").between(200, 299) & (strip_ws("body") != ""))
