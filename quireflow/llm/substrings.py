@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import words as W
+from .asciiwords import bounded
 from .rows import keyed, single
 
 LENGTH = 35
@@ -171,23 +172,23 @@ def repeated_windows(keyed_docs: DataFrame, length: int = LENGTH, prefix: int =
     """(key, tag, first, last): runs of windows that start more than once in the corpus.
 
     Prefixes shared by more than `group_rows` suffixes are at most one in
-    `group_rows` of the sampled suffixes, which bounds what is broadcast.
+    `group_rows` of the sampled suffixes; they are counted before they are broadcast.
     """
     suffixes = sampled_suffixes(keyed_docs, length, prefix)
     heavy = cut_lineage(suffixes.groupBy("prefix").count().filter(F.col("count") > group_rows).select("prefix"))
     spans = "key long, tag int, first int, last int"
-    some_heavy = not heavy.isEmpty()
-    light = suffixes.join(F.broadcast(heavy), "prefix", "left_anti") if some_heavy else suffixes
+    n_heavy = heavy.count()
+    light = suffixes.join(bounded(heavy, n_heavy), "prefix", "left_anti") if n_heavy else suffixes
     light = (
         light.select("key", "tag", "prefix", "at", "windows")
         .repartition("prefix")
         .sortWithinPartitions("prefix")
         .mapInArrow(_subtrees, spans)
     )
-    if not some_heavy:
+    if not n_heavy:
         return light
     each = (
-        suffixes.join(F.broadcast(heavy), "prefix", "left_semi")
+        suffixes.join(bounded(heavy, n_heavy), "prefix", "left_semi")
         .select("key", "tag", "prefix", "at", "windows", F.posexplode(F.expr(f"sequence(1, length(windows), {_WINDOW_BYTES})")))
         .select("key", "tag", "prefix", (F.col("at") + F.col("pos")).alias("first"), F.expr(f"substring(windows, col, {_WINDOW_BYTES})").alias("node"))
     )
