@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import re
 import uuid
 from urllib.parse import urljoin
 
@@ -22,34 +23,46 @@ def one(spark, column, inputs):
     return values(spark, column, [(value, "") for value in inputs])
 
 
-def test_xml_id(spark):
-    found = one(spark, lambda: ids.xml_id("a"), ["  42 / Score & Confidence ", "already-safe", "", "-", "1", "é"])
-    assert found == ["id-42-Score-Confidence", "already-safe", "id", "id", "id-1", "id"]
+_SAFE = "ABCabc_"
 
 
-def test_scope(spark):
-    base = "https://example.com/docs"
-    urls = [
-        "https://example.com/docs/guide", "https://example.com/docs", "https://example.com/blog",
-        "https://example.com/docsearch", "https://other.example/docs/guide", "ftp://example.com/docs/guide",
-    ]
-    found = values(spark, lambda: url.in_scope("a", "b"), [(u, base) for u in urls])
-    assert found == [True, True, False, False, False, False]
-
-
-def test_canonical_url(spark):
-    found = one(
-        spark,
-        lambda: url.canonical_url("a"),
-        ["https://example.com/docs/guide/#part", "http://127.0.0.1:8000", "HTTP://Host//a//b/?q=1", "mailto:x@y"],
-    )
-    assert found == ["https://example.com/docs/guide", "http://127.0.0.1:8000/", "http://Host/a/b", "mailto:x@y"]
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(alphabet=_SAFE + "09.- /é&\t", max_size=12), min_size=1, max_size=20))
+def test_xml_id_rules(spark, names):
+    """An id is made of safe characters, begins with a letter or underscore, and is its own id."""
+    found = one(spark, lambda: ids.xml_id("a"), names)
+    assert all(re.fullmatch(r"[A-Za-z_][A-Za-z0-9._-]*", f) for f in found)
+    assert one(spark, lambda: ids.xml_id("a"), found) == found
+    assert all(f == n for f, n in zip(found, names, strict=True) if n and set(n) <= set(_SAFE))
 
 
-def test_route_name(spark):
-    assert one(spark, lambda: ids.route_name("a"), [".", "..", "/guide/install step/", ""]) == [
-        "index", "index", "guide-install-step", "index",
+def test_scope_is_the_path_and_what_lies_below(spark):
+    base = "http://handbook.test:8080/v2/en"
+    inside = ["http://handbook.test:8080/v2/en", "http://handbook.test:8080/v2/en/", "http://handbook.test:8080/v2/en/a/b?x#y"]
+    outside = [
+        "http://handbook.test:8080/v2/english", "http://handbook.test:8080/v2", "http://handbook.test/v2/en/a",
+        "gopher://handbook.test:8080/v2/en/a", "http://www.handbook.test:8080/v2/en/a", "",
     ]
+    found = values(spark, lambda: url.in_scope("a", "b"), [(u, base) for u in inside + outside])
+    assert found == [True] * len(inside) + [False] * len(outside)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["", "/", "/k", "/k/", "/k/l//m/", "/K.html"]), st.sampled_from(["", "?n=2", "#top", "?n=2#top"])), min_size=1, max_size=12))
+def test_canonical_url_rules(spark, parts):
+    """Query and fragment go, a path has no slash at its end but the root's, and the form is its own."""
+    given_urls = [f"http://wiki.test{path}{tail}" for path, tail in parts]
+    found = one(spark, lambda: url.canonical_url("a"), given_urls)
+    for (path, _), f in zip(parts, found, strict=True):
+        assert f == "http://wiki.test" + (re.sub("/+", "/", path).rstrip("/") or "/")
+    assert one(spark, lambda: url.canonical_url("a"), found) == found
+
+
+def test_route_name_is_a_plain_file_name(spark):
+    routes = ["/", "./..", "/Chapter 1/Über uns/", "//a//b//", "/x/../y", "...", "/api/v1.2/"]
+    found = one(spark, lambda: ids.route_name("a"), routes)
+    assert all(f and "/" not in f and f not in {".", ".."} for f in found)
+    assert found[0] == "index" and len(set(found)) > 3
 
 
 def test_url_join_known(spark):
