@@ -9,6 +9,7 @@ from ..functions.ids import chapter_name
 from ..functions.url import canonical_url, path
 from ..operators import colors
 from ..operators import tree as t
+from ..operators.windows import ordinals
 from ..plans import book, checks, clean
 from ..session import cut_lineage, scratch_folder
 from ..sources import archives, markup, sinks, tables
@@ -604,35 +605,41 @@ def k07(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.inspect(spark, "pages", target).select(F.get_json_object("document", "$.url").alias("url"))
 
 
-def site_records(spark: SparkSession, folder: str) -> DataFrame:
-    urls = F.array_sort(F.collect_list("url"))
-    entry = F.struct(F.concat(F.lit("Link "), F.col("pos").cast("string")).alias("title"), "url")
-    nav = derived(spark, folder, "nav").groupBy("site").agg(F.array_sort(F.collect_list(entry)).alias("nav"))
-    listed = derived(spark, folder, "sitemap").groupBy("site").agg(urls.alias("sitemap_urls"))
-    return (
-        sites(spark, folder).join(nav, "site").join(listed, "site").select(
-            "base_url", "title", "language", F.lit("generic").alias("adapter"), F.lit(1).alias("ir_version"),
-            "sitemap_urls", "nav", F.array().cast("array<string>").alias("pages"), F.struct("name", "author").alias("metadata"),
-        )
-    )
+def site_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Facts and lists of all sites; positions are numbered without a list per site."""
+    known = sites(spark, folder)
+    named = known.select("site", "base_url")
+
+    def numbered(rows: DataFrame, *order: str) -> DataFrame:
+        placed = ordinals(rows, ["site"], *order, name="pos").withColumn("pos", F.col("pos") - 1)
+        return placed.join(named, "site").drop("site").withColumnRenamed("base_url", "site")
+
+    title = F.concat(F.lit("Link "), F.col("pos").cast("string")).alias("title")
+    nav = numbered(derived(spark, folder, "nav").select("site", title, "url"), "title", "url")
+    listed = numbered(derived(spark, folder, "sitemap").select("site", "url"), "url")
+    facts = known.select(
+        "base_url", "title", "language", F.lit("generic").alias("adapter"), F.lit(1).alias("ir_version"), F.struct("name", "author").alias("metadata")
+    )
+    return facts, {"nav": nav, "sitemap_urls": listed, "pages": listed.filter("false")}
+
+
+def stored_sites(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    target = scratch_folder(spark, "sites")
+    sinks.write_site_parts(*site_parts(spark, folder), target)
+    return tables.read_site_parts(spark, target)
 
 
 @query("s02_read_sites", f"{CAP}, {SITES_SQL} SELECT base_url, title, language, 1 AS ir_version, name, (SELECT count(*) FROM sitemap m WHERE m.site = s.site) AS sitemap_urls, (SELECT count(*) FROM nav n WHERE n.site = s.site) AS nav FROM sites s")
 def s02(spark: SparkSession, folder: str) -> DataFrame:
-    target = scratch_folder(spark, "sites")
-    sinks.write_sites(site_records(spark, folder), f"{target}/site")
-    stored = tables.read_sites(spark, f"{target}/site")
-    return stored.select(
-        "base_url", "title", "language", "ir_version", F.col("metadata.name").alias("name"),
-        F.size("sitemap_urls").cast("long").alias("sitemap_urls"), F.size("nav").cast("long").alias("nav"),
-    )
+    facts, lists = stored_sites(spark, folder)
+    counts = [lists[name].groupBy(F.col("site").alias("base_url")).agg(F.count("*").alias(name)) for name in ("sitemap_urls", "nav")]
+    joined = facts.join(counts[0], "base_url", "left").join(counts[1], "base_url", "left").fillna(0, ["sitemap_urls", "nav"])
+    return joined.select("base_url", "title", "language", "ir_version", F.col("metadata.name").alias("name"), "sitemap_urls", "nav")
 
 
 @query("k02_write_sites", f"{CAP}, {SITES_SQL} SELECT s.base_url AS site, n.pos, n.title FROM sites s JOIN (SELECT site, title, row_number() OVER (PARTITION BY site ORDER BY title, url) - 1 AS pos FROM nav) n ON n.site = s.site")
 def k02(spark: SparkSession, folder: str) -> DataFrame:
-    target = scratch_folder(spark, "sites")
-    sinks.write_sites(site_records(spark, folder), f"{target}/site")
-    return tables.site_nav(tables.read_sites(spark, f"{target}/site")).select("site", "pos", "title")
+    return stored_sites(spark, folder)[1]["nav"].select("site", "pos", "title")
 
 
 SITEMAP_XML = """concat('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:i="urn:i"><url><loc> ', replace(url, '&', '&amp;'), ' </loc><i:image><i:loc>https://i.example/', page_id, '.png</i:loc></i:image></url>',

@@ -57,6 +57,11 @@ SITE = T.StructType(
     ]
 )
 
+#: A site record in parts: one row of facts, and its lists as rows with positions.
+SITE_LISTS = ("sitemap_urls", "nav", "pages")
+SITE_FACTS = T.StructType([field for field in SITE if field.name not in SITE_LISTS])
+SITE_LINE = T.StructType([_text("site"), T.StructField("pos", T.LongType(), False), _text("title", True), _text("url")])
+
 RESPONSE = T.StructType(
     [
         _text("url"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import REPORT_FORMAT_VERSION
+from ..schema import REPORT_FORMAT_VERSION, SITE_FACTS, SITE_LINE, SITE_LISTS
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,6 +23,21 @@ def write_sites(sites: DataFrame, path: str, file_format: str = "json") -> None:
     sites.write.mode("overwrite").format(file_format).save(path)
 
 
+def write_site_parts(facts: DataFrame, lists: dict[str, DataFrame], path: str) -> None:
+    """Site records in parts: ``facts`` without lists, and each list as rows ``(site, pos[, title], url)``.
+
+    Lists are written by ranges of (site, pos), so a long list is many rows in several files
+    and never one value, and a reader of one site opens the files that have it.
+    """
+    facts.select(*SITE_FACTS.names).write.mode("overwrite").parquet(f"{path}/facts")
+    for name in SITE_LISTS:
+        rows = lists[name]
+        if "title" not in rows.columns:
+            rows = rows.withColumn("title", F.lit(None).cast("string"))
+        ranged = rows.select(*SITE_LINE.names).repartitionByRange("site", "pos").sortWithinPartitions("site", "pos")
+        ranged.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def report_documents(stages: DataFrame, command: str = "run") -> DataFrame:
     """(site, document): one JSON report per site from ``stages(site, stage, status, errors, warnings)``."""
     stage = F.struct("stage", "status", F.struct("errors", "warnings").alias("counts"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.ids import page_key
 from ..functions.text import strip_ws
-from ..schema import IR_VERSION, PAGE, RESPONSE, SITE
+from ..schema import IR_VERSION, PAGE, RESPONSE, SITE, SITE_FACTS, SITE_LINE, SITE_LISTS
 from .markup import xml_error
 
 
@@ -50,10 +50,24 @@ def read_sites(spark: SparkSession, path: str, file_format: str = "json", multi_
     """
     stored = spark.read.schema(SITE).format(file_format).option("multiLine", multi_line).load(path)
     sites = _required(stored, "sitemap_urls", "nav", "pages")
+    return _of_this_version(sites)
+
+
+def _of_this_version(sites: DataFrame) -> DataFrame:
     message = _version_message(F.col("ir_version"))
     return sites.filter(F.col("ir_version").eqNullSafe(F.lit(IR_VERSION)) | F.raise_error(message).cast("boolean"))
 
 
+def read_site_parts(spark: SparkSession, path: str, sites: list[str] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """What ``write_site_parts`` stored: facts of this format version, and the lists by name; of the named sites only, if given."""
+
+    def stored(name: str, schema: T.StructType, key: str) -> DataFrame:
+        rows = spark.read.schema(schema).parquet(f"{path}/{name}")
+        return rows if sites is None else rows.filter(F.col(key).isin(sites))
+
+    return _of_this_version(stored("facts", SITE_FACTS, "base_url")), {name: stored(name, SITE_LINE, "site") for name in SITE_LISTS}
+
+
 def read_records(
     spark: SparkSession, path: str, schema: T.StructType, required: tuple[str, ...], name: str, multi_line: bool = False
 ) -> tuple[DataFrame, DataFrame]:

@@ -96,3 +96,28 @@ def test_counts_need_no_second_job(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(jobs) <= 2  # the rows, and their checkpoint
+
+
+def test_site_lists_are_rows(spark, tmp_path):
+    from quireflow.sources import sinks
+
+    facts = spark.createDataFrame([(f"http://{s}.org/", "T", "en", "g", 1) for s in "abc"], "base_url string, title string, language string, adapter string, ir_version int")
+    facts = facts.withColumn("metadata", F.struct(F.lit("N").alias("name")))
+    nav = spark.range(5000).select(F.when(F.col("id") % 10 == 0, "http://b.org/").otherwise("http://a.org/").alias("site"), F.col("id").alias("pos"), F.concat(F.lit("t"), "id").alias("title"), F.lit("u").alias("url"))
+    lists = {"nav": nav, "sitemap_urls": nav.drop("title"), "pages": nav.filter("false")}
+    whole_facts = facts.select("*").withColumn("metadata", F.from_json(F.to_json("metadata"), tables.SITE_FACTS["metadata"].dataType))
+    sinks.write_site_parts(whole_facts, lists, str(tmp_path))
+    stored, read = tables.read_site_parts(spark, str(tmp_path))
+    assert sorted(r.base_url for r in stored.collect()) == [f"http://{s}.org/" for s in "abc"]
+    assert sorted(map(tuple, read["nav"].collect())) == sorted(map(tuple, nav.collect()))
+    assert read["sitemap_urls"].filter("title IS NOT NULL").count() == 0 and read["pages"].count() == 0
+    one, lines = tables.read_site_parts(spark, str(tmp_path), ["http://b.org/"])
+    assert [r.base_url for r in one.collect()] == ["http://b.org/"] and lines["nav"].count() == 500
+    assert "PushedFilters: [In(site" in lines["nav"]._jdf.queryExecution().executedPlan().toString() or "EqualTo(site" in lines["nav"]._jdf.queryExecution().executedPlan().toString()
+    sinks.write_site_parts(whole_facts.withColumn("ir_version", F.lit(2)), lists, f"{tmp_path}/new")
+    try:
+        tables.read_site_parts(spark, f"{tmp_path}/new")[0].count()
+    except Exception as error:  # noqa: BLE001 - the message matters, not Spark's class of it
+        assert "Unsupported record version 2; expected 1." in str(error)
+    else:
+        raise AssertionError("another version must not be read")
