@@ -300,21 +300,21 @@ def rewrite_groups(nodes: DataFrame, key: Column, rewrite, **prepared) -> DataFr
     return grouped.select(F.inline(rewrite(F.col("_key"), F.col("_rows")))).select(*nodes.columns)
 
 
-def with_text(nodes: DataFrame, predicate: Column, name: str = "inner_text") -> DataFrame:
-    """Add the text below each matching node as a column of that node, null elsewhere."""
-    marked = nodes.withColumn("_self", F.coalesce(predicate, F.lit(False)))
-    keyed = enclosing(marked, F.col("_self"), F.col("open_seq"), "_outer").withColumn(
-        name, F.lit(None).cast("string")
-    )
-    key = F.when(F.col("_self"), F.col("open_seq")).otherwise(F.coalesce("_outer", F.lit(REST)))
+def island_text(key: Column, at: Column) -> Column:
+    """Text of the island of rows that share a ``key``, at the rows where ``at`` holds, null elsewhere.
 
-    def fill(group: Column, rows: Column) -> Column:
-        texts = F.filter(rows, lambda r: r["kind"] == "text")
-        joined = F.array_join(F.transform(texts, lambda r: r["text"]), "")
-        filled = F.transform(rows, lambda r: r.withField(name, F.when(r["_self"], joined)))
-        return F.when(group >= 0, filled).otherwise(rows)
+    Rows without a key are in no island: they pass through the window, but nothing of them is collected.
+    """
+    island = F.when(key.isNotNull() & is_text(), F.struct("open_seq", "text"))
+    return F.when(at, ordered_text(F.collect_list(island).over(W.partitionBy("page_id", key))))
 
-    return rewrite_groups(keyed, key, fill).drop("_self", "_outer")
+
+def with_text(nodes: DataFrame, predicate: Column, name: str = "inner_text") -> DataFrame:
+    """Add the text below each matching node, up to matches inside it, as a column of that node, null elsewhere."""
+    marked = nodes.withColumn("_self", F.coalesce(predicate, F.lit(False)))
+    keyed = enclosing(marked, F.col("_self"), F.col("open_seq"), "_outer")
+    keyed = keyed.withColumn("_island", F.when(F.col("_self"), F.col("open_seq")).otherwise(F.col("_outer")))
+    return keyed.withColumn(name, island_text(F.col("_island"), F.col("_self"))).drop("_self", "_outer", "_island")
 
 
 def append_rows(nodes: DataFrame, condition: Column, *rows: Column) -> DataFrame:

@@ -192,18 +192,21 @@ def tabular_pre_to_table(nodes: DataFrame) -> DataFrame:
     is_pre = F.col("tag") == "pre"
     keyed = enclosing_outermost(nodes, is_pre, "_pre")
 
-    columns = t.grouped_columns(keyed)
-    text = lambda rows: F.array_join(F.transform(F.filter(rows, lambda r: r["kind"] == "text"), lambda r: r["text"]), "")
-    rewritten = t.rewrite_groups(
-        keyed,
-        F.coalesce("_pre", F.lit(t.REST)),
-        lambda key, rows: F.when(
-            F.col("_width").isNotNull(), _table_nodes(columns, F.get(rows, F.lit(0)), F.col("_cells"), F.col("_width"))
-        ).otherwise(rows),
-        _cells=lambda key, rows: F.when(key >= 0, tabular_rows(text(rows))),
-        _width=lambda key, rows: tabular_width(F.col("_cells")),
-    )
-    return rewritten.drop("_pre")
+    columns = t.grouped_columns(nodes)
+    own = F.struct(*columns)
+    here = F.col("open_seq") == F.col("_pre")
+    split = keyed.withColumn("_text", t.island_text(F.col("_pre"), here))
+    split = split.withColumn("_cells", F.when(F.col("_text").isNotNull(), tabular_rows(F.col("_text")))).drop("_text")
+    split = split.withColumn("_width", tabular_width(F.col("_cells")))
+    wide = F.max("_width").over(W.partitionBy("page_id", "_pre"))
+    judged = split.withColumn("_table", F.when(F.col("_pre").isNotNull(), wide))
+    kept = F.when(F.col("_table").isNull(), F.array(own))
+    made = kept.when(here, _table_nodes(columns, own, F.col("_cells"), F.col("_width"))).otherwise(F.array().cast(_rows_of(nodes, columns)))
+    return judged.select(F.inline(made)).select(*nodes.columns)
+
+
+def _rows_of(nodes: DataFrame, columns: list[str]) -> ArrayType:
+    return ArrayType(nodes.select(F.struct(*columns).alias("row")).schema["row"].dataType)
 
 
 def enclosing_outermost(nodes: DataFrame, predicate: Column, name: str) -> DataFrame:

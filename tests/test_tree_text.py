@@ -50,3 +50,26 @@ def test_no_pairs_of_ancestors_and_texts(spark):
     assert "Join" not in plan
     events = t._sliced_text(nodes, F.col("tag") == "div", F.col("text"), "")
     assert events.count() == 400
+
+
+def test_rows_outside_islands_are_not_collected(spark):
+    """The text of marked elements and tables from preformatted blocks leave other rows where they are."""
+    from quireflow.plans import capture, clean
+
+    html = "<p>before</p><math><mi>x</mi><mn>2</mn></math><pre>a  b  c\n1  2  3\n4  5  6</pre><pre>plain <b>text</b></pre><p>after <math alttext=y>z</math></p>"
+    pages = spark.createDataFrame([(1, html), (2, "<p>nothing</p>")], "page_id long, html string")
+    nodes = markup.parse_html(pages, "page_id", "html")
+    texts = t.with_text(nodes, F.col("tag") == "math", "_t")
+    assert sorted(r._t for r in texts.filter("_t IS NOT NULL").collect()) == ["x2", "z"]
+    made = clean.tabular_pre_to_table(nodes)
+    tags = [r.tag for r in made.filter("page_id = 1 AND kind = 'element'").orderBy("open_seq").collect()]
+    assert tags == ["p", "math", "mi", "mn", "table", "tbody", *["tr", "th", "th", "th"], *["tr", "td", "td", "td"] * 2, "pre", "b", "p", "math"]
+    assert set(made.columns) == set(nodes.columns)
+    nested = "<span role=tab aria-controls=a>one <span role=tab aria-controls=b>two</span> end</span><div id=a hidden>x</div><div id=b hidden>y</div>"
+    tabs = markup.parse_html(spark.createDataFrame([(1, nested)], "page_id long, html string"), "page_id", "html")
+    shown = t.joined_text(capture.label_tab_panels(tabs), F.col("tag") == "div", "|").collect()
+    assert sorted(r.text for r in shown) == ["one  end|x", "two|y"]
+    for frame in (texts, made):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        groups = [line for line in plan.splitlines() if "Aggregate" in line and "collect_list" in line]
+        assert not [line for line in groups if "attrs" in line], groups
