@@ -25,8 +25,8 @@ def _item_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().translate(LOWER).decode())
 
 
-def _prose(draw, n):
-    return " ".join("".join(draw.choices("abcdeéß", k=draw.randint(1, 7))) for _ in range(n))
+def _prose(draw, n, letters="abcdeéß"):
+    return " ".join("".join(draw.choices(letters, k=draw.randint(1, 7))) for _ in range(n))
 
 
 def _rules_keep(text):
@@ -85,7 +85,7 @@ def _without_items(docs, items):
 
 def _documents(draw):
     shared = [_prose(draw, 60) for _ in range(3)]
-    items = [_prose(draw, n) for n in (15, 30, 6)]
+    items = [_prose(draw, n, "abcdefg") for n in (15, 30, 6)]
     texts = [None, "", "too short"]
     for _ in range(60):
         text = _prose(draw, draw.randint(40, 160))
