@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Bytes from which a word's fingerprint is a digest. Sums over shorter words cannot cancel modulo 2**64.
 LONG_WORD = 64
 WHITE = np.zeros(256, bool)
