@@ -326,3 +326,55 @@ def test_long_words_that_a_polynomial_confuses():
     batch = pa.RecordBatch.from_arrays([pa.array([f"{one} {other} {one}"])], ["text"])
     value = next(words.chunks(batch)).words().value
     assert value[0] == value[2] != value[1]
+
+
+def _brute_licences(rows):
+    from math import log
+
+    from quireflow.llm.licences import BASE, RARE, TEMPLATES
+
+    texts = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _lower(t)) for i, t in rows}
+    counts = Counter(w for words in texts.values() for w in words)
+    out = {}
+    for i, words in texts.items():
+        base = {label for label, p in BASE.items() for s in range(len(words)) if words[s : s + len(p.split())] == p.split()}
+        own, best = set(), 0.5 if base else 0.0
+        match = []
+        for label, (text, keys) in TEMPLATES.items():
+            template = text.split()
+            entered = sorted({w for w in template if counts[w]}, key=lambda w: (counts[w], w.encode()))[:RARE]
+            weight = {w: 1 / log(2.718281828 + counts[w]) for w in entered}
+            for shift in range(-len(template), len(words)):
+                agree = {w for p, w in enumerate(template) if w in weight and 0 <= shift + p < len(words) and words[shift + p] == w}
+                stands = []
+                for key in keys:
+                    at = shift + len(text[: text.index(key)].split())
+                    stands.append(at >= 0 and words[at : at + len(key.split())] == key.split())
+                if agree and all(stands) and len(agree) >= min(len(entered), 2):
+                    own.add(label)
+                    match.append(min(sum(weight[w] for w in agree) / sum(weight.values()), 1.0))
+        out[i] = (",".join(sorted(base)), ",".join(sorted(base | own)), max(match) if match else best)
+    return out
+
+
+def test_licences_equal_brute_force(spark):
+    from quireflow.llm import licences
+
+    draw = random.Random(4)
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(draw.randint(0, 3)):
+            words = draw.choice([t for t, _ in licences.TEMPLATES.values()] + list(licences.BASE.values())).split()
+            for _ in range(draw.choice([0, 0, 1, 1, 3])):
+                k = draw.randrange(max(len(words), 1))
+                words[k : k + 1] = draw.choice(([], ["other"], [w.upper() for w in words[k : k + 1]], [*words[k : k + 1], "more"]))
+            parts.append(draw.choice([" ", ", ", "\n"]).join(words))
+        parts.insert(draw.randint(0, len(parts)), _prose(i, draw.randint(0, 20)))
+        rows.append((i, " ".join(parts)))
+    expected = _brute_licences(rows)
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(bool(labels) for _, labels, _ in expected.values()) > 60
+    for i, (base, labels, score) in expected.items():
+        assert (got[i].base_labels, got[i].labels) == (base, labels), rows[i]
+        assert got[i].score == pytest.approx(score, abs=1e-9)
