@@ -148,6 +148,8 @@ def a07(spark: SparkSession, folder: str) -> DataFrame:
     wide = (2 + F.col("doc_id") % 5).cast("int")
     lines = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))
     words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-    rows = F.transform(F.sequence(F.lit(0), F.size(words) - 1, wide), lambda s: F.slice(words, s + 1, wide))
+    # bound once, so that the text is not split again for each row
+    set_wide = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, wide), lambda s: F.slice(w, s + 1, wide))
+    rows = F.get(F.transform(F.array(words), set_wide), F.lit(0))
     shaped = table(spark, folder, "documents").select("doc_id", tabular_width(F.concat(lines, rows)).cast("long").alias("width"))
     return shaped.filter("width IS NOT NULL")

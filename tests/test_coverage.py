@@ -71,3 +71,33 @@ def test_covered_source_reads_as_complete(spark):
     )
     missing = coverage.missing_lines(source, chapters)
     assert coverage.coverage_ratio(source, missing).first()["coverage"] == 1.0
+
+
+def test_places_of_other_anchors_stay_in_their_task(spark):
+    """The bitmap keeps every key in use and little else, so the shuffle does not follow the words of the book."""
+    keys = spark.range(5000).selectExpr("xxhash64(id) AS key")
+    places = spark.range(200000).selectExpr("xxhash64(id) AS key", "id AS start")
+    kept = {row.start for row in coverage.in_bitmap(places, coverage.key_bitmap(keys)).collect()}
+    assert set(range(5000)) <= kept and len(kept) < 5200
+
+
+def test_lines_of_one_word_alone(spark):
+    text = spark.createDataFrame([("s", "a", "one antelope two é" + "y" * 40), ("t", "a", "x")], "site string, file string, text string")
+    words = ["elope", "antelopes", "n", "éy", "y" * 40, "y" * 41, "two"]
+    lines = spark.createDataFrame([(s, w) for s in "st" for w in words], "site string, line string")
+    for block, piece in ((16, 8), (1 << 14, 256)):
+        assert {tuple(row) for row in coverage.covered_lines(lines, text, block, piece).collect()} == {
+            ("s", w) for w in ("elope", "n", "éy", "y" * 40, "two")
+        }
+
+
+def test_tabular_shape_of_a_long_text_costs_its_length(spark, tmp_path):
+    """Cut into rows of five words, the text was split again for every row: hours for this one."""
+    import time
+
+    from quireflow.catalog import load
+
+    spark.createDataFrame([(3, " ".join(["word"] * 400_000))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    started = time.monotonic()
+    assert [tuple(row) for row in load()[0]["a07_tabular_shape"](spark, str(tmp_path)).collect()] == [(3, 5)]
+    assert time.monotonic() - started < 60
