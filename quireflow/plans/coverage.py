@@ -15,6 +15,8 @@ with every text:
    Heads that share an anchor mostly share a few shapes, so a stock phrase
    costs its occurrences times shapes, not times lines. Positions count bytes,
    which makes a cut cost its own length and not its distance from the start.
+   A place leaves its task only if a fixed-size bitmap of the anchors in use may hold its key.
+   Lines of one word lie inside one word, so they are looked for in the distinct words of the site.
 4. Distinct cut-outs meet distinct heads in an equality join. A line of one piece is done.
 5. Of a longer line, each place of the head says where the other pieces must stand. They
    are cut out of the blocks they fall into, met with the line's pieces by
@@ -43,6 +45,9 @@ PIECE_CHARS = 8
 PAIR_CHARS = 4
 BLOCK_CHARS = 1 << 14
 LINE_PIECE_CHARS = 256
+# The bitmap of keys: 2**27 bits in rows of 512 longs, 16 MB whatever the number of keys.
+KEY_BITS = 1 << 27
+ROW_BITS = 1 << 15
 
 
 def split_lines(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -141,7 +146,8 @@ def _anchor_key() -> Column:
 def block_words(blocks: DataFrame) -> DataFrame:
     """(site, block, start, word, next words): the words of each block with their positions."""
     in_block = W.partitionBy("site", "block").orderBy("i")
-    words = blocks.select("site", "block", F.posexplode(F.split("text", " ")).alias("i", "word"))
+    # the text of a block is dealt, not its words; the explode keeps that partitioning
+    words = blocks.repartition("site", "block").select("site", "block", F.posexplode(F.split("text", " ")).alias("i", "word"))
     start = F.coalesce(F.sum(F.octet_length("word") + 1).over(in_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return words.withColumn("start", start).select(
         "*", *(F.lead("word", n).over(in_block).alias(f"word{n}") for n in range(1, ANCHOR_WORDS))
@@ -154,14 +160,14 @@ def _place(words: int, anchor: Column, start: Column) -> Column:
 
 def _runs_of(count: int) -> Column:
     parts = [F.col("word"), *(F.col(f"word{n}") for n in range(1, count))]
-    return F.when(parts[-1].isNotNull(), F.array(_place(count, F.concat_ws(" ", *parts), F.col("start"))))
+    return F.when(parts[-1].isNotNull(), _place(count, F.concat_ws(" ", *parts), F.col("start")))
 
 
 def _pairs_of(left: int, right: int) -> Column:
     """The characters around the space after ``word``."""
     anchor = F.concat(F.right("word", F.lit(left)), F.lit(" "), F.left("word1", F.lit(right)))
     whole = (F.length("word") >= left) & (F.length("word1") >= right)
-    return F.when(whole, F.array(_place(PAIR, anchor, F.col("start") + F.octet_length("word") - F.octet_length(F.right("word", F.lit(left))))))
+    return F.when(whole, _place(PAIR, anchor, F.col("start") + F.octet_length("word") - F.octet_length(F.right("word", F.lit(left)))))
 
 
 def _pieces_of(size: int, least: int) -> Column:
@@ -179,13 +185,49 @@ def anchor_places(
     A line of one word lies inside one word, so only words as long as the
     shortest such line (``least`` bytes) are cut into pieces.
     """
-    kinds = [*map(_runs_of, runs), *(_pairs_of(*pair) for pair in pairs), *(_pieces_of(size, least) for size in pieces)]
-    places = F.flatten(F.array_compact(F.array(*kinds)))
-    return block_words(blocks).select("site", "block", F.inline(places))
+    # one struct for each kind, null where the word starts none
+    places = F.array(*map(_runs_of, runs), *(_pairs_of(*pair) for pair in pairs))
+    if pieces:
+        places = F.concat(places, *(F.coalesce(_pieces_of(size, least), F.slice(places, 1, 0)) for size in pieces))
+    return block_words(blocks).select("site", "block", F.inline(places)).filter("key IS NOT NULL")
+
+
+def key_bitmap(keys: DataFrame) -> DataFrame:
+    """(row, bits): a bitmap of the hashes in ``keys(key)``, at most 4,096 rows of 4 KB."""
+    bit = F.pmod("key", F.lit(KEY_BITS))
+    within = bit % ROW_BITS
+    longs = keys.select(
+        F.floor(bit / ROW_BITS).alias("row"), F.floor(within / 64).cast("int").alias("at"), (within % 64).cast("int").alias("bit")
+    )
+    filled = longs.distinct().groupBy("row", "at").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("long"))
+    by_row = filled.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "long"))).alias("longs"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(ROW_BITS // 64 - 1)), lambda n: F.coalesce(F.element_at("longs", n), F.lit(0).cast("long")))
+    return by_row.select("row", dense.alias("bits"))
+
+
+def in_bitmap(places: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """Rows of ``places(key, …)`` whose key may be one of the bitmap's; none that is one is lost."""
+    bit = F.pmod("key", F.lit(KEY_BITS))
+    within = bit % ROW_BITS
+    held = F.getbit(F.get("bits", F.floor(within / 64).cast("int")), (within % 64).cast("int")) == 1
+    met = places.withColumn("row", F.floor(bit / ROW_BITS)).join(F.broadcast(bitmap), "row")
+    return met.filter(held).select(*places.columns)
+
+
+def _in_words(blocks: DataFrame, heads: DataFrame, bitmap: DataFrame, sizes: list[int], least: int) -> DataFrame:
+    """(site, bytes): what the distinct words of a site hold in the shape of ``heads(site, key, size)``, lines of one word."""
+    words = blocks.select("site", F.explode(F.split("text", " ")).alias("word")).filter(F.octet_length("word") >= least).distinct()
+    places = words.withColumn("start", F.lit(0)).select(
+        "site", "word", F.inline(F.flatten(F.array_compact(F.array(*(_pieces_of(size, least) for size in sizes)))))
+    ).toDF("site", "word", "key", "at")
+    cuts = in_bitmap(places, bitmap).join(heads.select("site", "key", "size").distinct(), ["site", "key"])
+    piece = F.substring(F.col("word").cast("binary"), (F.col("at") + 1).cast("int"), F.col("size"))
+    return cuts.select("site", piece.alias("bytes")).distinct()
 
 
 def _whole_lines(heads: DataFrame, lines: DataFrame, blocks: DataFrame, block: int, piece: int) -> DataFrame:
     """(id) of the long ``lines(site, id, line, pieces)`` whose other pieces follow one of ``heads(site, id, at)``; ``at`` counts characters of the site."""
+    lines = lines.join(heads.select("id").distinct(), "id", "left_semi")
     later = F.explode(F.sequence(F.lit(1), F.col("pieces") - 1)).alias("n")
     place = F.col("at") + F.col("n") * piece
     wanted = lines.select("site", "id", later, "line").select(
@@ -197,11 +239,13 @@ def _whole_lines(heads: DataFrame, lines: DataFrame, blocks: DataFrame, block: i
         "site", "id", "at", "pieces", "n", F.floor(place / block).alias("block"), (place % block).cast("int").alias("within"),
         F.least(F.lit(piece), F.col("length") - F.col("n") * piece).alias("chars"),
     )
+    # a stretch that many places and lines name is cut out once
+    stretch = ["site", "block", "within", "chars"]
     texts = blocks.select("site", "block", F.col("text").alias("block_text"))
-    standing = cut.join(texts, ["site", "block"]).select(
-        "site", "id", "at", "pieces", "n", F.substr("block_text", F.col("within") + 1, F.col("chars")).alias("text")
+    standing = cut.select(*stretch).distinct().join(texts, ["site", "block"]).select(
+        *stretch, F.substr("block_text", F.col("within") + 1, F.col("chars")).alias("text")
     )
-    met = standing.join(wanted, ["site", "id", "n", "text"])
+    met = cut.join(standing, stretch).join(wanted, ["site", "id", "n", "text"])
     whole = met.groupBy("site", "id", "at", "pieces").agg(F.count("*").alias("found")).filter("found = pieces - 1")
     return whole.select("id").distinct()
 
@@ -214,28 +258,41 @@ def covered_lines(lines: DataFrame, chapters: DataFrame, block: int = BLOCK_CHAR
     anchored = cut_lineage(anchored.withColumn("id", F.monotonically_increasing_id()))
     # One row: the kinds of anchors in use (at most 3, 16 and 8 values).
     words = F.col("words")
+    single, long = words == SINGLE, F.col("pieces") > 1
     kinds = anchored.agg(
         F.max("pieces").alias("pieces"),
         F.collect_set(F.when(words > 0, words)).alias("runs"),
         F.collect_set("pair").alias("pairs"),
-        F.collect_set(F.when(words == SINGLE, F.length("anchor"))).alias("singles"),
-        F.min(F.when(words == SINGLE, F.col("size"))).alias("least"),
+        *(
+            column
+            for name, kind in (("word", single & ~long), ("long_word", single & long))
+            for column in (
+                F.collect_set(F.when(kind, F.length("anchor"))).alias(name),
+                F.min(F.when(kind, F.col("size"))).alias(f"{name}_least"),
+            )
+        ),
     ).first()
     blocks = cut_lineage(text_blocks(chapters, block, piece))
-    shapes = anchored.select("site", _anchor_key().alias("key"), "before", "size", (F.col("pieces") > 1).alias("long")).distinct()
+    keyed = anchored.withColumn("key", _anchor_key())
+    bitmap = cut_lineage(key_bitmap(keyed.select("key")))
+    text = F.col("text").cast("binary")
+    heads = keyed.withColumn("bytes", F.col("head").cast("binary"))
     pairs = sorted((pair["left"], pair["right"]) for pair in kinds["pairs"])
-    places = anchor_places(blocks, sorted(kinds["runs"]), pairs, sorted(kinds["singles"]), kinds["least"] or 1)
+    places = anchor_places(blocks, sorted(kinds["runs"]) or [ANCHOR_WORDS], pairs, sorted(kinds["long_word"]), kinds["long_word_least"] or 1)
+    shapes = keyed.filter(~single | long).select("site", "key", "before", "size", long.alias("long")).distinct()
     cuts = (
-        places.join(shapes, ["site", "key"])
+        in_bitmap(places, bitmap)
+        .join(shapes, ["site", "key"])
         .select("site", "block", (F.col("start") - F.col("before")).cast("int").alias("at"), "size", "long")
         .filter("at >= 0")
         .distinct()
     )
-    text = F.col("text").cast("binary")
     found = cuts.join(blocks, ["site", "block"]).withColumn("bytes", F.substring(text, F.col("at") + 1, F.col("size")))
-    heads = anchored.withColumn("bytes", F.col("head").cast("binary"))
     short = heads.filter("pieces = 1").select("site", "line", "bytes")
-    covered = short.join(found.filter("not long").select("site", "bytes").distinct(), ["site", "bytes"], "left_semi").drop("bytes")
+    standing = found.filter("not long").select("site", "bytes").distinct()
+    if kinds["word"]:
+        standing = standing.unionByName(_in_words(blocks, keyed.filter(single & ~long), bitmap, sorted(kinds["word"]), kinds["word_least"]))
+    covered = short.join(standing, ["site", "bytes"], "left_semi").drop("bytes")
     if (kinds["pieces"] or 1) == 1:
         return covered
     longer = heads.filter("pieces > 1")
