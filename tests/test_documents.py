@@ -189,3 +189,23 @@ def test_ancestry_steps_add_no_shuffle(spark):
     nodes = clean.normalize_headings(clean.repair_nesting(clean.drop_empty_links(clean.sanitize(parse_html(pages)))))
     plan = nodes._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_shapes_of_a_batch_are_not_python_objects():
+    """Of a batch of many pages only one at a time is Python objects, so a worker's memory follows its longest page."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quireflow.sources import markup
+
+    page = ["<p", "t", "<b", "t", "/b", "/p"] * 100
+    codes = pa.array([page, None, []] + [page] * 500)
+    tracemalloc.start()
+    shapes = markup._shape_batch(codes, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000
+    parent, closed_at, depth = markup.page_shape(page)
+    assert shapes[0].as_py() == shapes[502].as_py() == {"parent": parent, "closed_at": closed_at, "depth": depth}
+    assert shapes[1].as_py() == shapes[2].as_py() == {"parent": [], "closed_at": [], "depth": []}
