@@ -92,7 +92,7 @@ def test_lines_of_one_word_alone(spark):
 
 
 def test_tabular_shape_of_a_long_text_costs_its_length(spark, tmp_path):
-    """Cut into rows of five words, the text was split again for every row: hours for this one."""
+    """Cut into rows of five words, the text was split again for every row."""
     import time
 
     from quireflow.catalog import load
