@@ -7,7 +7,8 @@
    template give a relative position, and postings that agree on it are
    intersected. No word is left out for a file: the templates bound the index.
 3. A template is reported if, at one relative position, enough of its rare words
-   agree and every mandatory key phrase stands where the template has it.
+   agree and every mandatory key phrase stands where the template has it. The
+   phrases are read in the file's own row: only postings at whole phrases are shuffled.
 
 Base phrases are found by the same lookup, with their first word as the posting.
 
@@ -91,35 +92,37 @@ def scan(docs: DataFrame, rare: int = RARE) -> DataFrame:
     rows = keyed(docs)
     index = cut_lineage(rare_index(rows, rare))
     weight = index.select("label", "word", "idf").distinct().groupBy("label").agg(F.sum("idf").alias("whole"), F.count("*").alias("entered"))
-    look = index.join(weight, "label").select(
-        "word", "label", "idf", "place", "whole", "entered", F.explode("keys").alias("k"), F.size("keys").alias("musts"), F.lit(False).alias("base")
-    ).select("word", "label", "idf", "place", "whole", "entered", "k.*", "musts", "base")
+    look = index.join(weight, "label").select("word", "label", "idf", "place", "whole", "entered", "keys", F.lit(False).alias("base"))
     base = [
         F.struct(F.lit(text.split()[0]).alias("word"), F.lit(label).alias("label"), F.lit(text).alias("must"), F.lit(len(text.split())).alias("key_size"))
         for label, text in BASE.items()
     ]
     base = spark.range(1).select(F.explode(F.array(*base)).alias("b")).select(
         "b.word", "b.label", F.lit(0.0).alias("idf"), F.lit(0).alias("place"), F.lit(0.0).alias("whole"), F.lit(0).cast("long").alias("entered"),
-        "b.must", F.lit(0).alias("key_place"), "b.key_size", F.lit(1).alias("musts"), F.lit(True).alias("base"),
+        F.array(F.struct("b.must", F.lit(0).alias("key_place"), "b.key_size")).alias("keys"), F.lit(True).alias("base"),
     )
-    at = F.col("pos") - F.col("place") + F.col("key_place")
+    # A place that lacks a mandatory phrase cannot be reported, so its postings end in their task. One word tells most of them.
+    look = look.unionByName(base).withColumn("head", F.substring_index(F.col("keys")[0]["must"], " ", 1))
+    shift = F.col("pos") - F.col("place")
+    stands = ascii_lower(F.get("words", shift + F.col("keys")[0]["key_place"])) == F.col("head")
+    for i in range(max(len(keys) for _, keys in TEMPLATES.values())):
+        k = F.get("keys", F.lit(i))
+        stands &= k.isNull() | (phrase(F.col("words"), shift + k["key_place"], k["key_size"]) == k["must"])
     found = (
-        _words(rows).join(F.broadcast(look.unionByName(base)), "word")
-        .withColumn("verified", F.coalesce(phrase(F.col("words"), at, F.col("key_size")) == F.col("must"), F.lit(False)))
-        .filter("verified or not base")
-        .select("key", "tag", "pos", "word", "label", "idf", "whole", "entered", "base", "must", "musts", "verified", (F.col("pos") - F.col("place")).alias("shift"))
+        _words(rows).join(F.broadcast(look), "word").filter(stands)
+        .select("key", "tag", "pos", "word", "label", "idf", "whole", "entered", "base", shift.alias("shift"))
     )
     found = cut_lineage(found.distinct())
     places = found.filter("base").select("key", "tag", "pos", "label").groupBy("key", "tag").agg(
         F.count("*").alias("n_base"), F.min("pos").cast("long").alias("first_word"), F.max("pos").cast("long").alias("last_word"),
         F.collect_set("label").alias("base_set"),
     )
-    # at most `rare` words and the template's phrases for each place
+    # at most `rare` words for each place
     agreed = (
         found.filter("not base")
-        .groupBy("key", "tag", "label", "shift", "whole", "entered", "musts")
-        .agg(F.collect_set(F.struct("word", "idf")).alias("words"), F.count_distinct(F.when(F.col("verified"), F.col("must"))).alias("verified"))
-        .filter("verified = musts and size(words) >= least(entered, 2)")
+        .groupBy("key", "tag", "label", "shift", "whole", "entered")
+        .agg(F.collect_set(F.struct("word", "idf")).alias("words"))
+        .filter("size(words) >= least(entered, 2)")
         .withColumn("idf", F.aggregate(F.array_sort("words"), F.lit(0.0), lambda total, x: total + x["idf"]))
         .groupBy("key", "tag")
         .agg(F.collect_set("label").alias("set"), F.max(F.least(F.col("idf") / F.col("whole"), F.lit(1.0))).alias("match"))

@@ -378,3 +378,17 @@ def test_licences_equal_brute_force(spark):
     for i, (base, labels, score) in expected.items():
         assert (got[i].base_labels, got[i].labels) == (base, labels), rows[i]
         assert got[i].score == pytest.approx(score, abs=1e-9)
+
+
+def test_licence_postings_without_their_phrases_stay_in_their_task(spark, monkeypatch):
+    """Where the corpus has only common words of a template, these are indexed; none of their places is stored."""
+    from quireflow.llm import licences
+
+    stored, cut = [], licences.cut_lineage
+    monkeypatch.setattr(licences, "cut_lineage", lambda df: stored.append(cut(df)) or stored[-1])
+    rows = [(i, "to the person of this and any work is free in the " * 50) for i in range(20)]
+    rows.append((20, "This work is licensed under the GNU General Public License version 3"))
+    got = {r.doc_id: r.labels for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert stored[0].filter("word in ('the', 'is', 'work')").count() > 0
+    assert {r.key for r in stored[1].select("key").distinct().collect()} == {20}
+    assert got[20] == "gpl" and not any(got[i] for i in range(20))
