@@ -209,3 +209,17 @@ def test_shapes_of_a_batch_are_not_python_objects():
     parent, closed_at, depth = markup.page_shape(page)
     assert shapes[0].as_py() == shapes[502].as_py() == {"parent": parent, "closed_at": closed_at, "depth": depth}
     assert shapes[1].as_py() == shapes[2].as_py() == {"parent": [], "closed_at": [], "depth": []}
+
+
+def test_partitions_of_a_node_table_follow_its_markup(spark, monkeypatch):
+    """A larger table makes more partitions, not larger ones, whatever the session's number; pages stay whole."""
+    from quireflow.sources import markup
+
+    rows = [(i, f"<p>{'a' * 1000}<b>c</b></p>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    monkeypatch.setattr(markup, "PARTITION_BYTES", 2000, raising=False)
+    many = markup.parse_html(pages).withColumn("part", F.spark_partition_id())
+    assert many.rdd.getNumPartitions() >= 20
+    found = many.groupBy("page_id").agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts")).collect()
+    assert len(found) == 40 and {(r.n, r.parts) for r in found} == {(4, 1)}
+    assert markup.parse_html(pages.limit(0)).count() == 0
