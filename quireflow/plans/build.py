@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import chapter_name
 from ..functions.url import canonical_url, path
-from ..operators import tree as t
 from ..operators.discovery import enforce_page_cap, within_page_cap
 from ..session import cut_lineage
-from ..sources.markup import parse_html
-from . import capture, clean
+from ..sources.markup import parse_pages
+from . import capture, chapters
 from .book import chapter_document
 
 
@@ -31,9 +30,10 @@ def build_chapters(
     ``check_page_cap`` say which). A ``content_selector`` names the content root of sites
     outside the usual layouts; where it matches nothing, the usual containers are looked for.
 
-    Node tables are stored three times: after the parse, since links, images and
-    structure all start from it; after the structural rewrites; and before
-    fragment pruning, which needs every chapter's ids. Each page is parsed once.
+    A page stays one row from the parse on (:mod:`chapters`): its rewrites neither sort nor
+    shuffle. Pages are stored after each step that asks where nodes stand, since a plan of
+    all steps at once does not end, and before fragment pruning, which needs every chapter's
+    ids. Each page is parsed once.
     """
     canonical = canonical_url("url")
     slim = pages.select("page_id", "site", "url", "title").withColumn("canonical", canonical)
@@ -43,15 +43,17 @@ def build_chapters(
     own = () if content_selector is None else (content_selector,)
     first = slim.groupBy("site", "canonical").agg(F.min("page_id").alias("page_id"))
     chosen = pages.join(first.select("page_id"), "page_id", "left_semi")
-    parsed = cut_lineage(parse_html(chosen, "page_id", "html", "site", "url", "title"))
-    nodes = cut_lineage(capture.capture_content(parsed, *own))
-    structured = cut_lineage(clean.clean_structure(nodes))
-    linked = clean.rewrite_links(structured, files, source=nodes)
-    illustrated = clean.promote_table_header(clean.rewrite_images(linked, assets, source=nodes))
-    named = cut_lineage(illustrated.withColumn("file", chapter_name(path(canonical), canonical)))
-    content = t.serialize(clean.prune_dangling_fragments(named, files), "page_id")
-    facts = slim.select("page_id", "site", "url", "title", chapter_name(path(F.col("canonical")), F.col("canonical")).alias("file"))
-    known = capture.page_titles(parsed).select("page_id", "language").join(capture.rooted_pages(parsed, *own), "page_id")
-    joined = facts.join(known, "page_id").join(content, "page_id", "left").fillna("", ["html"])
+    parsed = parse_pages(chosen, "page_id", "html", "site", "url", "title")
+    if own:
+        parsed = cut_lineage(parsed)
+    captured = chapters.capture_content(chapters.page_language(parsed), *own)
+    structured = cut_lineage(chapters.clean_structure(captured)).filter("rooted")
+    if own:
+        rooted = capture.rooted_pages(parsed.select("page_id", F.inline("rows")), *own)
+        structured = structured.join(rooted, "page_id", "left_semi")
+    linked = chapters.figures_and_headers(cut_lineage(chapters.rewrite_links_and_images(structured, files, assets)))
+    named = cut_lineage(linked.withColumn("file", chapter_name(path(canonical), canonical)))
+    pruned = cut_lineage(chapters.prune_dangling_fragments(named, files))
+    joined = pruned.withColumn("html", chapters.markup(F.col("rows")))
     document = chapter_document(F.col("title"), F.col("url"), F.col("language"), F.col("html"))
     return joined.select("site", "file", "page_id", document.alias("html"))
