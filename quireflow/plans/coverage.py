@@ -2,34 +2,31 @@
 
 A line is covered when it is a substring of the site's chapter texts joined by
 single spaces in file order, so it may begin or end inside a word and may run
-over a chapter boundary. Nothing here collects a site or compares every line
-with every text:
+over a chapter boundary. Nothing here collects
+a site or compares every line with every text:
 
 1. The joined text is cut into overlapping blocks of fixed size, each block
    reaching a fixed piece past its end, however long the lines are.
-2. Each distinct line is looked for by its head, its first piece. A head names one
-   anchor: three inner words around its longest one (its inner words if
-   fewer). Inner words are whole words in any occurrence.
-3. Where an anchor occurs in a block, the text around it is cut out in the
-   shape of the heads that have this anchor (bytes before it, length).
-   Heads that share an anchor mostly share a few shapes, so a stock phrase
-   costs its occurrences times shapes, not times lines. Positions count bytes,
-   which makes a cut cost its own length and not its distance from the start.
-   A place leaves its task only if a fixed-size bitmap of the anchors in use may hold its key.
-   Lines of one word lie inside one word, so they are looked for in the distinct words of the site.
-4. Distinct cut-outs meet distinct heads in an equality join. A line of one piece is done.
-5. Of a longer line, each place of the head says where the other pieces must stand. They
-   are cut out of the blocks they fall into, met with the line's pieces by
-   equality, and a place that has them all is an occurrence.
+2. Each distinct line is one piece, or several if it is longer than a piece. A piece names
+   one window: up to 256 of its bytes behind its first space, whose hash is its key.
+3. Each block gives the keys of its windows that a fixed-size bitmap of the lines' keys may hold.
+   A bitmap of what the blocks gave in turn keeps the lines that stand nowhere in their task.
+4. Lines meet the blocks that have their window. There they are compared byte by byte,
+   at the places of the window only, and a block gives a line once: what lines that begin
+   alike cost follows the blocks that have their beginning, not the places.
+5. The pieces of a longer line give each place where the line would start, and a
+   start that all of them give is an occurrence.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_words, starts_with_any, strip_bullet, strip_markdown, strip_ws
+from ..operators.occurrences import SOUGHT, STANDING, standing_pieces, text_keys, window_key
 from ..operators.windows import fence_state, prefix_sums
 from ..session import cut_lineage
 from .checks import finding
@@ -39,12 +36,10 @@ MIN_LINE_BYTES = 40
 SKIPPED_STARTS = ("#", "|", "![", "<")
 COVERAGE_THRESHOLD = 0.9
 
-ANCHOR_WORDS = 3
-SINGLE, PAIR = 0, -1
-PIECE_CHARS = 8
-PAIR_CHARS = 4
-BLOCK_CHARS = 1 << 14
-LINE_PIECE_CHARS = 256
+BLOCK_CHARS = 1 << 21
+LINE_PIECE_CHARS = 1 << 17
+WINDOW_BYTES = 256
+TASK_BLOCKS = 2
 # The bitmap of keys: 2**27 bits in rows of 512 longs, 16 MB whatever the number of keys.
 KEY_BITS = 1 << 27
 ROW_BITS = 1 << 15
@@ -58,27 +53,31 @@ def split_lines(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
 
 def eligible_lines(lines: DataFrame, *keys: str) -> DataFrame:
     """Lines outside code fences, long enough, and not headings, tables, images or markup."""
-    stated = fence_state(lines, list(keys))
-    line = strip_ws("line")
-    return stated.filter(
-        ~F.col("is_fence")
-        & ~F.col("in_code")
-        & (F.octet_length(line) >= MIN_LINE_BYTES)
-        & ~starts_with_any(line, SKIPPED_STARTS)
-    ).drop("is_fence", "in_code")
+    stated = fence_state(lines, list(keys)).filter("NOT is_fence AND NOT in_code").drop("is_fence", "in_code")
+    stripped = _once(stated, "_stripped", strip_ws("line"))
+    line = F.col("_stripped")
+    return stripped.filter((F.octet_length(line) >= MIN_LINE_BYTES) & ~starts_with_any(line, SKIPPED_STARTS)).drop("_stripped")
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` whose value later filters and columns read, where the planner would write its expression into each of them."""
+    rest = [column for column in df.columns if column != name]
+    return df.select(*rest, F.explode(F.array(value)).alias(name)).select(*(df.columns if name in df.columns else [*rest, name]))
 
 
 def source_lines(lines: DataFrame, *keys: str) -> DataFrame:
     """Eligible lines in comparable form, as ``line``; empty ones are left out."""
-    plain = normalize_words(strip_markdown(strip_bullet(strip_ws("line"))))
-    return eligible_lines(lines, *keys).withColumn("line", plain).filter("line <> ''")
+    plain = _once(eligible_lines(lines, *keys), "line", strip_bullet(strip_ws("line")))
+    plain = _once(plain, "line", strip_markdown("line"))
+    return _once(plain, "line", normalize_words("line")).filter("line <> ''")
 
 
 def text_blocks(chapters: DataFrame, block: int, overlap: int) -> DataFrame:
-    """(site, block, text) of ``chapters(site, file, text)`` joined by spaces in file order."""
-    chapters = cut_lineage(chapters)
-    sized = chapters.select("site", "file", (F.length("text") + 1).cast("long").alias("size"))
-    placed = chapters.join(prefix_sums(sized, ["site"], ["file"], F.col("size"), "offset"), ["site", "file"])
+    """(site, block, text) of ``chapters(site, file, text)`` joined by spaces in file order; of one name, in any order."""
+    chapters = cut_lineage(chapters.withColumn("chapter", F.monotonically_increasing_id()))
+    sized = chapters.select("site", "file", "chapter", (F.length("text") + 1).cast("long").alias("size"))
+    offsets = prefix_sums(sized, ["site"], ["file", "chapter"], F.col("size"), "offset").drop("file")
+    placed = chapters.join(offsets, ["site", "chapter"])
     first = F.greatest(F.floor((F.col("offset") - overlap) / block), F.lit(0))
     last = F.floor((F.col("offset") + F.col("size") - 1) / block)
     spread = placed.select("*", F.explode(F.sequence(first, last)).alias("block"))
@@ -93,116 +92,44 @@ def text_blocks(chapters: DataFrame, block: int, overlap: int) -> DataFrame:
     )
 
 
-def line_anchors(lines: DataFrame, piece: int = LINE_PIECE_CHARS) -> DataFrame:
-    """(site, line, head, pieces, size, words, anchor, before): one anchor per distinct line, inside its head.
+def line_windows(lines: DataFrame, piece: int = LINE_PIECE_CHARS) -> DataFrame:
+    """(site, id, n, pieces, text, before, behind_space, width, key): the pieces of each line, each with its window.
 
-    ``pieces`` counts the pieces of the line, ``size`` the bytes of its head. Heads of
-    three words and more are anchored by the run of inner words at
-    their longest inner word, since long words are rarer; ``words`` is the
-    length of the run. Two words are anchored by the characters on both sides
-    of their space (``words`` = PAIR), one word by its leading characters
-    (``words`` = SINGLE).
+    A window begins behind the first space of a piece, as words are fewer than characters, or
+    where most of the piece is one word, at its start. It is as wide as the largest power of
+    two that the piece holds, up to ``WINDOW_BYTES``; ``before`` counts the bytes ahead of it.
     """
-    n = F.col("_n")
-    headed = lines.withColumn("head", F.left("line", F.lit(piece))).withColumn("pieces", F.ceil(F.length("line") / piece).cast("int"))
-    split = headed.withColumn("_words", F.split("head", " ")).withColumn("_n", F.size("_words"))
-    counted = split.withColumn(
-        "words",
-        F.when(n == 1, SINGLE).when(n == 2, PAIR).otherwise(F.least(n - 2, F.lit(ANCHOR_WORDS))),
-    )
-    inner = F.transform(
-        F.slice("_words", F.lit(2), F.greatest(n - 2, F.lit(0))),
-        lambda word, at: F.struct(F.length(word).alias("length"), (-at).alias("minus_at")),
-    )
-    longest = counted.withColumn("_longest", 1 - F.array_max(inner)["minus_at"])
-    placed = longest.withColumn("_from", F.least("_longest", n - 1 - F.col("words")))
-    run = F.array_join(F.slice("_words", F.col("_from") + 1, F.col("words")), " ")
-    leading = F.octet_length(F.array_join(F.slice("_words", F.lit(1), F.col("_from")), " ")) + 1
-    first, second = F.get("_words", F.lit(0)), F.get("_words", F.lit(1))
-    left, right = F.least(F.length(first), F.lit(PAIR_CHARS)), F.least(F.length(second), F.lit(PAIR_CHARS))
-    return placed.select(
-        "site",
-        "line",
-        "head",
-        "pieces",
-        F.octet_length("head").alias("size"),
-        "words",
-        F.when(F.col("words") == SINGLE, F.substring("head", 1, PIECE_CHARS))
-        .when(F.col("words") == PAIR, F.concat(F.right(first, left), F.lit(" "), F.left(second, right)))
-        .otherwise(run)
-        .alias("anchor"),
-        F.when(F.col("words") == SINGLE, 0)
-        .when(F.col("words") == PAIR, F.octet_length(first) - F.octet_length(F.right(first, left)))
-        .otherwise(leading)
-        .alias("before"),
-        F.when(F.col("words") == PAIR, F.struct(left.alias("left"), right.alias("right"))).alias("pair"),
+    pieces = F.ceil(F.length("line") / piece).cast("int")
+    numbered = lines.withColumn("id", F.monotonically_increasing_id()).withColumn("pieces", pieces).filter("pieces > 0")
+    parted = numbered.select("site", "id", "pieces", "line", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("n"))
+    text = F.when(F.col("pieces") == 1, F.col("line")).otherwise(F.substr("line", F.col("n") * piece + 1, F.lit(piece)))
+    size, first_word = F.octet_length("text"), F.octet_length(F.substring_index("text", " ", 1)) + 1
+    behind_space = 2 * first_word <= size
+    held = F.length(F.bin((F.least(size - F.col("before"), F.lit(WINDOW_BYTES))).cast("long"))) - 1
+    return (
+        parted.select("site", "id", "n", "pieces", text.alias("text"))
+        .withColumn("behind_space", behind_space)
+        .withColumn("before", F.when(F.col("behind_space"), first_word).otherwise(0))
+        .withColumn("width", F.call_function("shiftleft", F.lit(1), held))
+        .withColumn("key", window_key(F.substring(F.col("text").cast("binary"), F.col("before") + 1, F.col("width"))))
     )
 
 
-def _anchor_key() -> Column:
-    return F.xxhash64("words", "anchor")
-
-
-def block_words(blocks: DataFrame) -> DataFrame:
-    """(site, block, start, word, next words): the words of each block with their positions."""
-    in_block = W.partitionBy("site", "block").orderBy("i")
-    # the text of a block is dealt, not its words; the explode keeps that partitioning
-    words = blocks.repartition("site", "block").select("site", "block", F.posexplode(F.split("text", " ")).alias("i", "word"))
-    start = F.coalesce(F.sum(F.octet_length("word") + 1).over(in_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return words.withColumn("start", start).select(
-        "*", *(F.lead("word", n).over(in_block).alias(f"word{n}") for n in range(1, ANCHOR_WORDS))
-    )
-
-
-def _place(words: int, anchor: Column, start: Column) -> Column:
-    return F.struct(F.xxhash64(F.lit(words), anchor).alias("key"), start.cast("long").alias("start"))
-
-
-def _runs_of(count: int) -> Column:
-    parts = [F.col("word"), *(F.col(f"word{n}") for n in range(1, count))]
-    return F.when(parts[-1].isNotNull(), _place(count, F.concat_ws(" ", *parts), F.col("start")))
-
-
-def _pairs_of(left: int, right: int) -> Column:
-    """The characters around the space after ``word``."""
-    anchor = F.concat(F.right("word", F.lit(left)), F.lit(" "), F.left("word1", F.lit(right)))
-    whole = (F.length("word") >= left) & (F.length("word1") >= right)
-    return F.when(whole, _place(PAIR, anchor, F.col("start") + F.octet_length("word") - F.octet_length(F.right("word", F.lit(left)))))
-
-
-def _pieces_of(size: int, least: int) -> Column:
-    """All character runs of one length inside a ``word`` of ``least`` bytes or more."""
-    run = lambda at: _place(SINGLE, F.substr("word", at + 1, F.lit(size)), F.col("start") + F.octet_length(F.left("word", at)))
-    long = (F.length("word") >= size) & (F.octet_length("word") >= least)
-    return F.when(long, F.transform(F.sequence(F.lit(0), F.length("word") - size), run))
-
-
-def anchor_places(
-    blocks: DataFrame, runs: list[int], pairs: list[tuple[int, int]], pieces: list[int], least: int = 1
-) -> DataFrame:
-    """(site, block, key, start): every place where an anchor of the given kinds could stand.
-
-    A line of one word lies inside one word, so only words as long as the
-    shortest such line (``least`` bytes) are cut into pieces.
-    """
-    # one struct for each kind, null where the word starts none
-    places = F.array(*map(_runs_of, runs), *(_pairs_of(*pair) for pair in pairs))
-    if pieces:
-        places = F.concat(places, *(F.coalesce(_pieces_of(size, least), F.slice(places, 1, 0)) for size in pieces))
-    return block_words(blocks).select("site", "block", F.inline(places)).filter("key IS NOT NULL")
-
-
 def key_bitmap(keys: DataFrame) -> DataFrame:
-    """(row, bits): a bitmap of the hashes in ``keys(key)``, at most 4,096 rows of 4 KB."""
+    """(row, bits): a bitmap of the hashes in ``keys(key)``, 4,096 rows of 4 KB."""
     bit = F.pmod("key", F.lit(KEY_BITS))
     within = bit % ROW_BITS
     longs = keys.select(
         F.floor(bit / ROW_BITS).alias("row"), F.floor(within / 64).cast("int").alias("at"), (within % 64).cast("int").alias("bit")
     )
-    filled = longs.distinct().groupBy("row", "at").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("long"))
-    by_row = filled.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "long"))).alias("longs"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(ROW_BITS // 64 - 1)), lambda n: F.coalesce(F.element_at("longs", n), F.lit(0).cast("long")))
-    return by_row.select("row", dense.alias("bits"))
+    filled = longs.distinct().select("row", "at", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).alias("long"))
+    # every long has a row, so that the sorted list of a row's longs is dense
+    empty = keys.sparkSession.range(KEY_BITS // 64).select(
+        F.floor(F.col("id") * 64 / ROW_BITS).alias("row"), (F.col("id") % (ROW_BITS // 64)).cast("int").alias("at"), F.lit(0).cast("long").alias("long")
+    )
+    whole = filled.unionByName(empty).groupBy("row", "at").agg(F.bit_or("long").alias("long"))
+    dense = F.transform(F.array_sort(F.collect_list(F.struct("at", "long"))), lambda held: held["long"])
+    return whole.groupBy("row").agg(dense.alias("bits"))
 
 
 def in_bitmap(places: DataFrame, bitmap: DataFrame) -> DataFrame:
@@ -214,94 +141,37 @@ def in_bitmap(places: DataFrame, bitmap: DataFrame) -> DataFrame:
     return met.filter(held).select(*places.columns)
 
 
-def _in_words(blocks: DataFrame, heads: DataFrame, bitmap: DataFrame, sizes: list[int], least: int) -> DataFrame:
-    """(site, bytes): what the distinct words of a site hold in the shape of ``heads(site, key, size)``, lines of one word."""
-    words = blocks.select("site", F.explode(F.split("text", " ")).alias("word")).filter(F.octet_length("word") >= least).distinct()
-    places = words.withColumn("start", F.lit(0)).select(
-        "site", "word", F.inline(F.flatten(F.array_compact(F.array(*(_pieces_of(size, least) for size in sizes)))))
-    ).toDF("site", "word", "key", "at")
-    cuts = in_bitmap(places, bitmap).join(heads.select("site", "key", "size").distinct(), ["site", "key"])
-    piece = F.substring(F.col("word").cast("binary"), (F.col("at") + 1).cast("int"), F.col("size"))
-    return cuts.select("site", piece.alias("bytes")).distinct()
-
-
-def _whole_lines(heads: DataFrame, lines: DataFrame, blocks: DataFrame, block: int, piece: int) -> DataFrame:
-    """(id) of the long ``lines(site, id, line, pieces)`` whose other pieces follow one of ``heads(site, id, at)``; ``at`` counts characters of the site."""
-    lines = lines.join(heads.select("id").distinct(), "id", "left_semi")
-    later = F.explode(F.sequence(F.lit(1), F.col("pieces") - 1)).alias("n")
-    place = F.col("at") + F.col("n") * piece
-    wanted = lines.select("site", "id", later, "line").select(
-        "site", "id", "n", F.substr("line", F.col("n") * piece + 1, F.lit(piece)).alias("text")
-    )
-    sizes = lines.select("site", "id", "pieces", F.length("line").alias("length"))
-    places = heads.join(sizes, ["site", "id"]).select("site", "id", "at", "pieces", "length", later)
-    cut = places.select(
-        "site", "id", "at", "pieces", "n", F.floor(place / block).alias("block"), (place % block).cast("int").alias("within"),
-        F.least(F.lit(piece), F.col("length") - F.col("n") * piece).alias("chars"),
-    )
-    # a stretch that many places and lines name is cut out once
-    stretch = ["site", "block", "within", "chars"]
-    texts = blocks.select("site", "block", F.col("text").alias("block_text"))
-    standing = cut.select(*stretch).distinct().join(texts, ["site", "block"]).select(
-        *stretch, F.substr("block_text", F.col("within") + 1, F.col("chars")).alias("text")
-    )
-    met = cut.join(standing, stretch).join(wanted, ["site", "id", "n", "text"])
-    whole = met.groupBy("site", "id", "at", "pieces").agg(F.count("*").alias("found")).filter("found = pieces - 1")
-    return whole.select("id").distinct()
+def _collected(bitmap: DataFrame) -> np.ndarray:
+    """The longs of a bitmap, 16 MB whatever the number of keys."""
+    longs = np.zeros((KEY_BITS // ROW_BITS, ROW_BITS // 64), dtype=np.int64)
+    for row, bits in bitmap.toLocalIterator():
+        longs[row] = bits
+    return longs.ravel()
 
 
 def covered_lines(lines: DataFrame, chapters: DataFrame, block: int = BLOCK_CHARS, piece: int = LINE_PIECE_CHARS) -> DataFrame:
     """Distinct (site, line) of ``lines(site, line)`` that occur in ``chapters(site, file, text)``."""
+    spark = lines.sparkSession
     # Both sides are used more than once below; storing them keeps the parse and
     # the normalising out of every use, and the ids as they are.
-    anchored = line_anchors(lines.select("site", "line").distinct(), piece)
-    anchored = cut_lineage(anchored.withColumn("id", F.monotonically_increasing_id()))
-    # One row: the kinds of anchors in use (at most 3, 16 and 8 values).
-    words = F.col("words")
-    single, long = words == SINGLE, F.col("pieces") > 1
-    kinds = anchored.agg(
-        F.max("pieces").alias("pieces"),
-        F.collect_set(F.when(words > 0, words)).alias("runs"),
-        F.collect_set("pair").alias("pairs"),
-        *(
-            column
-            for name, kind in (("word", single & ~long), ("long_word", single & long))
-            for column in (
-                F.collect_set(F.when(kind, F.length("anchor"))).alias(name),
-                F.min(F.when(kind, F.col("size"))).alias(f"{name}_least"),
-            )
-        ),
-    ).first()
+    wanted = cut_lineage(line_windows(lines.select("site", "line").distinct(), piece))
     blocks = cut_lineage(text_blocks(chapters, block, piece))
-    keyed = anchored.withColumn("key", _anchor_key())
-    bitmap = cut_lineage(key_bitmap(keyed.select("key")))
-    text = F.col("text").cast("binary")
-    heads = keyed.withColumn("bytes", F.col("head").cast("binary"))
-    pairs = sorted((pair["left"], pair["right"]) for pair in kinds["pairs"])
-    places = anchor_places(blocks, sorted(kinds["runs"]) or [ANCHOR_WORDS], pairs, sorted(kinds["long_word"]), kinds["long_word_least"] or 1)
-    shapes = keyed.filter(~single | long).select("site", "key", "before", "size", long.alias("long")).distinct()
-    cuts = (
-        in_bitmap(places, bitmap)
-        .join(shapes, ["site", "key"])
-        .select("site", "block", (F.col("start") - F.col("before")).cast("int").alias("at"), "size", "long")
-        .filter("at >= 0")
-        .distinct()
-    )
-    found = cuts.join(blocks, ["site", "block"]).withColumn("bytes", F.substring(text, F.col("at") + 1, F.col("size")))
-    short = heads.filter("pieces = 1").select("site", "line", "bytes")
-    standing = found.filter("not long").select("site", "bytes").distinct()
-    if kinds["word"]:
-        standing = standing.unionByName(_in_words(blocks, keyed.filter(single & ~long), bitmap, sorted(kinds["word"]), kinds["word_least"]))
-    covered = short.join(standing, ["site", "bytes"], "left_semi").drop("bytes")
-    if (kinds["pieces"] or 1) == 1:
-        return covered
-    longer = heads.filter("pieces > 1")
-    ahead = F.length(F.substring(text, F.lit(1), F.col("at")).cast("string"))
-    at = (F.col("block") * block + ahead).alias("at")
-    headed = found.filter("long").select("site", "bytes", at).join(longer.select("site", "bytes", "id"), ["site", "bytes"])
-    # a place in the overlap of two blocks is found in both
-    whole = _whole_lines(headed.select("site", "id", "at").distinct(), longer, blocks, block, piece)
-    return covered.unionByName(longer.join(whole, "id", "left_semi").select("site", "line"))
+    # At most 18 kinds of windows.
+    kinds = sorted(tuple(kind) for kind in wanted.select("behind_space", "width").distinct().collect())
+    bitmap = spark.sparkContext.broadcast(_collected(key_bitmap(wanted.select("key"))))
+    present = cut_lineage(blocks.select("site", "block", F.explode(text_keys(kinds, bitmap)("text")).alias("key")))
+    # only lines whose window stands somewhere leave their task, and only for the blocks that have it
+    sought = in_bitmap(wanted, key_bitmap(present.select("key"))).join(present, ["site", "key"]).select(*SOUGHT)
+    rows = blocks.unionByName(sought, allowMissingColumns=True).select(*SOUGHT)
+    tasks = max(spark.sparkContext.defaultParallelism, blocks.count() // TASK_BLOCKS)
+    dealt = rows.repartition(tasks, "site", "block").sortWithinPartitions("site", "block", F.col("id").asc_nulls_first())
+    found = cut_lineage(dealt.mapInArrow(standing_pieces(block, piece), STANDING).distinct())
+    covered = found.filter("pieces = 1").select("site", "line")
+    # of a longer line, all pieces stand one behind the other
+    started = found.filter("pieces > 1").groupBy("id", "start", "pieces").agg(F.count("*").alias("standing"))
+    whole = started.filter("standing = pieces").select("id").distinct()
+    parts = wanted.filter("pieces > 1").join(whole, "id", "left_semi").groupBy("site", "id").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("parts"))
+    return covered.unionByName(parts.select("site", F.array_join("parts.text", "").alias("line")))
 
 
 def missing_lines(lines: DataFrame, chapters: DataFrame, block: int = BLOCK_CHARS, piece: int = LINE_PIECE_CHARS) -> DataFrame:

@@ -101,3 +101,27 @@ def test_tabular_shape_of_a_long_text_costs_its_length(spark, tmp_path):
     started = time.monotonic()
     assert [tuple(row) for row in load()[0]["a07_tabular_shape"](spark, str(tmp_path)).collect()] == [(3, 5)]
     assert time.monotonic() - started < 60
+
+
+def test_lines_that_begin_alike_cost_blocks_not_places(spark):
+    """Lines of one repeated word begin at each of its places, and all their pieces were looked for from each."""
+    import time
+
+    text = spark.createDataFrame([("s", n, "the " * 30_000 + n) for n in "abcd"], "site string, file string, text string")
+    sizes = range(500, 30_500, 500)
+    lines = spark.createDataFrame([("s", "the " * size + end) for size in sizes for end in ("the", "a", "z")], "site string, line string")
+    started = time.monotonic()
+    expected = {("s", "the " * size + end) for size in sizes for end in ("the", "a") if size < 30_000 or size == 30_000 and end == "a"}
+    assert {tuple(row) for row in coverage.covered_lines(lines, text).collect()} == expected
+    assert time.monotonic() - started < 60
+
+
+def test_chapters_that_share_a_name_stand_once(spark):
+    """Each of them stood at the place of both, and long lines behind them read as missing."""
+    tail = " ".join(f"word{n}" for n in range(40))
+    chapters = [("s", "a", "one antelope two"), ("s", "a", "three lions four"), ("s", "b", tail)]
+    text = spark.createDataFrame(chapters, "site string, file string, text string")
+    lines = spark.createDataFrame([("s", line) for line in ("antelope two", "lions four", tail, tail[9:], "two one antelope", "four three lions")], "site string, line string")
+    for block, piece in ((1 << 14, 16), (64, 16), (1 << 14, 256)):
+        got = {row.line for row in coverage.covered_lines(lines, text, block, piece).collect()}
+        assert got == {"antelope two", "lions four", tail, tail[9:]}, (block, piece)
