@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import chapter_name
 from ..functions.url import canonical_url, path
 from ..operators.discovery import enforce_page_cap, within_page_cap
-from ..session import cut_lineage
+from ..session import Stages, cut_lineage
 from ..sources.markup import parse_pages
 from . import capture, chapters
 from .book import chapter_document
@@ -33,7 +33,7 @@ def build_chapters(
     A page stays one row from the parse on (:mod:`chapters`): its rewrites neither sort nor
     shuffle. Pages are stored after each step that asks where nodes stand, since a plan of
     all steps at once does not end, and before fragment pruning, which needs every chapter's
-    ids. Each page is parsed once.
+    ids. Each stored table replaces the one before, so two of them at most take disk. Each page is parsed once.
     """
     canonical = canonical_url("url")
     slim = pages.select("page_id", "site", "url", "title").withColumn("canonical", canonical)
@@ -46,14 +46,15 @@ def build_chapters(
     parsed = parse_pages(chosen, "page_id", "html", "site", "url", "title")
     if own:
         parsed = cut_lineage(parsed)
-    captured = chapters.capture_content(chapters.page_language(parsed), *own)
-    structured = cut_lineage(chapters.clean_structure(captured)).filter("rooted")
+    store = Stages(pages.sparkSession, "chapters").keep
+    captured = chapters.capture_content(chapters.page_language(parsed), *own, store=store)
+    structured = store(chapters.clean_structure(captured, store)).filter("rooted")
     if own:
         rooted = capture.rooted_pages(parsed.select("page_id", F.inline("rows")), *own)
         structured = structured.join(rooted, "page_id", "left_semi")
-    linked = chapters.figures_and_headers(cut_lineage(chapters.rewrite_links_and_images(structured, files, assets)))
-    named = cut_lineage(linked.withColumn("file", chapter_name(path(canonical), canonical)))
-    pruned = cut_lineage(chapters.prune_dangling_fragments(named, files))
+    linked = chapters.figures_and_headers(store(chapters.rewrite_links_and_images(structured, files, assets)))
+    named = store(linked.withColumn("file", chapter_name(path(canonical), canonical)))
+    pruned = store(chapters.prune_dangling_fragments(named, files))
     joined = pruned.withColumn("html", chapters.markup(F.col("rows")))
     document = chapter_document(F.col("title"), F.col("url"), F.col("language"), F.col("html"))
     return joined.select("site", "file", "page_id", document.alias("html"))

@@ -27,6 +27,7 @@ from ..session import cut_lineage
 from ..sources.markup import PAGE_FIELDS
 from . import capture, clean
 
+Store = Callable[[DataFrame], DataFrame]
 ROWS, OPENED, CLOSED = "rows", "rows.open_seq", "rows.close_seq"
 _ROWS_TYPE = f"array<struct<open_seq: bigint, close_seq: bigint, node_id: bigint, kind: string, tag: string, attrs: {t.NO_ATTRS}, text: string>>"
 
@@ -234,9 +235,9 @@ def visible_content(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumn("rows", F.flatten(F.transform("_seen", rewritten))).drop("_seen")
 
 
-def capture_content(pages: DataFrame, *selectors: str) -> DataFrame:
-    labelled = cut_lineage(label_tab_panels(pages))
-    return visible_content(cut_lineage(content_root(labelled, *selectors)))
+def capture_content(pages: DataFrame, *selectors: str, store: Store = cut_lineage) -> DataFrame:
+    labelled = store(label_tab_panels(pages))
+    return visible_content(store(content_root(labelled, *selectors)))
 
 
 # ---- clean -------------------------------------------------------------------
@@ -353,12 +354,12 @@ def headings_formulas_ids(pages: DataFrame) -> DataFrame:
     return found.withColumn("rows", F.transform(ROWS, rewritten)).drop("_level", "_math", "_name")
 
 
-def clean_structure(pages: DataFrame) -> DataFrame:
+def clean_structure(pages: DataFrame, store: Store = cut_lineage) -> DataFrame:
     """Every rewrite that needs nothing beyond the page itself, up to the link rewrite."""
-    pages = cut_lineage(drop_title_heading(pages))
-    pages = cut_lineage(sanitize(strips_and_tables(pages)))
-    pages = cut_lineage(details_to_section(pages))
-    return headings_formulas_ids(cut_lineage(empty_links_and_nesting(pages)))
+    pages = store(drop_title_heading(pages))
+    pages = store(sanitize(strips_and_tables(pages)))
+    pages = store(details_to_section(pages))
+    return headings_formulas_ids(store(empty_links_and_nesting(pages)))
 
 
 # ---- links and images -----------------------------------------------------------

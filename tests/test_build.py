@@ -80,3 +80,19 @@ def test_images_found_among_the_assets_are_renamed(spark):
     assets = spark.createDataFrame([("s", "a.png", "out.png")], "site string, name string, output string")
     [row] = build.build_chapters(pages, files, assets).collect()
     assert 'src="../images/out.png"' in row.html and 'src="b.png"' in row.html
+
+
+def test_a_stored_stage_of_the_build_replaces_the_one_before(spark, monkeypatch, tmp_path):
+    """Each stage was a checkpoint that stayed, so all pages stood on disk ten times."""
+    from quireflow import session
+
+    pages, files = build_input(spark, ODD)
+    kept = []
+    checkpoint = type(pages).checkpoint
+    monkeypatch.setattr(type(pages), "checkpoint", lambda df, *a, **b: kept.append(df.columns) or checkpoint(df, *a, **b))
+    monkeypatch.setattr(session, "scratch_folder", lambda spark, name: f"{tmp_path}/{name}", raising=False)
+    as_set = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    built = build.build_chapters(pages, files)
+    assert kept == [] and len(list((tmp_path / "chapters").iterdir())) == 1
+    assert built.count() == len(built.collect()) == len(ODD) - 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == as_set
