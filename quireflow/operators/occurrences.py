@@ -24,6 +24,8 @@ MANY = 1 << 10
 SIFT_BITS = 18
 #: Windows hashed at a time on the side of the strings.
 ROWS = 1 << 12
+#: A key stands in a bitmap by the low bits that are left at each of these shifts.
+SHIFTS = (0, 18, 37)
 #: (windows begin behind a space, bytes of a window)
 Kind = tuple[bool, int]
 # Sent by value, so that executors need no copy of this package.
@@ -122,8 +124,10 @@ def text_keys(kinds: list[Kind], bitmap) -> Callable:
             held = [np.zeros(0, dtype=np.int64)]
             for kind in kinds:
                 own, _ = block.windows(kind)
-                bit = own & (len(longs) * 64 - 1)
-                held.append(own[(longs[bit >> 6] >> (bit & 63)) & 1 == 1])
+                for shift in SHIFTS:
+                    bit = (own >> shift) & (len(longs) * 64 - 1)
+                    own = own[(longs[bit >> 6] >> (bit & 63)) & 1 == 1]
+                held.append(own)
             found.append(np.unique(np.concatenate(held)))
         ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *found])))

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_words, starts_with_any, strip_bullet, strip_markdown, strip_ws
-from ..operators.occurrences import SOUGHT, STANDING, standing_pieces, text_keys, window_key
+from ..operators.occurrences import SHIFTS, SOUGHT, STANDING, standing_pieces, text_keys, window_key
 from ..operators.windows import fence_state, prefix_sums
 from ..session import cut_lineage
 from .checks import finding
@@ -158,7 +158,9 @@ def covered_lines(lines: DataFrame, chapters: DataFrame, block: int = BLOCK_CHAR
     blocks = cut_lineage(text_blocks(chapters, block, piece))
     # At most 18 kinds of windows.
     kinds = sorted(tuple(kind) for kind in wanted.select("behind_space", "width").distinct().collect())
-    bitmap = spark.sparkContext.broadcast(_collected(key_bitmap(wanted.select("key"))))
+    # several bits of each key, or what passes by chance grows with the lines times the text
+    marks = wanted.select(F.explode(F.array(*(F.shiftrightunsigned("key", shift) for shift in SHIFTS))).alias("key"))
+    bitmap = spark.sparkContext.broadcast(_collected(key_bitmap(marks)))
     present = cut_lineage(blocks.select("site", "block", F.explode(text_keys(kinds, bitmap)("text")).alias("key")))
     # only lines whose window stands somewhere leave their task, and only for the blocks that have it
     sought = in_bitmap(wanted, key_bitmap(present.select("key"))).join(present, ["site", "key"]).select(*SOUGHT)

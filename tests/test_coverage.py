@@ -125,3 +125,19 @@ def test_chapters_that_share_a_name_stand_once(spark):
     for block, piece in ((1 << 14, 16), (64, 16), (1 << 14, 256)):
         got = {row.line for row in coverage.covered_lines(lines, text, block, piece).collect()}
         assert got == {"antelope two", "lions four", tail, tail[9:]}, (block, piece)
+
+
+def test_few_windows_pass_the_bitmap_by_chance(spark):
+    """By one bit of a key, 3,000 of these windows pass, as many again for each kind of window in use."""
+    from pyspark.sql import functions as F
+
+    from quireflow.operators.occurrences import SHIFTS, text_keys, window_key
+
+    words = [f"word{n}" for n in range(400_000)]
+    text = spark.createDataFrame([(" ".join(words),)], "text string")
+    wanted = spark.createDataFrame([(f"{word} word"[:16].ljust(16, "1").encode(),) for word in words[100_000:100_050]], "window binary").select(window_key("window").alias("key"))
+    others = spark.range(1_000_000).select(F.xxhash64("id").alias("key"))
+    marks = wanted.unionByName(others).select(F.explode(F.array(*(F.shiftrightunsigned("key", shift) for shift in SHIFTS))).alias("key"))
+    bitmap = spark.sparkContext.broadcast(coverage._collected(coverage.key_bitmap(marks)))
+    passed = {row.key for row in text.select(F.explode(text_keys([(True, 16)], bitmap)("text")).alias("key")).collect()}
+    assert {row.key for row in wanted.collect()} <= passed and len(passed) < 300
